@@ -45,3 +45,13 @@ def parse_date(text: Column, fmt: str = "yyyy-MM-dd") -> Column:
 
 def parse_compact_date(text: Column) -> Column:
     return parse_date(text, "yyyyMMdd")
+
+
+def iso_text(ts: Column) -> Column:
+    """UTC timestamp as ISO text with offset; microseconds only when there are any."""
+    micros = F.date_format(ts, ".SSSSSS")
+    return F.concat(
+        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),
+        F.when(micros == ".000000", "").otherwise(micros),
+        F.lit("+00:00"),
+    )
