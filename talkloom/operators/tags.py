@@ -274,11 +274,11 @@ def prompt_context(context: DataFrame) -> DataFrame:
         part = context.filter(F.col("section") == name).orderBy(*order).limit(k)
         part = part.withColumn("_freq", F.when(F.lit(ranked), -F.col("detail").try_cast("long")).otherwise(0))
         limited = part if limited is None else limited.unionByName(part)
-    entry = F.struct("_freq", "first", "item", "detail")
+    shown = F.when(F.col("section") == "tag_variations", F.concat_ws(": ", "item", "detail")).otherwise(F.col("item"))
+    entry = F.struct("_freq", "first", shown.alias("shown"))
     return limited.agg(*[
         F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("section") == name, entry))),
-            lambda e, name=name: F.concat_ws(": ", e["item"], e["detail"]) if name == "tag_variations" else e["item"],
+            F.array_sort(F.collect_list(F.when(F.col("section") == name, entry))), lambda e: e["shown"]
         ).alias(name)
         for name in PROMPT_LIMITS
     ])
