@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.functions.text import strip
+from talkloom.scratch import materialise
 
 # Substrings and prefixes the dictionary rules test for.
 TOPIC_INDICATORS = ["bitcoin", "btc", "blockchain", "crypto", "lightning", "ln"]
@@ -84,13 +85,16 @@ def tag_context(tag: Column) -> Column:
     return out
 
 
-def tag_stats(rows: DataFrame) -> DataFrame:
-    """Per case-folded tag: count, spellings in order of first use, first and last item, context."""
+def spelling_counts(rows: DataFrame) -> DataFrame:
     spelled = _valid(rows, TAG_KINDS).withColumn("spelling", strip(F.col("tag")))
-    per_spelling = spelled.groupBy(F.lower("spelling").alias("tag"), "spelling").agg(
+    return spelled.groupBy(F.lower("spelling").alias("tag"), "spelling").agg(
         F.count("*").alias("n"), F.min(_at()).alias("first"), F.max("item_id").alias("last_seen")
     )
-    return fold_spellings(per_spelling)
+
+
+def tag_stats(rows: DataFrame) -> DataFrame:
+    """Per case-folded tag: count, spellings in order of first use, first and last item, context."""
+    return fold_spellings(spelling_counts(rows))
 
 
 def fold_spellings(per_spelling: DataFrame) -> DataFrame:
@@ -195,7 +199,7 @@ def domain_context(categories: DataFrame, areas: DataFrame) -> DataFrame:
 
 def statistics(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """One row of counts with the ten most frequent tags and five categories."""
-    stats, cats = tag_stats(rows), category_stats(rows)
+    stats, cats = materialise(tag_stats(rows), "tag-stats"), materialise(category_stats(rows), "category-stats")
 
     def size_of(df: DataFrame) -> Column:
         return df.agg(F.count("*")).scalar()
@@ -225,7 +229,9 @@ def correction_context(rows: DataFrame, texts: DataFrame) -> DataFrame:
     Terms, projects and variations grow with the corpus, so they stay rows; `prompt_context` is the
     bounded one-row extract a prompt uses.
     """
-    stats, cats, areas = tag_stats(rows), category_stats(rows), expertise_areas(rows)
+    # Each of these is read by several sections: aggregate the corpus once, then scan the result.
+    stats = materialise(tag_stats(rows), "tag-stats")
+    cats, areas = materialise(category_stats(rows), "category-stats"), materialise(expertise_areas(rows), "areas")
     none = F.lit(None).cast("string")
     plain = F.struct(F.col("first.item_id").alias("item_id"), F.col("first.seq").cast("int").alias("seq"))
 

@@ -9,6 +9,7 @@ from talkloom.operators import chunks, model, tags
 from talkloom.plans import views
 from talkloom.plans.q_tags import _CONTEXT_ROWS, _context
 from talkloom.plans.registry import query
+from talkloom.scratch import materialise
 
 WS = "[ \\t\\n\\v\\f\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 NL2 = "chr(10) || chr(10)"
@@ -307,7 +308,8 @@ def _about():
 
 
 def context_struct(spark, sf):
-    one = tags.prompt_context(_context(spark, sf))
+    """The bounded context as one struct: written once, then read by a one-row scalar subquery."""
+    one = materialise(tags.prompt_context(_context(spark, sf)), "prompt-context")
     return one.select(F.struct(*one.columns).alias("context")).scalar()
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from talkloom.operators import render, timeline
-from talkloom.plans import views
+from talkloom.operators import timeline
+from talkloom.plans import flows, views
 from talkloom.plans.registry import query
+from talkloom.scratch import materialise
 
 
 def _ints(df, *cols):
@@ -162,11 +163,9 @@ FROM words w LEFT JOIN heads h ON h.transcript_id = w.transcript_id AND h.pos =
 
 
 def finished_transcript(spark, sf, per_line=True):
-    words = views.words(spark, sf)
-    sents = repaired_sentences(spark, sf)
-    snapped = timeline.snap_chapters(views.chapters(spark, sf), sents)
-    placed = timeline.place_chapters(snapped, sents, "sent_no")
-    return render.render_sentences(words, sents, placed, per_line)
+    # The words are a view here; a job over stored words passes its table.
+    words = materialise(views.words(spark, sf), "words")
+    return flows.finalise(words, views.chapters(spark, sf)).transcript(per_line)
 
 
 @query("render_transcript", _render_sql(True), ["words", "repaired", "placed"])
