@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from talkloom.functions.text import strip
 from talkloom.operators.ordered import ordered_scan
+from talkloom.operators.rows import explode_once
 from talkloom.operators.timeline import KEY, row_block
 
 CORRECTION_CHARS, SUMMARY_CHARS = 5000, 30000  # fixed values
@@ -50,8 +51,9 @@ def pack_paragraphs(df: DataFrame, text: str, max_chars: int = CORRECTION_CHARS)
             F.length(text) > max_chars, F.aggregate(F.transform("_paras", F.length), state, step, finish)
         ).otherwise(F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("n")))),
     )
-    rows = cuts.filter(F.col(text).isNotNull()).select(
-        *others, text, "_paras", F.size("_cuts").alias("n_chunks"), F.posexplode("_cuts").alias("chunk_no", "_cut")
+    kept = cuts.filter(F.col(text).isNotNull())
+    rows = explode_once(
+        kept, [*others, text, "_paras", F.size("_cuts").alias("n_chunks")], F.col("_cuts"), "chunk_no", "_cut"
     )
     packed = strip(F.array_join(F.slice("_paras", F.col("_cut.at") + 1, F.col("_cut.n")), BREAK))
     return rows.select(

@@ -57,36 +57,21 @@ def first_at_or_after(
 ) -> DataFrame:
     """For each point the number of the first row whose start is at or after it, as `first_no`.
 
-    `rows` are numbered in sequence order by `row_no`. A running maximum of the starts makes the
-    answer exact when starts step back; one merged scan then replaces a range join.
+    In order of time, that is the smallest number among the rows from the point on, also where starts
+    step back along the numbers: one scan over the merged sides instead of a range join.
     """
-    if not {row_no, row_start}.issubset(rows.columns):
-        raise ValueError("rows need a number and a start")
-    peaks = ordered_scan(
-        rows.select(*keys, row_no, row_start),
-        keys,
-        [row_no],
-        F.floor(F.col(row_no) / 4096),
-        running_max={"_peak": F.col(row_start)},
-    )
-    # A row sorts after a point of the same time, so that "at or after" includes equality.
     nothing = {c: points.schema[c].dataType for c in point_cols}
+    # A row sorts after a point of the same time, so that "at or after" includes equality.
     merged = points.select(
-        *keys, F.col(at).alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_no"),
-        *point_cols,
+        *keys, F.col(at).alias("_t"), F.lit(-1).cast("long").alias("_no"), *point_cols
     ).unionByName(
-        peaks.select(
-            *keys, F.col("_peak").alias("_t"), F.lit(1).alias("_kind"),
-            F.col(row_no).cast("long").alias("_no"),
+        rows.select(
+            *keys, F.col(row_start).alias("_t"), F.col(row_no).cast("long").alias("_no"),
             *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()],
         )
     )
-    tie = F.coalesce(F.col("_no"), F.lit(-1))
     scanned = ordered_scan(
-        merged.withColumn("_tie", tie),
-        keys,
-        ["_t", "_kind", "_tie"],
-        F.floor(F.col("_t") / block_seconds),
-        backward={"first_no": F.col("_no")},
+        merged, keys, ["_t", "_no"], F.floor(F.col("_t") / block_seconds),
+        rest_min={"first_no": F.when(F.col("_no") >= 0, F.col("_no"))},
     )
-    return scanned.filter("_kind = 0").select(*keys, *point_cols, F.col("_t").alias(at), "first_no")
+    return scanned.filter("_no = -1").select(*keys, *point_cols, F.col("_t").alias(at), "first_no")

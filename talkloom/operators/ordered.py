@@ -29,6 +29,7 @@ def ordered_scan(
     *,
     totals: dict[str, Column] | None = None,
     running_max: dict[str, Column] | None = None,
+    rest_min: dict[str, Column] | None = None,
     forward: dict[str, Column] | None = None,
     backward: dict[str, Column] | None = None,
     previous: dict[str, Column] | None = None,
@@ -37,16 +38,17 @@ def ordered_scan(
     """Add running columns to `df`.
 
     totals: sum up to and including the row.      running_max: maximum up to and including the row.
+    rest_min: minimum from the row on.
     forward: last non-null value up to the row.   backward: first non-null value from the row on.
     previous / following: value of the neighbouring row.
     """
-    totals, running_max = totals or {}, running_max or {}
+    totals, running_max, rest_min = totals or {}, running_max or {}, rest_min or {}
     forward, backward = forward or {}, backward or {}
     previous, following = previous or {}, following or {}
-    names = [*totals, *running_max, *forward, *backward, *previous, *following]
+    names = [*totals, *running_max, *rest_min, *forward, *backward, *previous, *following]
 
     # Evaluate the inputs once, under names that cannot clash with the outputs.
-    inputs = {**totals, **running_max, **forward, **backward, **previous, **following}
+    inputs = {**totals, **running_max, **rest_min, **forward, **backward, **previous, **following}
     staged = df.select(
         "*", block.cast("long").alias(_BLOCK), *[e.alias(f"_in_{n}") for n, e in inputs.items()]
     )
@@ -59,6 +61,8 @@ def ordered_scan(
             aggs.append(F.sum(v).alias(f"_b_{n}"))
         elif n in running_max:
             aggs.append(F.max(v).alias(f"_b_{n}"))
+        elif n in rest_min:
+            aggs.append(F.min(v).alias(f"_b_{n}"))
         elif n in forward:
             aggs.append(F.max_by(v, F.when(v.isNotNull(), at)).alias(f"_b_{n}"))
         elif n in backward:
@@ -80,6 +84,8 @@ def ordered_scan(
             c = F.coalesce(F.sum(b).over(before), F.lit(0))
         elif n in running_max:
             c = F.max(b).over(before)
+        elif n in rest_min:
+            c = F.min(b).over(after)
         elif n in forward:
             c = F.last(b, ignorenulls=True).over(before)
         elif n in backward:
@@ -102,6 +108,8 @@ def ordered_scan(
             e = F.coalesce(F.sum(v).over(rising_rows), F.lit(0)) + c
         elif n in running_max:
             e = F.greatest(F.max(v).over(rising_rows), c)
+        elif n in rest_min:
+            e = F.least(F.min(v).over(falling_rows), c)
         elif n in forward:
             e = F.coalesce(F.last(v, ignorenulls=True).over(rising_rows), c)
         elif n in backward:

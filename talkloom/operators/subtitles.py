@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from talkloom.operators.ordered import ordered_scan
 from talkloom.operators.timeline import KEY
+from talkloom.scratch import materialise
 
 
 def _walk(pos, start, end, i, opened, seconds):
@@ -25,8 +26,8 @@ def _walk(pos, start, end, i, opened, seconds):
     return groups, opened
 
 
-def word_groups(words: DataFrame, seconds: float = 10.0, block_seconds: float = 600.0) -> DataFrame:
-    """Words with `group_pos`, the position of the first word of their cue.
+def word_groups(words: DataFrame, seconds: float = 10.0, block_seconds: float = 3600.0) -> DataFrame:
+    """Timed words with `group_pos`, the position of the first word of their cue.
 
     A cue closes with the first word that ends `seconds` or more after the cue's start, so each cue
     depends on the one before. Blocks of a transcript are walked independently: a block's summary says
@@ -34,7 +35,8 @@ def word_groups(words: DataFrame, seconds: float = 10.0, block_seconds: float =
     are then chained per transcript, and a second pass over the blocks assigns the groups.
     """
     timed = words.select(
-        *KEY, "pos", "start_s", "end_s", F.floor(F.col("start_s") / block_seconds).cast("long").alias("_b")
+        *KEY, "pos", "start_s", "end_s", "punctuated_word",
+        F.floor(F.col("start_s") / block_seconds).cast("long").alias("_b"),
     )
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -74,7 +76,7 @@ def word_groups(words: DataFrame, seconds: float = 10.0, block_seconds: float =
         })
 
     id_type = words.schema["transcript_id"].dataType.simpleString()
-    blocks = timed.groupBy(*KEY, "_b").applyInPandas(
+    blocks = timed.drop("punctuated_word").groupBy(*KEY, "_b").applyInPandas(
         summarise,
         f"transcript_id {id_type}, _b long, n long, ends array<double>, out_pos array<long>, out_start array<double>",
     )
@@ -99,21 +101,21 @@ def word_groups(words: DataFrame, seconds: float = 10.0, block_seconds: float =
         first = pdf.iloc[0]
         opened = None if first["in_pos"] < 0 else (int(first["in_pos"]), float(first["in_start"]))
         groups, _ = _walk(pdf["pos"].tolist(), pdf["start_s"].tolist(), pdf["end_s"].tolist(), 0, opened, seconds)
-        return pd.DataFrame({"transcript_id": pdf["transcript_id"], "pos": pdf["pos"], "group_pos": groups})
+        return pdf[["transcript_id", "pos", "start_s", "end_s", "punctuated_word"]].assign(group_pos=groups)
 
     return timed.join(entry, [*KEY, "_b"]).groupBy(*KEY, "_b").applyInPandas(
-        assign, f"transcript_id {id_type}, pos long, group_pos long"
+        assign, f"transcript_id {id_type}, pos long, start_s double, end_s double, punctuated_word string, group_pos long"
     )
 
 
-def word_cues(words: DataFrame, seconds: float = 10.0, block_seconds: float = 600.0) -> DataFrame:
+def word_cues(words: DataFrame, seconds: float = 10.0, block_seconds: float = 3600.0) -> DataFrame:
     """Subtitle cues `(cue_no, start_s, end_s, text)` from words alone."""
-    groups = word_groups(words, seconds, block_seconds)
-    texts = words.select(*KEY, "pos", "start_s", "end_s", "punctuated_word")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "punctuated_word")))
-    cues = texts.join(groups, [*KEY, "pos"]).groupBy(*KEY, "group_pos").agg(
+    cues = word_groups(words, seconds, block_seconds).groupBy(*KEY, "group_pos").agg(
         F.min_by("start_s", "pos").alias("start_s"), F.max_by("end_s", "pos").alias("end_s"),
         F.array_join(F.transform(ordered, lambda w: w["punctuated_word"]), " ").alias("text"),
     )
-    numbered = ordered_scan(cues, KEY, ["group_pos"], F.floor(F.col("group_pos") / 65536), totals={"_n": F.lit(1)})
+    # Numbering reads the cues twice, and they come from Python: keep them.
+    kept = materialise(cues, "cues")
+    numbered = ordered_scan(kept, KEY, ["group_pos"], F.floor(F.col("group_pos") / 65536), totals={"_n": F.lit(1)})
     return numbered.select(*KEY, (F.col("_n") - 1).alias("cue_no"), "start_s", "end_s", "text")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.functions.text import strip
+from talkloom.operators.rows import explode_once
 from talkloom.scratch import materialise
 
 # Substrings and prefixes the dictionary rules test for.
@@ -164,9 +165,8 @@ def expertise_areas(rows: DataFrame, areas: dict[str, list[str]] | None = None)
     hits = F.array(*[F.when(contains_any(low, ks), F.struct(F.lit(i).alias("no"), F.lit(a).alias("area")))
                      for i, (a, ks) in enumerate(areas.items())])
     order = F.when(F.col("kind") == "category", -1).otherwise(F.col("seq"))
-    found = rows.filter(F.col("kind").isin(TAG_KINDS)).select(
-        "item_id", order.alias("seq"), F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h")
-    )
+    kept = rows.filter(F.col("kind").isin(TAG_KINDS))
+    found = explode_once(kept, ["item_id", order.alias("seq")], F.filter(hits, lambda h: h.isNotNull()), "_i", "h")
     return found.groupBy(F.col("h.area").alias("area")).agg(
         F.min(F.struct("item_id", "seq", "h.no")).alias("first")
     )

@@ -28,27 +28,32 @@ def ends_sentence(word: Column) -> Column:
     return word.rlike(SENTENCE_END) & ~word.rlike(ABBREVIATION) & ~word.rlike(SHORT_TITLE)
 
 
+def _flagged(words: DataFrame, diarize: bool) -> DataFrame:
+    speaker = F.col("speaker") if diarize else F.lit(None).cast("int")
+    return words.withColumn("speaker", speaker).withColumn("_ends", ends_sentence(F.col("punctuated_word")))
+
+
+def _new_segment(prev, cur) -> Column:
+    return ~prev("speaker").eqNullSafe(cur("speaker"))
+
+
+def _new_sentence(prev, cur) -> Column:
+    return _new_segment(prev, cur) | prev("_ends")
+
+
 def mark_words(words: DataFrame, diarize: bool = True) -> DataFrame:
     """Number the segment and sentence of every word in one scan.
 
     Segments change with the speaker; a sentence ends with its segment or after a closing word, which
     is what splitting the joined text at whitespace gives, since words hold none.
     """
-    speaker = F.col("speaker") if diarize else F.lit(None).cast("int")
-    flagged = words.withColumn("speaker", speaker).withColumn(
-        "_ends", ends_sentence(F.col("punctuated_word"))
-    )
-
-    def new_segment(prev, cur):
-        return ~prev("speaker").eqNullSafe(cur("speaker"))
-
     marked = islands(
-        flagged,
+        _flagged(words, diarize),
         KEY,
         ["pos"],
         row_block(),
         ["speaker", "_ends", "pos"],
-        {"seg_no": new_segment, "sent_no": lambda p, c: new_segment(p, c) | p("_ends")},
+        {"seg_no": _new_segment, "sent_no": _new_sentence},
         origins={"seg_first": ("seg_no", "pos"), "sent_first": ("sent_no", "pos")},
     )
     return marked.drop("_ends")
@@ -224,15 +229,18 @@ def has_diarization(words: DataFrame) -> DataFrame:
     return words.groupBy(*KEY).agg(F.bool_or(F.col("speaker").isNotNull()).alias("has_diarization"))
 
 
-def confidence_runs(marked: DataFrame) -> DataFrame:
+def confidence_runs(words: DataFrame, diarize: bool = True) -> DataFrame:
     """Runs of words of a sentence with one rounded speaker confidence, as annotated text parts."""
-    rounded = marked.withColumn("_conf", F.bround("speaker_confidence", 3))
+    from pyspark.sql import Window
+
+    def new_run(prev, cur):
+        return _new_sentence(prev, cur) | ~prev("_conf").eqNullSafe(cur("_conf"))
+
+    rounded = _flagged(words, diarize).withColumn("_conf", F.bround("speaker_confidence", 3))
     runs = islands(
-        rounded, KEY, ["pos"], row_block(), ["_conf", "sent_no", "pos"],
-        {"run_no": lambda p, c: ~p("_conf").eqNullSafe(c("_conf")) | (p("sent_no") != c("sent_no"))},
-        origins={"run_first": ("run_no", "pos")},
+        rounded, KEY, ["pos"], row_block(), ["speaker", "_ends", "_conf", "pos"],
+        {"sent_no": _new_sentence, "run_no": new_run}, origins={"run_first": ("run_no", "pos")},
     )
-    # A part's own last word closes it with the confidence, unless the run goes on in the next part.
     part = F.floor((F.col("pos") - F.col("run_first")) / BLOCK_ROWS).cast("long")
     grouped = runs.groupBy(*KEY, "sent_no", "run_no", part.alias("part_no")).agg(
         F.first("_conf").alias("confidence"),
@@ -241,8 +249,9 @@ def confidence_runs(marked: DataFrame) -> DataFrame:
     )
     text = F.array_join(F.transform("_ws", lambda w: w["punctuated_word"]), " ")
     mark = F.concat(F.lit("["), F.col("confidence").cast("string"), F.lit("]"))
-    last_parts = grouped.groupBy(*KEY, "run_no").agg(F.max("part_no").alias("_last"))
-    return grouped.join(last_parts, [*KEY, "run_no"]).select(
+    # Only the last part of a run carries its confidence; a window sees the parts of one run.
+    last = F.col("part_no") == F.max("part_no").over(Window.partitionBy(*KEY, "run_no"))
+    return grouped.select(
         *KEY, "sent_no", "run_no", "part_no", "confidence", "n_words",
-        F.when(F.col("part_no") == F.col("_last"), F.concat(text, mark)).otherwise(text).alias("text"),
+        F.when(last, F.concat(text, mark)).otherwise(text).alias("text"),
     )

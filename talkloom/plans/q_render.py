@@ -33,7 +33,7 @@ def export_srt(spark, sf):
 SELECT g.transcript_id, g.cue_no, min(w.start_s) AS start_s, max(w.end_s) AS end_s, string_agg(w.punctuated_word, ' ' ORDER BY w.pos) AS text
 FROM g JOIN words w ON w.transcript_id = g.transcript_id AND w.pos BETWEEN g.lo AND g.hi GROUP BY 1, 2""", ["words"])
 def srt_word_groups(spark, sf):
-    return subtitles.word_cues(views.words(spark, sf), block_seconds=60.0)
+    return subtitles.word_cues(materialise(views.words(spark, sf), "words"))
 
 
 _PLACED_TURN = """placed_turn AS (SELECT p.transcript_id, p.title, p.turn FROM (
@@ -53,8 +53,8 @@ SELECT transcript_id, turn // 256 AS part_no, string_agg(CASE WHEN turn = hi THE
 FROM (SELECT *, CASE WHEN turn = min(turn) OVER w THEN regexp_replace(piece, '^{WS}+', '') ELSE piece END AS t, max(turn) OVER w AS hi
   FROM pieces WINDOW w AS (PARTITION BY transcript_id)) q GROUP BY 1, 2""", ["chapters", "utterances"])
 def render_transcript_utt(spark, sf):
-    rows = views.utterance_texts(spark, sf)
-    placed = timeline.place_chapters(views.chapters(spark, sf), views.utterances(spark, sf), "turn")
+    rows = materialise(views.utterance_texts(spark, sf), "utterances")
+    placed = timeline.place_chapters(views.chapters_of(rows), rows, "turn")
     return render.render_utterances(rows, placed, "turn")
 
 
@@ -66,8 +66,9 @@ SELECT u.transcript_id, u.turn // 256 AS part_no, string_agg(coalesce(h.h, '') |
 FROM utterances u JOIN conversations c ON c.conv_id = u.transcript_id AND c.turn = u.turn
 LEFT JOIN heads h ON h.transcript_id = u.transcript_id AND h.turn = u.turn GROUP BY 1, 2""", ["chapters", "utterances"])
 def render_segments(spark, sf):
-    placed = timeline.place_chapters(views.chapters(spark, sf), views.utterances(spark, sf), "turn", cascade=False)
-    return render.render_segments(views.utterance_texts(spark, sf), placed, "turn")
+    rows = materialise(views.utterance_texts(spark, sf), "utterances")
+    placed = timeline.place_chapters(views.chapters_of(rows), rows, "turn", cascade=False)
+    return render.render_segments(rows, placed, "turn")
 
 
 @query("dpe_words", """SELECT transcript_id, pos AS id, start_s AS start, end_s AS end, punctuated_word AS text FROM words""", ["words"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from talkloom.functions import prompts, replies, text as tx, timing
 from talkloom.operators import chunks, model, tags
+from talkloom.operators.rows import explode_once
 from talkloom.plans import views
 from talkloom.plans.q_tags import _CONTEXT_ROWS, _context
 from talkloom.plans.registry import query
@@ -97,15 +98,15 @@ def parse_date(spark, sf):
     SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.?!]){WS}+', '\\1' || chr(1), 'g'), chr(1)),
       lambda x: {strip_sql('x')}), lambda x: x <> '') AS ss FROM documents) a) b""")
 def sentence_split(spark, sf):
-    d = views.table(spark, sf, "documents")
-    return d.select("doc_id", F.posexplode(tx.split_sentences(F.col("text"))).alias("n", "sentence")).select(
-        "doc_id", F.col("n").cast("long").alias("sent_no"), "sentence")
+    d = views.spread(views.table(spark, sf, "documents").select("doc_id", "text"))
+    rows = explode_once(d, ["doc_id"], tx.split_sentences(F.col("text")), "n", "sentence")
+    return rows.select("doc_id", F.col("n").cast("long").alias("sent_no"), "sentence")
 
 
 @query("sentence_split_abbrev")
 def sentence_split_abbrev(spark, sf):
-    d = views.table(spark, sf, "documents")
-    return d.select("doc_id", F.posexplode(tx.split_sentences_abbrev(F.col("text"))).alias("sent_no", "sentence"))
+    d = views.spread(views.table(spark, sf, "documents").select("doc_id", "text"))
+    return explode_once(d, ["doc_id"], tx.split_sentences_abbrev(F.col("text")), "sent_no", "sentence")
 
 
 _PARSED = """SELECT doc_id, CASE WHEN json_valid(j) THEN (j::JSON ->> 'is_technical') = 'true' ELSE false END AS is_technical,
@@ -229,7 +230,8 @@ packed AS MATERIALIZED (SELECT doc_id, 0::BIGINT AS chunk_no, 1::BIGINT AS n_chu
 
 
 def _docs(spark, sf):
-    return views.table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    docs = views.spread(views.table(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
 
 
 _DOCS_SQL = f"SELECT doc_id, {_DOC_TEXT} AS text FROM documents"
@@ -352,8 +354,11 @@ def prompt_summarize(spark, sf):
 # ---- model stages, with deterministic functions in place of a model
 
 
+START, END = prompts.TEXT_START, prompts.TEXT_END
+
+
 def _inner(prompt):
-    return prompt.split(prompts.TEXT_START, 1)[1].rsplit(prompts.TEXT_END, 1)[0]
+    return prompt.split(START, 1)[1].rsplit(END, 1)[0]
 
 
 def editing_model():
@@ -408,7 +413,7 @@ part AS (SELECT doc_id, chunk_no, CASE WHEN length(chunk) % 4 = 0 THEN '' ELSE s
 merged AS (SELECT doc_id, count(*) FILTER (r <> '') AS n, string_agg(r, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY chunk_no) FILTER (r <> '') AS t FROM part GROUP BY doc_id)
 SELECT doc_id AS id, CASE WHEN n = 0 THEN '' WHEN n = 1 THEN t WHEN length(t) % 4 = 0 THEN '' ELSE substr(t, 1, 60) END AS summary FROM merged""", ["transcripts"])
 def summarize_documents(spark, sf):
-    t = views.transcripts(spark, sf)
+    t = views.spread(views.transcripts(spark, sf).select("id", "title", "raw_text", "corrected_text"))
     docs = t.select("id", "title", *[F.regexp_replace(c, "\n", "\n\n").alias(c) for c in ("raw_text", "corrected_text")])
     return model.summarise_documents(docs, "id", "corrected_text", "raw_text", "title", leading_model, 3000)
 

@@ -15,7 +15,8 @@ def _ints(df, *cols):
 
 
 def repaired_sentences(spark, sf):
-    return timeline.repair_sentences(timeline.sentences(timeline.mark_words(views.words(spark, sf))))
+    split = timeline.sentences(timeline.mark_words(views.words(spark, sf)))
+    return timeline.repair_sentences(materialise(split, "sentences"))
 
 
 @query(
@@ -79,7 +80,7 @@ def chapter_sentence(spark, sf):
 
 @query("snap_chapters", "SELECT transcript_id, chapter_no, start_s, title FROM snapped", ["snapped"])
 def snap_chapters(spark, sf):
-    return timeline.snap_chapters(views.chapters(spark, sf), repaired_sentences(spark, sf))
+    return timeline.snap_chapters(views.chapters(spark, sf), materialise(repaired_sentences(spark, sf), "repaired"))
 
 
 @query(
@@ -98,7 +99,8 @@ JOIN (SELECT transcript_id, max(turn) AS last_no FROM utterances GROUP BY transc
     ["chapters", "utterances"],
 )
 def chapter_asof(spark, sf):
-    chapters, rows = views.chapters(spark, sf), views.utterances(spark, sf)
+    rows = materialise(views.utterances(spark, sf), "utterances")
+    chapters = views.chapters_of(rows)
     one = timeline.place_chapters(chapters, rows, "turn").withColumnRenamed("turn", "cascade_turn")
     shared = timeline.place_chapters(chapters, rows, "turn", cascade=False)
     return one.join(
@@ -137,7 +139,7 @@ GROUP BY transcript_id, sent_no, run_no, part_no, confidence""",
     ["marked"],
 )
 def confidence_runs(spark, sf):
-    return timeline.confidence_runs(timeline.mark_words(views.words(spark, sf)))
+    return timeline.confidence_runs(views.words(spark, sf))
 
 
 _HMS = "printf('%02d:%02d:%02d', ({0})::BIGINT // 3600, ({0})::BIGINT // 60 % 60, ({0})::BIGINT % 60)"

@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a few files over all cores, for costly work per row; many files are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def channels(spark: SparkSession, sf: str) -> DataFrame:
     nation = F.col("s_nationkey")
     return table(spark, sf, "supplier").select(
@@ -165,7 +171,12 @@ def utterance_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chapters(spark: SparkSession, sf: str) -> DataFrame:
-    heads = utterances(spark, sf).filter("turn % 3 = 1")
+    return chapters_of(utterances(spark, sf))
+
+
+def chapters_of(rows: DataFrame) -> DataFrame:
+    """A chapter near the start of every third utterance."""
+    heads = rows.filter("turn % 3 = 1")
     numbered = ordered_scan(
         heads, ["transcript_id"], ["turn"], F.floor(F.col("turn") / 512), totals={"n": F.lit(1)}
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talkloom import schemas
 from talkloom.functions.timing import iso_duration_seconds, parse_date
+from talkloom.operators.rows import explode_once
 
 # Audio types a feed entry may have.
 AUDIO_TYPES = ["audio/mpeg", "audio/wav", "audio/x-m4a", "audio/mp4"]
@@ -93,7 +94,8 @@ def flatten_status(df: DataFrame, column: str) -> DataFrame:
         *[F.struct(F.lit(k).alias("kind"), status["existing"][k].alias("vs")) for k in ("media", "speakers", "tags")],
         F.struct(F.lit("backlog").alias("kind"), status["needs"]["transcript"].alias("vs")),
     )
-    return df.select(F.explode(kinds).alias("k")).select("k.kind", F.explode("k.vs").alias("value"))
+    listed = explode_once(df, [], kinds, "_i", "k")
+    return explode_once(listed, ["k.kind"], F.col("k.vs"), "_j", "value").select("kind", "value")
 
 
 _ITEM = """title string, link string, description string, pubDate string,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from talkloom import schemas
 from talkloom.functions.text import speaker_id
+from talkloom.operators.rows import explode_once
 from talkloom.operators.timeline import speaker_segments
 
 KEY = ["transcript_id"]
@@ -18,7 +19,7 @@ def words_of(df: DataFrame, column: str = "output") -> DataFrame:
     """Word-style output: one row per word."""
     doc = F.from_json(F.col(column), schemas.WORD_OUTPUT)
     words = doc["results"]["channels"][0]["alternatives"][0]["words"]
-    return df.select(*KEY, F.posexplode(words).alias("pos", "w")).select(
+    return explode_once(df, KEY, words, "pos", "w").select(
         *KEY, F.col("pos").cast("long").alias("pos"), "w.speaker", F.col("w.start").alias("start_s"), F.col("w.end").alias("end_s"),
         "w.confidence", "w.speaker_confidence", "w.punctuated_word",
     )
@@ -27,7 +28,7 @@ def words_of(df: DataFrame, column: str = "output") -> DataFrame:
 def summaries_of(df: DataFrame, column: str = "output") -> DataFrame:
     doc = F.from_json(F.col(column), schemas.WORD_OUTPUT)
     found = doc["results"]["channels"][0]["alternatives"][0]["summaries"]
-    return df.select(*KEY, F.posexplode(found).alias("n", "s")).select(*KEY, "n", F.col("s.summary").alias("summary"))
+    return explode_once(df, KEY, found, "n", "s").select(*KEY, "n", F.col("s.summary").alias("summary"))
 
 
 def utterances_of(df: DataFrame, column: str = "output") -> DataFrame:
@@ -40,7 +41,7 @@ def utterances_of(df: DataFrame, column: str = "output") -> DataFrame:
         F.coalesce(F.get(ws, F.size(ws) - 1)["end"], zero).alias("end"), F.coalesce(doc["transcription"], F.lit("")).alias("text"),
     ))
     listed = F.when(F.size(doc["utterances"]) > 0, doc["utterances"]).otherwise(whole)
-    rows = df.select(*KEY, F.size(doc["utterances"]).alias("n"), F.posexplode(listed).alias("utt_no", "u"))
+    rows = explode_once(df, [*KEY, F.size(doc["utterances"]).alias("n")], listed, "utt_no", "u")
     return rows.select(
         *KEY, F.col("utt_no").cast("long").alias("utt_no"),
         F.when(F.col("n") > 0, speaker_id(F.coalesce("u.speaker", F.lit("speaker_0")))).alias("speaker"),
@@ -50,7 +51,7 @@ def utterances_of(df: DataFrame, column: str = "output") -> DataFrame:
 
 def utterance_words_of(df: DataFrame, column: str = "output") -> DataFrame:
     doc = F.from_json(F.col(column), schemas.UTTERANCE_OUTPUT)
-    return df.select(*KEY, F.posexplode(doc["words"]).alias("pos", "w")).select(
+    return explode_once(df, KEY, doc["words"], "pos", "w").select(
         *KEY, F.col("pos").cast("long").alias("pos"), F.col("w.start").alias("start_s"), F.col("w.end").alias("end_s"),
         F.coalesce("w.confidence", F.lit(1.0)).alias("speaker_confidence"),
         F.coalesce("w.word", "w.text", F.lit("")).alias("punctuated_word"),
@@ -60,7 +61,7 @@ def utterance_words_of(df: DataFrame, column: str = "output") -> DataFrame:
 def segments_of(df: DataFrame, column: str = "output") -> DataFrame:
     """Segment-style output: no speakers, text kept as it is."""
     doc = F.from_json(F.col(column), schemas.SEGMENT_OUTPUT)
-    return df.select(*KEY, F.posexplode(doc["segments"]).alias("seg_no", "s")).select(
+    return explode_once(df, KEY, doc["segments"], "seg_no", "s").select(
         *KEY, F.col("seg_no").cast("long").alias("seg_no"), F.lit(None).cast("int").alias("speaker"),
         F.col("s.start").alias("start_s"), F.col("s.end").alias("end_s"), "s.text",
     )
