@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.operators.ordered import ordered_scan
@@ -26,7 +26,7 @@ def _walk(pos, start, end, i, opened, seconds):
     return groups, opened
 
 
-def word_groups(words: DataFrame, seconds: float = 10.0, block_seconds: float = 3600.0) -> DataFrame:
+def word_groups(words: DataFrame, seconds: float = 10.0, block_rows: int = 16384) -> DataFrame:
     """Timed words with `group_pos`, the position of the first word of their cue.
 
     A cue closes with the first word that ends `seconds` or more after the cue's start, so each cue
@@ -36,21 +36,27 @@ def word_groups(words: DataFrame, seconds: float = 10.0, block_seconds: float =
     """
     timed = words.select(
         *KEY, "pos", "start_s", "end_s", "punctuated_word",
-        F.floor(F.col("start_s") / block_seconds).cast("long").alias("_b"),
+        F.floor(F.col("pos") / block_rows).cast("long").alias("_b"),
     )
+    # No group open at the start of a block began after the latest start of the blocks before.
+    peaks = timed.groupBy(*KEY, "_b").agg(F.max("start_s").alias("_peak"))
+    before = Window.partitionBy(*KEY).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    latest = peaks.select(*KEY, "_b", F.max("_peak").over(before).alias("latest"))
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         pos, start, end = pdf["pos"].tolist(), pdf["start_s"].tolist(), pdf["end_s"].tolist()
-        ends, outs, latest = [], [], None
+        ends, outs, top = [], [], None
+        last_open = pdf["latest"].iloc[0]
+        bound = start[0] if pd.isna(last_open) else max(start[0], last_open)
         # Entries: index 0 for "nothing open", then one per word that may close an incoming group.
         entries = [0]
         for k in range(len(pos)):
-            if latest is None or end[k] > latest:  # a later word with a smaller end never closes first
+            if top is None or end[k] > top:  # a later word with a smaller end never closes first
                 ends.append(end[k])
                 entries.append(k + 1)
-                latest = end[k]
-            if end[k] - start[0] >= seconds:
+                top = end[k]
+            if end[k] - bound >= seconds:
                 break
         reach: dict[int, tuple | None] = {}
         for i in entries:
@@ -68,17 +74,16 @@ def word_groups(words: DataFrame, seconds: float = 10.0, block_seconds: float =
             for p in path:
                 reach[p] = opened
             outs.append(opened)
-        n = len(pdf)
         return pd.DataFrame({
-            "transcript_id": [pdf["transcript_id"].iloc[0]], "_b": [pdf["_b"].iloc[0]], "n": [n], "ends": [ends],
+            "transcript_id": [pdf["transcript_id"].iloc[0]], "_b": [pdf["_b"].iloc[0]], "ends": [ends],
             "out_pos": [[-1 if o is None else o[0] for o in outs]],
             "out_start": [[0.0 if o is None else o[1] for o in outs]],
         })
 
     id_type = words.schema["transcript_id"].dataType.simpleString()
-    blocks = timed.drop("punctuated_word").groupBy(*KEY, "_b").applyInPandas(
+    blocks = timed.drop("punctuated_word").join(latest, [*KEY, "_b"]).groupBy(*KEY, "_b").applyInPandas(
         summarise,
-        f"transcript_id {id_type}, _b long, n long, ends array<double>, out_pos array<long>, out_start array<double>",
+        f"transcript_id {id_type}, _b long, ends array<double>, out_pos array<long>, out_start array<double>",
     )
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -108,10 +113,10 @@ def word_groups(words: DataFrame, seconds: float = 10.0, block_seconds: float =
     )
 
 
-def word_cues(words: DataFrame, seconds: float = 10.0, block_seconds: float = 3600.0) -> DataFrame:
+def word_cues(words: DataFrame, seconds: float = 10.0, block_rows: int = 16384) -> DataFrame:
     """Subtitle cues `(cue_no, start_s, end_s, text)` from words alone."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "punctuated_word")))
-    cues = word_groups(words, seconds, block_seconds).groupBy(*KEY, "group_pos").agg(
+    cues = word_groups(words, seconds, block_rows).groupBy(*KEY, "group_pos").agg(
         F.min_by("start_s", "pos").alias("start_s"), F.max_by("end_s", "pos").alias("end_s"),
         F.array_join(F.transform(ordered, lambda w: w["punctuated_word"]), " ").alias("text"),
     )
