@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # The characters Python's str.strip and \s treat as white space.
 WHITE = "\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SENTENCE_GAP = f"(?<=[.?!])[{WHITE}]+"
-SENTENCE_GAP_ABBREV = f"(?<!\\w\\.\\w.)(?<![A-Z][a-z]\\.)(?<=[.?…-])[{WHITE}]"
+LETTER = "[\\p{L}\\p{N}_]"
+SENTENCE_GAP_ABBREV = f"(?<!{LETTER}\\.{LETTER}.)(?<![A-Z][a-z]\\.)(?<=[.?…-])[{WHITE}]"
 
 
 def lstrip(c: Column) -> Column:
@@ -37,8 +38,7 @@ def split_sentences(c: Column) -> Column:
 
 def split_sentences_abbrev(c: Column) -> Column:
     """Split after . ? … or -, but not after abbreviations such as e.g. or Dr."""
-    gap = "(?U)" + SENTENCE_GAP_ABBREV
-    return F.split(c, gap)
+    return F.split(c, SENTENCE_GAP_ABBREV)
 
 
 def blank_to_null(c: Column) -> Column:

@@ -74,6 +74,35 @@ def video_listing(videos: DataFrame, channels: DataFrame) -> DataFrame:
     )
 
 
+def channel_listing(channels: DataFrame) -> DataFrame:
+    """Channels as served: text ids and ISO times, by name."""
+    return channels.orderBy("channel_name").select(
+        F.col("id").cast("string").alias("id"), "channel_id", "channel_name", "category", "priority", "is_active",
+        iso_text(F.col("last_scanned_at")).alias("last_scanned_at"),
+    )
+
+
+def run_listing(runs: DataFrame, channels: DataFrame, limit: int = 50) -> DataFrame:
+    """Latest runs as served, with the channel's name; the page is cut before the join."""
+    latest = with_channel(page(runs, "started_at", limit), channels, "channel_name")
+    channel = F.when(F.col("channel_name").isNotNull(), F.struct("channel_name"))
+    return latest.select(
+        F.col("id").cast("string").alias("id"), "run_type", F.col("channel_id").cast("string").alias("channel_id"),
+        "videos_discovered", iso_text(F.col("started_at")).alias("started_at"),
+        iso_text(F.col("completed_at")).alias("completed_at"), channel.alias("youtube_channels"),
+    )
+
+
+def transcript_listing(transcripts: DataFrame) -> DataFrame:
+    """Transcripts as served: empty lists for null."""
+    empty = F.array().cast("array<string>")
+    lists = ("speakers", "tags", "categories", "topics")
+    return transcripts.select(*[
+        F.coalesce(F.col(c), empty).alias(c) if c in lists else F.col(c).cast("string").alias(c) if c == "id" else F.col(c)
+        for c in transcripts.columns
+    ])
+
+
 # ---- discovery -----------------------------------------------------------------------------------
 
 
@@ -301,6 +330,12 @@ def run_summary(outcomes: DataFrame, run: str = "run_id") -> DataFrame:
     )
 
 
+def scan_summary(found: DataFrame, run: str = "run_id") -> DataFrame:
+    """Videos discovered per run, and how many failed to be read."""
+    fine = F.col("error").isNull()
+    return found.groupBy(run).agg(F.count_if(fine).alias("videos_discovered"), F.count_if(~fine).alias("n_errors"))
+
+
 def run_errors(outcomes: DataFrame, run: str = "run_id") -> DataFrame:
     return outcomes.filter("error IS NOT NULL").select(run, "error")
 

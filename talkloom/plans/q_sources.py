@@ -290,17 +290,23 @@ def export_markdown_plain(spark, sf):
     return exports.markdown(_finished(spark, sf), include_metadata=False)
 
 
-@query("export_json", f"""SELECT id, loc || '/' || {slug_sql('title')} || '.json' AS path, '{{"title":' || to_json(title)
+_JSON = f"""SELECT id, loc || '/' || {slug_sql('title')} || '.json' AS path, '{{"title":' || to_json(title)
   || CASE WHEN id % 2 = 0 THEN ',"tags":["' || lang || '","a: b"]' ELSE '' END || ',"speakers":["Ann Lee"],"loc":' || to_json(loc) || ',"body":' || to_json(raw_text)
   || CASE WHEN id % 3 > 0 THEN ',"media":"https://example.com/' || id || '"' ELSE '' END || CASE WHEN id % 2 = 0 THEN ',"date":"2024-03-01"' ELSE '' END
-  || ',"transcript_by":"{_BY}"}}' AS content FROM transcripts""", ["transcripts"])
+  || ',"transcript_by":"{_BY}"}}' AS content FROM transcripts"""
+
+
+@query("export_json", _JSON, ["transcripts"])
 def export_json(spark, sf):
     return exports.json_documents(_finished(spark, sf), _BY)
 
 
-@query("export_text", f"""SELECT id, kind, loc || '/' || {slug_sql('title')} || '_' || kind || '.txt' AS path, content FROM (
+_TEXT = f"""SELECT id, kind, loc || '/' || {slug_sql('title')} || '_' || kind || '.txt' AS path, content FROM (
   SELECT id, loc, title, 'raw' AS kind, raw_text AS content FROM transcripts UNION ALL SELECT id, loc, title, 'corrected', corrected_text FROM transcripts
-  UNION ALL SELECT id, loc, title, 'summary', summary FROM transcripts) t WHERE content <> ''""", ["transcripts"])
+  UNION ALL SELECT id, loc, title, 'summary', summary FROM transcripts) t WHERE content <> ''"""
+
+
+@query("export_text", _TEXT, ["transcripts"])
 def export_text(spark, sf):
     return exports.texts(_finished(spark, sf))
 

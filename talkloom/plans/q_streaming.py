@@ -12,7 +12,7 @@ from talkloom.streaming import jobs
 
 
 def _events_stream(spark, sf):
-    """The events file as a stream, with a timestamp a watermark accepts."""
+    """The events file as a stream."""
     schema = views.table(spark, sf, "events").schema
     raw = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "events.parquet").load(sf)
     return raw.withColumn("published_at", F.col("ts").cast("timestamp"))
@@ -29,23 +29,24 @@ def _discovery(spark, sf):
     known = views.table(spark, sf, "events").filter("event_id % 4 = 0").select(
         F.concat(F.lit("v"), F.floor(F.col("event_id") / 2)).alias("video_id"))
     out = scratch_path(spark, "discover")
-    jobs.discover(items, known, out, f"{out}-checkpoint", "40 days").awaitTermination()
+    jobs.discover(items, known, out, f"{out}-checkpoint").awaitTermination()
     return items, out
 
 
-@query("stream_discover", f"""SELECT DISTINCT {_ID} AS video_id FROM events
-WHERE {_ID} NOT IN (SELECT {_ID} FROM events WHERE event_id % 4 = 0)""")
+@query("stream_discover", f"""SELECT {_ID} AS video_id, min_by(user_id, (ts, user_id)) AS channel_id FROM events
+WHERE {_ID} NOT IN (SELECT {_ID} FROM events WHERE event_id % 4 = 0) GROUP BY 1""")
 def stream_discover(spark, sf):
     items, out = _discovery(spark, sf)
-    return jobs.read_batches(spark, f"{out}/videos", items.schema).select("video_id")
+    return jobs.read_batches(spark, f"{out}/videos", items.schema).select("video_id", "channel_id")
 
 
-@query("stream_marks")
+@query("stream_marks", """SELECT user_id AS channel_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS mark FROM events GROUP BY 1""")
 def stream_marks(spark, sf):
     """High-water mark per channel after the run."""
     items, out = _discovery(spark, sf)
     schema = items.select("channel_id", F.col("published_at").alias("mark")).schema
-    return jobs.high_water_marks(spark, out, schema)
+    marks = jobs.high_water_marks(spark, out, schema)
+    return marks.select("channel_id", F.date_format("mark", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("mark"))
 
 
 @query("stream_classify", """SELECT event_id AS id, CASE WHEN d > 0 AND (d < 600 OR d > 3000) THEN false ELSE tech END AS is_technical,
@@ -82,7 +83,9 @@ def stream_tags(spark, sf):
     return stats.select("tag", "frequency", F.array_join("variations", "|").alias("variations"), "context", "first_seen", "last_seen")
 
 
-@query("stream_runs")
+@query("stream_runs", """SELECT 0::BIGINT AS batch_id, count(*) FILTER (event_id % 97 > 0) AS videos_classified,
+  count(*) FILTER (event_id % 97 > 0 AND event_type <> 'error') AS videos_approved,
+  count(*) FILTER (event_id % 97 > 0 AND event_type = 'error') AS videos_rejected, count(*) FILTER (event_id % 97 = 0) AS n_errors FROM events""")
 def stream_runs(spark, sf):
     outcomes = _events_stream(spark, sf).select(
         (F.col("event_type") != "error").alias("is_technical"),

@@ -103,10 +103,17 @@ def sentence_split(spark, sf):
     return rows.select("doc_id", F.col("n").cast("long").alias("sent_no"), "sentence")
 
 
-@query("sentence_split_abbrev")
+_CANDIDATES = f"regexp_replace(text, '([.?…-])({WS})', '\\1' || chr(1) || '\\2', 'g')"
+_GUARDED = f"""regexp_replace(regexp_replace({_CANDIDATES}, '([\\p{{L}}\\p{{N}}_][.][\\p{{L}}\\p{{N}}_][.?…-])\\x01', '\\1', 'g'), '([A-Z][a-z][.])\\x01', '\\1', 'g')"""
+
+
+@query("sentence_split_abbrev", f"""SELECT doc_id, n AS sent_no, s AS sentence FROM (
+  SELECT doc_id, unnest(ss) AS s, unnest(range(len(ss))) AS n FROM (
+    SELECT doc_id, string_split(regexp_replace({_GUARDED}, '\\x01{WS}', chr(1), 'g'), chr(1)) AS ss FROM documents) a) b""")
 def sentence_split_abbrev(spark, sf):
     d = views.spread(views.table(spark, sf, "documents").select("doc_id", "text"))
-    return explode_once(d, ["doc_id"], tx.split_sentences_abbrev(F.col("text")), "sent_no", "sentence")
+    rows = explode_once(d, ["doc_id"], tx.split_sentences_abbrev(F.col("text")), "n", "sentence")
+    return rows.select("doc_id", F.col("n").cast("long").alias("sent_no"), "sentence")
 
 
 _PARSED = """SELECT doc_id, CASE WHEN json_valid(j) THEN (j::JSON ->> 'is_technical') = 'true' ELSE false END AS is_technical,
@@ -392,7 +399,8 @@ def naming_model():
     return run
 
 
-@query("model_stage")
+@query("model_stage", f"""SELECT doc_id, CASE WHEN length(t) % 7 = 0 THEN NULL WHEN length(t) % 5 = 0 THEN substr(t, 1, 10) ELSE replace(t, 'e', 'E') END AS reply,
+  CASE WHEN length(t) % 7 = 0 THEN 'RuntimeError: refused' END AS error FROM (SELECT doc_id, text AS t FROM ({_DOCS_SQL}) d) x""")
 def model_stage(spark, sf):
     rows = _docs(spark, sf).select("doc_id", F.concat(F.lit(prompts.TEXT_START), F.col("text"), F.lit(prompts.TEXT_END)).alias("prompt"))
     return model.model_stage(rows, editing_model, "prompt").select("doc_id", "reply", "error")

@@ -39,29 +39,27 @@ def _run(writer, checkpoint: str) -> StreamingQuery:
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def discover(
-    items: DataFrame, known: DataFrame, out: str, checkpoint: str, delay: str = "1 day"
-) -> StreamingQuery:
-    """Admit each `video_id` once and advance a high-water mark per channel.
+def discover(items: DataFrame, known: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Admit each `video_id` once, in its earliest form, and advance a high-water mark per channel.
 
-    Repeats inside the watermark are dropped by streaming state, whose size the delay bounds; later
-    repeats and known videos by an anti-join per batch. Marks move with everything seen, also known.
+    Repeats are folded inside the batch and removed by anti-joins with the known videos and with what
+    earlier batches admitted, however late they come; no streaming state is kept. Marks move with
+    everything seen, also with known videos.
     """
-    marked = items.withWatermark("published_at", delay)
-    seen_schema = items.select("channel_id", F.col("published_at").alias("mark")).schema
+    mark_schema = items.select("channel_id", F.col("published_at").alias("mark")).schema
 
     def admit(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.persist()
+        rest = [c for c in batch.columns if c != "video_id"]
+        first = batch.groupBy("video_id").agg(F.min_by(F.struct(*rest), F.struct("published_at", "channel_id")).alias("r"))
+        earliest = first.select("video_id", "r.*").select(*batch.columns)
         earlier = _earlier(spark, f"{out}/videos", batch_id, batch.schema).select("video_id")
-        fresh = catalog.unknown(catalog.unknown(batch, known), earlier)
+        fresh = catalog.unknown(catalog.unknown(earliest, known), earlier)
         fresh.write.mode("overwrite").parquet(f"{out}/videos/batch={batch_id}")
         marks = batch.groupBy("channel_id").agg(F.max("published_at").alias("mark"))
-        marks.select(*[f.name for f in seen_schema]).write.mode("overwrite").parquet(f"{out}/marks/batch={batch_id}")
-        batch.unpersist()
+        marks.select(*[f.name for f in mark_schema]).write.mode("overwrite").parquet(f"{out}/marks/batch={batch_id}")
 
-    deduplicated = marked.dropDuplicatesWithinWatermark(["video_id"])
-    return _run(deduplicated.writeStream.foreachBatch(admit), checkpoint)
+    return _run(items.writeStream.foreachBatch(admit), checkpoint)
 
 
 def high_water_marks(spark: SparkSession, out: str, schema) -> DataFrame:
