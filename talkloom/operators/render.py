@@ -59,13 +59,13 @@ def render_sentences(words: DataFrame, sents: DataFrame, placed: DataFrame, per_
     return grouped.select(*KEY, "part_no", F.array_join(F.transform("_a", spaced), "").alias("text"))
 
 
-def _stripped_parts(pieces: DataFrame, no: str) -> DataFrame:
+def _stripped_parts(pieces: DataFrame, no: str, left=lstrip, right=rstrip) -> DataFrame:
     """Join pieces into parts, without white space at the ends of the whole document."""
-    solid = F.when(strip(F.col("piece")) != "", F.col(no))
+    solid = F.when(left(F.col("piece")) != "", F.col(no))
     ends = pieces.groupBy(*KEY).agg(F.min(solid).alias("_lo"), F.max(solid).alias("_hi"))
     kept = pieces.join(ends, KEY).filter(F.col(no).between(F.col("_lo"), F.col("_hi")))
-    piece = F.when(F.col(no) == F.col("_lo"), lstrip(F.col("piece"))).otherwise(F.col("piece"))
-    piece = F.when(F.col(no) == F.col("_hi"), rstrip(piece)).otherwise(piece)
+    piece = F.when(F.col(no) == F.col("_lo"), left(F.col("piece"))).otherwise(F.col("piece"))
+    piece = F.when(F.col(no) == F.col("_hi"), right(piece)).otherwise(piece)
     return concat_parts(kept, KEY, no, F.floor(F.col(no) / PART_ROWS), piece)
 
 
@@ -108,4 +108,10 @@ def render_srt(cues: DataFrame, no: str) -> DataFrame:
     return concat_parts(cues, KEY, no, F.floor(F.col(no) / PART_ROWS), cue)
 
 
+def concat_summaries(summaries: DataFrame, no: str, text: str) -> DataFrame:
+    """A provider's summaries in order, separated by spaces, without spaces at the ends."""
+    pieces = summaries.select(*KEY, no, F.concat(F.lit(" "), F.col(text)).alias("piece"))
+    return _stripped_parts(pieces, no, F.ltrim, F.rtrim)
+
+
 __all__ = ["BLOCK_ROWS", "PART_ROWS", "render_segments", "render_sentences", "render_srt", "render_utterances"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkloom.functions.text import WHITE
 from talkloom.operators.intervals import first_at_or_after, points_in_intervals
 from talkloom.operators.ordered import islands, ordered_scan
 
@@ -225,6 +226,16 @@ def words_in_utterances(
     return inside.groupBy(*KEY, "pos").agg(F.min(no).alias(no))
 
 
+def unplaced_words(words: DataFrame, placed: DataFrame) -> DataFrame:
+    """Words no utterance contains."""
+    return words.join(placed.select(*KEY, "pos"), [*KEY, "pos"], "left_anti")
+
+
+def spaced_words(words: DataFrame) -> DataFrame:
+    """Words holding white space, which sentence splitting does not allow: rejects to look at."""
+    return words.filter(F.col("punctuated_word").rlike(f"[{WHITE}]"))
+
+
 def has_diarization(words: DataFrame) -> DataFrame:
     return words.groupBy(*KEY).agg(F.bool_or(F.col("speaker").isNotNull()).alias("has_diarization"))
 

@@ -14,7 +14,7 @@ from talkloom.plans.registry import query
 from talkloom.plans.q_text import slug_sql
 from talkloom.scratch import scratch_path
 from talkloom.sinks import exports
-from talkloom.sinks.files import output_paths, write_named
+from talkloom.sinks.files import data_path, output_paths, write_named
 from talkloom.sources import documents, providers
 
 
@@ -265,7 +265,7 @@ def _finished(spark, sf):
         (F.col("id") % 3 == 0).alias("local"), F.when(F.col("id") % 2 == 0, F.lit("2024-03-01").cast("date")).alias("date"),
         F.when(F.col("id") % 5 == 0, F.lit(7)).alias("episode"), none.cast("string").alias("conference"),
         F.lit("audio").alias("type"), F.array().cast("array<string>").alias("chapters"), F.lit("").alias("description"),
-        none.cast("array<string>").alias("additional_resources"))
+        none.cast("array<map<string,string>>").alias("additional_resources"))
 
 
 _BY = exports.attribution("user", "tool", "1.0.0", " --needs-review")
@@ -291,7 +291,7 @@ def export_markdown_plain(spark, sf):
 
 
 _JSON = f"""SELECT id, loc || '/' || {slug_sql('title')} || '.json' AS path, '{{"title":' || to_json(title)
-  || CASE WHEN id % 2 = 0 THEN ',"tags":["' || lang || '","a: b"]' ELSE '' END || ',"speakers":["Ann Lee"],"loc":' || to_json(loc) || ',"body":' || to_json(raw_text)
+  || ',"categories":[]' || CASE WHEN id % 2 = 0 THEN ',"tags":["' || lang || '","a: b"]' ELSE ',"tags":[]' END || ',"speakers":["Ann Lee"],"loc":' || to_json(loc) || ',"body":' || to_json(raw_text)
   || CASE WHEN id % 3 > 0 THEN ',"media":"https://example.com/' || id || '"' ELSE '' END || CASE WHEN id % 2 = 0 THEN ',"date":"2024-03-01"' ELSE '' END
   || ',"transcript_by":"{_BY}"}}' AS content FROM transcripts"""
 
@@ -311,8 +311,8 @@ def export_text(spark, sf):
     return exports.texts(_finished(spark, sf))
 
 
-@query("source_document", f"""SELECT id, '{{"title":' || to_json(title) || ',"speakers":["Ann Lee"]' || CASE WHEN id % 2 = 0 THEN ',"tags":["' || lang || '","a: b"]' ELSE '' END
-  || ',"type":"audio","loc":' || to_json(loc) || ',"source_file":"https://example.com/' || id || '","media":"https://example.com/' || id || '","chapters":[]'
+@query("source_document", f"""SELECT id, '{{"title":' || to_json(title) || ',"speakers":["Ann Lee"]' || CASE WHEN id % 2 = 0 THEN ',"tags":["' || lang || '","a: b"]' ELSE ',"tags":[]' END
+  || ',"type":"audio","loc":' || to_json(loc) || ',"source_file":"https://example.com/' || id || '","media":"https://example.com/' || id || '","categories":[],"chapters":[]'
   || CASE WHEN id % 2 = 0 THEN ',"date":"2024-03-01"' ELSE '' END || CASE WHEN summary <> '' THEN ',"summary":' || to_json(summary) ELSE '' END
   || CASE WHEN id % 5 = 0 THEN ',"episode":7' ELSE '' END || '}}' AS document FROM transcripts""", ["transcripts"])
 def source_document(spark, sf):
@@ -320,11 +320,12 @@ def source_document(spark, sf):
 
 
 @query("output_paths", f"""SELECT id, 'out/' || loc || '/' || {slug_sql('title')} || '_raw_2024-02-01T000000Z.txt' AS path,
-  'out/' || {slug_sql('title')} || '.json' AS bare_path FROM transcripts""", ["transcripts"])
+  'out/' || {slug_sql('title')} || '.json' AS bare_path, 'meta/' || loc || '/' || {slug_sql('title')} || '/deepgram_2024-02-01T000000Z.json' AS data_path FROM transcripts""", ["transcripts"])
 def paths(spark, sf):
     t = views.transcripts(spark, sf).withColumn("nested", F.concat(F.lit("/"), F.col("loc"), F.lit("/"))).withColumn("none", F.lit(""))
-    return t.select("id", output_paths(t, "out/", "nested", "title", F.lit("_raw"), "txt", "2024-02-01T000000Z").alias("path"),
-                    output_paths(t, "out", "none", "title", F.lit(""), "json").alias("bare_path"))
+    return t.select("id", output_paths("out/", "nested", "title", F.lit("_raw"), "txt", "2024-02-01T000000Z").alias("path"),
+                    output_paths("out", "none", "title", F.lit(""), "json").alias("bare_path"),
+                    data_path("meta", "nested", "title", "deepgram", "json", "2024-02-01T000000Z").alias("data_path"))
 
 
 # ---- provider output: every turn of a conversation as one document

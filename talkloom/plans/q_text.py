@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talkloom.functions import prompts, replies, text as tx, timing
-from talkloom.operators import chunks, model, tags
+from talkloom.operators import chunks, model, render, tags
 from talkloom.operators.rows import explode_once
 from talkloom.plans import views
 from talkloom.plans.q_tags import _CONTEXT_ROWS, _context
@@ -475,9 +475,9 @@ def overlap_matches(spark, sf):
     return out.withColumn("speaker", F.col("speaker").cast("long"))
 
 
-@query("concat_summaries", """SELECT transcript_id, turn // 4096 AS part_no, string_agg(CASE WHEN turn = 0 THEN '' ELSE ' ' END || s, '' ORDER BY turn) AS text
+@query("concat_summaries", """SELECT transcript_id, turn // 256 AS part_no, string_agg(CASE WHEN turn = 0 THEN '' ELSE ' ' END || s, '' ORDER BY turn) AS text
 FROM (SELECT conv_id AS transcript_id, turn, trim(split_part(text, '.', 1)) AS s FROM conversations) x GROUP BY 1, 2""")
 def concat_summaries(spark, sf):
     parts = views.table(spark, sf, "conversations").select(
         F.col("conv_id").alias("transcript_id"), "turn", F.trim(F.split_part("text", F.lit("."), F.lit(1))).alias("s"))
-    return chunks.concat_summaries(parts, "turn", "s")
+    return render.concat_summaries(parts, "turn", "s")

@@ -37,21 +37,52 @@ def _maybe(present: Column, line: Column) -> Column:
     return F.when(F.coalesce(present, F.lit(False)), line).otherwise("")
 
 
-def front_matter(transcript_by: str | None) -> Column:
-    """Source metadata as YAML lines, without type, place, chapters and description."""
+def _indent(lines: Column) -> Column:
+    return F.regexp_replace(lines, "(?m)^(?=.)", "  ")
+
+
+def _platform_yaml() -> Column:
+    """The platform's metadata as a nested mapping; present for videos, null if there is none."""
+    y = F.col("youtube")
+    nested = F.concat(
+        _line("description", _yaml_text(y["description"])), _yaml_list("tags", y["tags"]),
+        _yaml_list("categories", y["categories"]), _line("channel_name", _yaml_text(y["channel_name"])),
+    )
+    block = F.when(y.isNull(), "youtube: null\n").otherwise(F.concat(F.lit("youtube:\n"), _indent(nested)))
+    return _maybe(F.col("type") == "video", block)
+
+
+def _resources_yaml() -> Column:
+    def entry(m: Column) -> Column:
+        lines = F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit(": "), _yaml_text(e["value"]), F.lit("\n")))
+        return F.concat(F.lit("  - "), F.regexp_replace(F.array_join(lines, ""), "\n(?=.)", "\n    "))
+
+    listed = F.array_join(F.transform("additional_resources", entry), "")
+    return _maybe(F.size("additional_resources") > 0, F.concat(F.lit("additional_resources:\n"), listed))
+
+
+def front_matter(columns: list[str], transcript_by: str | None) -> Column:
+    """Source metadata as YAML lines, without type, place, chapters and description.
+
+    `columns` are those of the table: platform metadata and resources are shown where it has them.
+    """
 
     def filled(name: str) -> Column:
         return F.col(name) != ""
 
+    resources = _resources_yaml() if "additional_resources" in columns else F.lit("")
+    platform = _platform_yaml() if {"youtube", "type"} <= set(columns) else F.lit("")
     return F.concat(
         _line("title", _yaml_text(F.col("title"))), _yaml_list("speakers", F.col("speakers")), _yaml_list("tags", F.col("tags")),
         _line("source_file", _yaml_text(F.col("source_file"))), _line("media", _yaml_text(F.col("media"))),
         _yaml_list("categories", F.col("categories")),
         _maybe(F.col("date").isNotNull(), _line("date", F.concat(F.lit("'"), F.col("date").cast("string"), F.lit("'")))),
         _maybe(filled("summary"), _line("summary", _yaml_text(F.col("summary")))),
+        resources,
         _maybe(F.col("episode") != 0, _line("episode", F.col("episode").cast("string"))),
         _maybe(filled("conference"), _line("conference", _yaml_text(F.col("conference")))),
         _maybe(F.size("topics") > 0, _yaml_list("topics", F.col("topics"))),
+        platform,
         _line("transcript_by", _yaml_text(F.lit(transcript_by))) if transcript_by else F.lit(""),
     )
 
@@ -64,7 +95,7 @@ def markdown(docs: DataFrame, transcript_by: str | None = None, include_metadata
     text = F.col("raw_text") if body == "raw" else F.coalesce("corrected_text", "raw_text")
     content = F.col("raw_text")
     if include_metadata:
-        content = F.concat(F.lit("---\n"), front_matter(transcript_by), F.lit("---\n\n"), text, F.lit("\n"))
+        content = F.concat(F.lit("---\n"), front_matter(docs.columns, transcript_by), F.lit("---\n\n"), text, F.lit("\n"))
     name = F.concat(slugify(F.col("title")), F.lit("" if include_metadata else "_plain"), F.lit(".md"))
     return docs.filter("raw_text IS NOT NULL").select("id", F.concat_ws("/", "loc", name).alias("path"), content.alias("content"))
 
@@ -73,9 +104,13 @@ def missing_text(docs: DataFrame) -> DataFrame:
     return docs.filter("raw_text IS NULL").select("id", F.lit("No transcript content found").alias("error"))
 
 
+def _filled_list(name: str) -> Column:
+    return F.coalesce(F.col(name), F.array().cast("array<string>")).alias(name)
+
+
 def json_documents(docs: DataFrame, transcript_by: str | None = None) -> DataFrame:
     """`(id, path, content)`; absent media, date and attribution are left out."""
-    fields = [F.col(c) for c in ("title", "categories", "tags", "speakers", "loc")]
+    fields = ["title", *[_filled_list(c) for c in ("categories", "tags", "speakers")], "loc"]
     doc = F.struct(
         *fields, F.col("raw_text").alias("body"), F.when(~F.col("local"), F.col("media")).alias("media"),
         F.col("date").cast("string").alias("date"), F.lit(transcript_by).cast("string").alias("transcript_by"),
@@ -94,16 +129,22 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def source_document(youtube: bool = True) -> Column:
-    """The JSON document of a source: empty optional fields are left out."""
-    optional = [blank_to_null(F.col(c)).alias(c) for c in ("description",)]
-    return F.to_json(F.struct(
-        "title", "speakers", "tags", "type", "loc", "source_file", "media", "categories", "chapters", *optional,
+    """The JSON document of a source: empty optional fields are left out.
+
+    A video's platform metadata is always there, as null if there is none.
+    """
+    doc = F.to_json(F.struct(
+        "title", _filled_list("speakers"), _filled_list("tags"), "type", "loc", "source_file", "media",
+        _filled_list("categories"), "chapters", blank_to_null(F.col("description")).alias("description"),
         F.col("date").cast("string").alias("date"), blank_to_null(F.col("summary")).alias("summary"),
         F.when(F.size("additional_resources") > 0, F.col("additional_resources")).alias("additional_resources"),
         F.when(F.col("episode") != 0, F.col("episode")).alias("episode"), blank_to_null(F.col("conference")).alias("conference"),
         F.when(F.size("topics") > 0, F.col("topics")).alias("topics"),
         *([F.col("youtube")] if youtube else []),
     ))
+    if not youtube:
+        return doc
+    return F.when(F.col("youtube").isNull(), F.concat(F.regexp_replace(doc, "\\}\\z", ""), F.lit(',"youtube":null}'))).otherwise(doc)
 
 
 EXPORTS = {"markdown": markdown, "json": json_documents, "text": lambda docs, transcript_by=None: texts(docs)}

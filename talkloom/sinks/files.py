@@ -10,11 +10,24 @@ from pyspark.sql import functions as F
 from talkloom.functions.text import slugify
 
 
-def output_paths(df: DataFrame, base: str, loc: str, title: str, suffix: Column, extension: str, stamp: str | None = None) -> Column:
+def _folder(base: str, *parts: Column) -> Column:
+    kept = [F.when(p != "", p) for p in parts]
+    return F.concat_ws("/", F.lit(base.rstrip("/")), *kept)
+
+
+def _place(loc: str) -> Column:
+    return F.regexp_replace(F.col(loc), "\\A/+|/+\\z", "")
+
+
+def data_path(base: str, loc: str, title: str, name: str, extension: str, stamp: str | None = None) -> Column:
+    """`base/loc/slug/name[_stamp].extension`, where working data of a transcript is kept."""
+    return _folder(base, _place(loc), slugify(F.col(title)), F.lit(f"{name}{f'_{stamp}' if stamp else ''}.{extension}"))
+
+
+def output_paths(base: str, loc: str, title: str, suffix: Column, extension: str, stamp: str | None = None) -> Column:
     """`base/loc/slug<suffix>[_stamp].extension`; the time stamp is given, not taken from a clock."""
-    trimmed = F.regexp_replace(F.col(loc), "\\A/+|/+\\z", "")
     name = F.concat(slugify(F.col(title)), suffix, F.lit(f"_{stamp}" if stamp else ""), F.lit(f".{extension}"))
-    return F.concat_ws("/", F.lit(base.rstrip("/")), F.when(trimmed != "", trimmed), name)
+    return _folder(base, _place(loc), name)
 
 
 def write_named(df: DataFrame, base: str) -> None:

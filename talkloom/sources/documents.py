@@ -16,17 +16,19 @@ PRIVATE_TITLE = "[Private video]"
 _SOURCE = f"""source_file string, title string, speakers array<string>, categories array<string>,
 tags array<string>, chapters array<array<string>>, loc string, date string, summary string,
 episode int, additional_resources array<map<string,string>>, cutoff_date string,
-youtube {schemas.PLATFORM}, media string"""
+youtube {schemas.PLATFORM}, media string, whisper_output string, deepgram_output string,
+deepgram_chunks array<string>"""
 
 
 def read_source_list(spark: SparkSession, path: str, excluded_key: str = "excluded") -> tuple[DataFrame, DataFrame]:
     """Sources of every file below `path` (one object or an array each): (accepted, rejected).
 
-    Missing keys get their defaults. A source without a file, or with a date that does not parse, is
+    Missing keys get their defaults; names of saved provider output are resolved against the list's folder. A source without a file, or with a date that does not parse, is
     rejected with a reason.
     """
     schema = f"{_SOURCE}, `{excluded_key}` array<struct<media:string>>"
     raw = spark.read.schema(schema).option("multiLine", True).json(path, recursiveFileLookup=True)
+    raw = raw.withColumn("_file", F.col("_metadata.file_path"))
     no_texts = F.array().cast("array<string>")
 
     def listed(name: str) -> Column:
@@ -35,6 +37,11 @@ def read_source_list(spark: SparkSession, path: str, excluded_key: str = "exclud
     def bad_date(name: str) -> Column:
         return F.col(name).isNotNull() & parse_date(F.col(name)).isNull()
 
+    folder = F.regexp_replace("_file", "/[^/]*$", "")
+
+    def beside(c: Column) -> Column:
+        return F.when(c.isNotNull(), F.concat_ws("/", folder, c))
+
     chapters = F.transform(
         F.coalesce("chapters", F.array().cast("array<array<string>>")),
         lambda c: F.struct(c[0].alias("idx"), c[1].try_cast("double").alias("start"), c[2].alias("title")),
@@ -44,6 +51,8 @@ def read_source_list(spark: SparkSession, path: str, excluded_key: str = "exclud
         listed("tags"), chapters.alias("chapters"), F.coalesce("loc", F.lit("")).alias("loc"), "date", "summary", "episode",
         "additional_resources", "cutoff_date", "youtube", "media",
         F.coalesce(F.col(excluded_key)["media"], no_texts).alias("excluded_media"),
+        beside(F.col("whisper_output")).alias("whisper_output"), beside(F.col("deepgram_output")).alias("deepgram_output"),
+        F.transform(F.coalesce("deepgram_chunks", no_texts), beside).alias("deepgram_chunks"),
         F.when(F.col("source_file").isNull(), "source_file is required")
         .when(bad_date("date"), "date does not match yyyy-MM-dd")
         .when(bad_date("cutoff_date"), "cutoff_date does not match yyyy-MM-dd").alias("_reject"),
@@ -102,8 +111,11 @@ _ITEM = """title string, link string, description string, pubDate string,
 enclosure struct<_url:string,_type:string>, episode string"""
 
 
-def read_feed_items(spark: SparkSession, path: str) -> DataFrame:
-    """Audio episodes of RSS feeds below `path`; other enclosures are left out."""
+def read_feed_items(spark: SparkSession, path: str, parent: dict[str, Column] | None = None) -> DataFrame:
+    """Audio episodes of RSS feeds below `path`; other enclosures are left out.
+
+    `parent` holds what every episode inherits from its feed, such as place, tags and speakers.
+    """
     items = spark.read.format("xml").options(rowTag="item", ignoreNamespace="true").schema(_ITEM).load(path)
     at = F.regexp_extract("pubDate", "(\\d{1,2} \\w{3} \\d{4} \\d{2}:\\d{2}:\\d{2})", 1)
     zone = F.regexp_extract("pubDate", "([+-]\\d{4})\\s*$", 1)
@@ -112,6 +124,7 @@ def read_feed_items(spark: SparkSession, path: str) -> DataFrame:
         F.col("enclosure._url").alias("source_file"), "title",
         F.try_to_timestamp(stamp, F.lit("d MMM yyyy HH:mm:ss Z")).cast("date").alias("date"),
         F.col("episode").try_cast("int").alias("episode"), F.col("link").alias("media"), "description",
+        *[c.alias(n) for n, c in (parent or {}).items()],
     )
 
 

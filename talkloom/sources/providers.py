@@ -31,8 +31,8 @@ def summaries_of(df: DataFrame, column: str = "output") -> DataFrame:
     return explode_once(df, KEY, found, "n", "s").select(*KEY, "n", F.col("s.summary").alias("summary"))
 
 
-def utterances_of(df: DataFrame, column: str = "output") -> DataFrame:
-    """Utterance-style output; without utterances the whole transcription is one."""
+def utterances_of(df: DataFrame, column: str = "output", diarize: bool = True) -> DataFrame:
+    """Utterance-style output; without utterances the whole transcription is one, without a speaker."""
     doc = F.from_json(F.col(column), schemas.UTTERANCE_OUTPUT)
     ws = F.coalesce(doc["words"], F.array().cast("array<struct<word:string,text:string,start:double,`end`:double,confidence:double>>"))
     zero = F.lit(0.0)
@@ -44,7 +44,7 @@ def utterances_of(df: DataFrame, column: str = "output") -> DataFrame:
     rows = explode_once(df, [*KEY, F.size(doc["utterances"]).alias("n")], listed, "utt_no", "u")
     return rows.select(
         *KEY, F.col("utt_no").cast("long").alias("utt_no"),
-        F.when(F.col("n") > 0, speaker_id(F.coalesce("u.speaker", F.lit("speaker_0")))).alias("speaker"),
+        F.when((F.col("n") > 0) & F.lit(diarize), speaker_id(F.coalesce("u.speaker", F.lit("speaker_0")))).alias("speaker"),
         F.col("u.start").alias("start_s"), F.col("u.end").alias("end_s"), F.coalesce("u.text", F.lit("")).alias("text"),
     )
 

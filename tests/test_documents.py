@@ -50,6 +50,30 @@ def test_json_with_and_without_attribution(spark):
     assert signed["transcript_by"] == "U via tool v1" and "media" not in signed and "date" not in signed
 
 
+def test_front_matter_of_a_video(spark):
+    df = docs(spark).withColumn("type", F.lit("video")).withColumn(
+        "additional_resources", F.array(F.create_map(F.lit("title"), F.lit("Slides"), F.lit("url"), F.lit("https://x/s"))))
+    y = F.struct(F.lit("about it").alias("description"), F.array(F.lit("a")).alias("tags"), F.array().cast("array<string>").alias("categories"), F.lit("Chan").alias("channel_name"))
+    head = exports.markdown(df.withColumn("youtube", y)).first().content.split("---\n")[1]
+    assert "additional_resources:\n  - title: Slides\n    url: \"https://x/s\"\n" in head
+    assert head.endswith("youtube:\n  description: about it\n  tags:\n    - a\n  categories: []\n  channel_name: Chan\n")
+    none = exports.markdown(df.withColumn("youtube", F.lit(None).cast(y_type()))).first().content
+    assert "youtube: null\n" in none
+
+
+def y_type():
+    from talkloom import schemas
+
+    return schemas.PLATFORM
+
+
+def test_source_document_of_a_video(spark):
+    df = docs(spark).withColumn("type", F.lit("video")).withColumn("chapters", F.array().cast("array<string>")).withColumn("description", F.lit(""))
+    df = df.withColumn("additional_resources", F.lit(None).cast("array<map<string,string>>")).withColumn("youtube", F.lit(None).cast(y_type()))
+    doc = json.loads(df.select(exports.source_document()).first()[0])
+    assert doc["youtube"] is None and doc["chapters"] == [] and "description" not in doc and "episode" not in doc and doc["categories"] == ["category1"]
+
+
 def test_texts_skip_what_is_absent(spark):
     rows = exports.texts(docs(spark, corrected_text="", summary="S")).collect()
     assert {(r.kind, r.path) for r in rows} == {("raw", "test/location/test-transcript_raw.txt"), ("summary", "test/location/test-transcript_summary.txt")}
@@ -72,12 +96,13 @@ def test_named_files_and_parts(spark, tmp_path):
 
 
 def test_source_lists_fill_defaults_and_reject(spark, tmp_path):
-    (tmp_path / "one.json").write_text(json.dumps({"source_file": "a.mp3", "excluded": [{"media": "m1"}], "chapters": [["0", 1.5, "Intro"]], "youtube": {"tags": ["x"]}}))
+    (tmp_path / "one.json").write_text(json.dumps({"source_file": "a.mp3", "excluded": [{"media": "m1"}], "chapters": [["0", 1.5, "Intro"]], "deepgram_output": "dg.json", "youtube": {"tags": ["x"]}}))
     (tmp_path / "many.json").write_text(json.dumps([{"title": "no file"}, {"source_file": "b", "date": "2024-1-1x"}, {"source_file": "c", "date": "2024-01-02", "tags": ["t"]}]))
     good, bad = documents.read_source_list(spark, str(tmp_path))
     rows = {r.source_file: r for r in good.collect()}
     assert set(rows) == {"a.mp3", "c"} and rows["a.mp3"].title == "no-title" and rows["a.mp3"].speakers == [] and rows["a.mp3"].loc == ""
     assert rows["a.mp3"].excluded_media == ["m1"] and rows["a.mp3"].chapters[0].start == 1.5 and str(rows["c"].date) == "2024-01-02"
+    assert rows["a.mp3"].deepgram_output.endswith(f"{tmp_path}/dg.json") and rows["c"].deepgram_chunks == []
     assert {r.reason for r in bad.collect()} == {"source_file is required", "date does not match yyyy-MM-dd"}
 
 

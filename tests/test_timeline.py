@@ -148,6 +148,12 @@ def test_first_containing_utterance_wins(spark):
     utts = spark.createDataFrame([(1, 0, 0.0, 5.0), (1, 1, 4.0, 9.0)], "transcript_id long, u long, start_s double, end_s double")
     got = {r.pos: r.u for r in timeline.words_in_utterances(words, utts, "u").collect()}
     assert got == {0: 0, 1: 0, 2: 1, 3: 0}
+    assert timeline.unplaced_words(words, timeline.words_in_utterances(words, utts.filter("u = 1"), "u")).count() == 1
+
+
+def test_summaries_are_joined_by_spaces(spark):
+    df = spark.createDataFrame([(1, 0, " a "), (1, 1, "b\n"), (1, 2, "")], "transcript_id long, n long, s string")
+    assert whole(render.concat_summaries(df, "n", "s")) == {1: (" " + " a " + " b\n" + " ").strip(" ")}
 
 
 def test_overlap_matches_equal_all_pairs(spark):
