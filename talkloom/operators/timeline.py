@@ -14,10 +14,10 @@ BLOCK_ROWS = 4096  # rows per block of a long sequence, and words per text part
 
 # A sentence may end after these; a sentence ending in none of the second set, with
 # a different speaker confidence on the other side, runs on into the next speaker's segment.
-SENTENCE_END = "[.?…-]\\z"
+SENTENCE_END = [".", "?", "…", "-"]
 ABBREVIATION = "[\\p{L}\\p{N}_]\\.[\\p{L}\\p{N}_].\\z"
 SHORT_TITLE = "[A-Z][a-z]\\.\\z"
-CLOSED_END = "[.?,…]\\z"
+CLOSED_END = [".", "?", ",", "…"]
 
 
 def row_block(no: str = "pos") -> Column:
@@ -26,7 +26,8 @@ def row_block(no: str = "pos") -> Column:
 
 def ends_sentence(word: Column) -> Column:
     """Whether text may be split after `word`: the whitespace split pattern, seen from one word."""
-    return word.rlike(SENTENCE_END) & ~word.rlike(ABBREVIATION) & ~word.rlike(SHORT_TITLE)
+    # The cheap test first: patterns are tried only on words that end like a sentence.
+    return F.substring(word, -1, 1).isin(SENTENCE_END) & ~word.rlike(ABBREVIATION) & ~word.rlike(SHORT_TITLE)
 
 
 def _flagged(words: DataFrame, diarize: bool) -> DataFrame:
@@ -94,7 +95,7 @@ def sentences(marked: DataFrame) -> DataFrame:
         F.max_by("end_s", "pos").alias("end_s"),
         F.min("pos").alias("first_pos"),
         F.max("pos").alias("last_pos"),
-        F.max_by(w.rlike(CLOSED_END), "pos").alias("closed"),
+        F.max_by(F.substring(w, -1, 1).isin(CLOSED_END), "pos").alias("closed"),
         F.min_by("speaker_confidence", "pos").alias("first_conf"),
         F.max_by("speaker_confidence", "pos").alias("last_conf"),
     )
