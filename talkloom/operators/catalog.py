@@ -130,7 +130,11 @@ def newest_per_channel(items: DataFrame, n: int = 50) -> DataFrame:
 
 
 def id_batches(items: DataFrame, size: int = 50, block_seconds: int = 3600) -> DataFrame:
-    """Ids of a channel, newest first, in comma-separated batches of `size`."""
+    """Ids of a channel, newest first, in comma-separated batches of `size`.
+
+    After newest_per_channel a channel has few ids; without it, choose `block_seconds` so that a
+    channel's ids of that span fit a task.
+    """
     aged = items.select("channel_id", "id", "video_id", (-F.unix_micros("published_at")).alias("_age"))
     numbered = ordered_scan(
         aged, ["channel_id"], ["_age", "id"], F.floor(F.col("_age") / (block_seconds * 1_000_000)),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.functions.text import strip
-from talkloom.operators.ordered import ordered_scan
+from talkloom.operators.ordered import ordered_scan, pair_number
 from talkloom.operators.rows import explode_once
 from talkloom.operators.timeline import KEY
 
@@ -93,7 +93,7 @@ def combine_chunks(items: DataFrame, length: float, overlap: float, order: str =
 
 def global_speakers(items: DataFrame, order: str = "pos") -> DataFrame:
     """Local speaker ids to ids in order of first appearance over all chunks."""
-    first = items.groupBy(*KEY, "speaker").agg(F.min(F.struct("chunk_no", order)).alias("_first"))
+    first = items.groupBy(*KEY, "speaker").agg(F.min(pair_number(F.col("chunk_no"), F.col(order))).alias("_first"))
     from pyspark.sql import Window
 
     # One row per speaker of a transcript is left here.

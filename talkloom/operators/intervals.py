@@ -24,7 +24,8 @@ def points_in_intervals(
 
     An interval is listed in every bucket it touches and a point in its own, so a task compares only
     what lies within `width` seconds of each other. Column names of the two sides must differ,
-    except for `keys`.
+    except for `keys`. All pairs of a point share its bucket, kept as `_bucket`: grouping by (keys,
+    bucket, point) afterwards needs no further shuffle.
     """
     spread = intervals.withColumn(
         "_bucket",
@@ -41,7 +42,6 @@ def points_in_intervals(
     return (
         placed.join(spread, [*keys, "_bucket"])
         .filter((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end) + reach))
-        .drop("_bucket")
     )
 
 

@@ -17,6 +17,14 @@ from pyspark.sql import functions as F
 _BLOCK = "_block"
 
 
+def pair_number(high: Column, low: Column) -> Column:
+    """Two whole numbers as one that orders like the pair (`low` below 10**15).
+
+    Aggregates keep a number in place in a hash map, where a struct makes them sort their input first.
+    """
+    return high.cast("decimal(19,0)") * F.lit(10**15).cast("decimal(16,0)") + low.cast("decimal(15,0)")
+
+
 def _order_key(order: Sequence[str]) -> Column:
     return F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
 

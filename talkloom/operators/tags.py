@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.functions.text import strip
+from talkloom.operators.ordered import pair_number
 from talkloom.operators.rows import explode_once
 from talkloom.scratch import materialise
 
@@ -69,8 +70,13 @@ def _valid(rows: DataFrame, kinds: Sequence[str]) -> DataFrame:
     return rows.filter(F.col("kind").isin(list(kinds)) & (strip(F.col("tag")) != ""))
 
 
-def _at() -> Column:
-    return F.struct("item_id", "seq")
+def _first_use() -> Column:
+    """Aggregate: struct(item_id, seq) of the first use, as a minimum over one number."""
+    first = F.min(pair_number(F.col("item_id"), F.col("seq")))
+    width = F.lit(10**15).cast("decimal(16,0)")
+    return F.struct(
+        F.floor(first / width).cast("long").alias("item_id"), (first % width).cast("int").alias("seq")
+    )
 
 
 def all_tags(manual: Column, platform: Column, categories: Column) -> Column:
@@ -89,7 +95,7 @@ def tag_context(tag: Column) -> Column:
 def spelling_counts(rows: DataFrame) -> DataFrame:
     spelled = _valid(rows, TAG_KINDS).withColumn("spelling", strip(F.col("tag")))
     return spelled.groupBy(F.lower("spelling").alias("tag"), "spelling").agg(
-        F.count("*").alias("n"), F.min(_at()).alias("first"), F.max("item_id").alias("last_seen")
+        F.count("*").alias("n"), _first_use().alias("first"), F.max("item_id").alias("last_seen")
     )
 
 
@@ -115,7 +121,7 @@ def fold_spellings(per_spelling: DataFrame) -> DataFrame:
 def category_stats(rows: DataFrame) -> DataFrame:
     named = _valid(rows, ["category"])
     return named.groupBy(F.lower(strip(F.col("tag"))).alias("category")).agg(
-        F.count("*").alias("frequency"), F.min(_at()).alias("first")
+        F.count("*").alias("frequency"), _first_use().alias("first")
     )
 
 
@@ -148,14 +154,14 @@ def technical_terms(
     # Fold repeats inside an item before the join, which is then on distinct ids.
     per_item = tags.groupBy("item_id", low.alias("term")).agg(F.min("seq").alias("seq"))
     kept = per_item.join(on_topic_items(rows, texts, topic), "item_id", "left_semi")
-    return kept.groupBy("term").agg(F.min(_at()).alias("first"))
+    return kept.groupBy("term").agg(_first_use().alias("first"))
 
 
 def project_names(rows: DataFrame, words: Sequence[str] = PROJECT_WORDS) -> DataFrame:
     """Distinct tags longer than two characters that start upper case or hold a project word."""
     looks = F.col("tag").rlike("^\\p{Lu}") | contains_any(F.lower("tag"), words)
     tags = rows.filter(F.col("kind").isin(TAG_KINDS) & (F.length("tag") > 2) & looks)
-    return tags.groupBy(F.col("tag").alias("project")).agg(F.min(_at()).alias("first"))
+    return tags.groupBy(F.col("tag").alias("project")).agg(_first_use().alias("first"))
 
 
 def expertise_areas(rows: DataFrame, areas: dict[str, list[str]] | None = None) -> DataFrame:
@@ -164,17 +170,16 @@ def expertise_areas(rows: DataFrame, areas: dict[str, list[str]] | None = None)
     low = F.lower("tag")
     hits = F.array(*[F.when(contains_any(low, ks), F.struct(F.lit(i).alias("no"), F.lit(a).alias("area")))
                      for i, (a, ks) in enumerate(areas.items())])
-    order = F.when(F.col("kind") == "category", -1).otherwise(F.col("seq"))
+    order = F.when(F.col("kind") == "category", 0).otherwise(F.col("seq") + 1)
     kept = rows.filter(F.col("kind").isin(TAG_KINDS))
     found = explode_once(kept, ["item_id", order.alias("seq")], F.filter(hits, lambda h: h.isNotNull()), "_i", "h")
-    return found.groupBy(F.col("h.area").alias("area")).agg(
-        F.min(F.struct("item_id", "seq", "h.no")).alias("first")
-    )
+    seen = found.groupBy(F.col("h.area").alias("area")).agg(_first_use().alias("f"), F.min("h.no").alias("no"))
+    return seen.select("area", F.struct("f.item_id", "f.seq", "no").alias("first"))
 
 
 def recent_speakers(rows: DataFrame, keep: int = SPEAKERS_KEPT) -> DataFrame:
     """The last `keep` distinct speakers in order of first appearance."""
-    seen = _valid(rows, ["speaker"]).groupBy(strip(F.col("tag")).alias("speaker")).agg(F.min(_at()).alias("first"))
+    seen = _valid(rows, ["speaker"]).groupBy(strip(F.col("tag")).alias("speaker")).agg(_first_use().alias("first"))
     return seen.orderBy(F.desc("first")).limit(keep)
 
 

@@ -171,11 +171,11 @@ def chapter_sentence(chapters: DataFrame, sents: DataFrame, width: float = 8.0)
     found = points_in_intervals(
         chapters.select(*KEY, "chapter_no", "start_s"), spans, KEY, "start_s", "sent_start", "sent_end", width
     )
-    first = found.groupBy(*KEY, "chapter_no").agg(
+    first = found.groupBy(*KEY, "_bucket", "chapter_no").agg(
         F.min("sent_no").alias("sent_no"),
         F.min_by("sent_start", "sent_no").alias("sent_start"),
         F.min_by("sent_end", "sent_no").alias("sent_end"),
-    )
+    ).drop("_bucket")
     return chapters.join(first, [*KEY, "chapter_no"], "left")
 
 
@@ -224,7 +224,7 @@ def words_in_utterances(
     inside = points_in_intervals(
         words.select(*KEY, "pos", "start_s", "end_s"), spans, KEY, "start_s", "_us", "_ue", width, slack
     ).filter(F.col("end_s") <= F.col("_ue") + slack)
-    return inside.groupBy(*KEY, "pos").agg(F.min(no).alias(no))
+    return inside.groupBy(*KEY, "_bucket", "pos").agg(F.min(no).alias(no)).drop("_bucket")
 
 
 def unplaced_words(words: DataFrame, placed: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def project_names(spark, sf):
 @query("expertise_areas", _areas_sql(AREAS), ["item_tags"])
 def expertise_areas(spark, sf):
     first = F.col("first")
-    at = first["item_id"] * 1000 + (first["seq"] + 1 + F.when(first["seq"] < 0, 0).otherwise(0)) * 100 + first["no"]
+    at = first["item_id"] * 1000 + first["seq"] * 100 + first["no"]
     return tags.expertise_areas(_rows(spark, sf), AREAS).select("area", at.alias("first"))
 
 

@@ -39,7 +39,8 @@ def write_named(df: DataFrame, base: str) -> None:
     def write(rows: Iterator) -> None:
         from pyarrow import fs
 
-        system, root = fs.FileSystem.from_uri(base if "://" in base else f"file://{base}")
+        uri = base if "://" in base else f"file://{base.removeprefix('file:')}"
+        system, root = fs.FileSystem.from_uri(uri)
         made = set()
         for row in rows:
             path = f"{root.rstrip('/')}/{row['path']}"
