@@ -2,55 +2,59 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.operators.ordered import ordered_scan
+from talkloom.operators.rows import explode_once
 from talkloom.operators.timeline import KEY
 from talkloom.scratch import materialise
 
 
-def _walk(pos, start, end, i, opened, seconds):
-    """Group start of every word from index `i` on, and the group left open at the end.
+def _leads_to(pos, start, end, begin, seconds, reach):
+    """The group left open at the end of a block when a fresh group starts at index `begin`.
 
-    `opened` is (pos, start) of a group that is still open, or None.
+    `reach` remembers the answer for every group start met on the way.
     """
-    groups = []
-    for k in range(i, len(pos)):
+    path, opened, k = [], None, begin
+    while k < len(pos):
         if opened is None:
+            if k in reach:
+                opened = reach[k]
+                break
+            path.append(k)
             opened = (pos[k], start[k])
-        groups.append(opened[0])
         if end[k] - opened[1] >= seconds:
             opened = None
-    return groups, opened
+        k += 1
+    for p in path:
+        reach[p] = opened
+    return opened
 
 
-def word_groups(words: DataFrame, seconds: float = 10.0, block_rows: int = 16384) -> DataFrame:
-    """Timed words with `group_pos`, the position of the first word of their cue.
+def _entries(timed: DataFrame, seconds: float, id_type: str) -> DataFrame:
+    """The group still open at the start of a block, as `(in_pos, in_start)`; -1 for none.
 
-    A cue closes with the first word that ends `seconds` or more after the cue's start, so each cue
-    depends on the one before. Blocks of a transcript are walked independently: a block's summary says
-    what a group open at its start leads to, which depends only on the word that closes it; summaries
-    are then chained per transcript, and a second pass over the blocks assigns the groups.
+    What a block makes of an open group depends only on the word that closes it, so each block is
+    summarised on its own and the summaries, some numbers per block, are chained per transcript.
+    Transcripts of one block take no part.
     """
-    timed = words.select(
-        *KEY, "pos", "start_s", "end_s", "punctuated_word",
-        F.floor(F.col("pos") / block_rows).cast("long").alias("_b"),
-    )
     # No group open at the start of a block began after the latest start of the blocks before.
     peaks = timed.groupBy(*KEY, "_b").agg(F.max("start_s").alias("_peak"))
-    before = Window.partitionBy(*KEY).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    latest = peaks.select(*KEY, "_b", F.max("_peak").over(before).alias("latest"))
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        pos, start, end = pdf["pos"].tolist(), pdf["start_s"].tolist(), pdf["end_s"].tolist()
-        ends, outs, top = [], [], None
-        last_open = pdf["latest"].iloc[0]
-        bound = start[0] if pd.isna(last_open) else max(start[0], last_open)
+    order = Window.partitionBy(*KEY).orderBy("_b")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    followed = peaks.select(
+        *KEY, "_b", F.max("_peak").over(before).alias("latest"), F.lead("_b").over(order).alias("_next")
+    ).filter("_next IS NOT NULL")
+
+    def summarise(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        pos, start, end = (table[c].to_pylist() for c in ("pos", "start_s", "end_s"))
+        latest = table["latest"][0].as_py()
+        bound = start[0] if latest is None else max(start[0], latest)
         # Entries: index 0 for "nothing open", then one per word that may close an incoming group.
-        entries = [0]
+        entries, ends, top = [0], [], None
         for k in range(len(pos)):
             if top is None or end[k] > top:  # a later word with a smaller end never closes first
                 ends.append(end[k])
@@ -59,68 +63,82 @@ def word_groups(words: DataFrame, seconds: float = 10.0, block_rows: int = 16384
             if end[k] - bound >= seconds:
                 break
         reach: dict[int, tuple | None] = {}
-        for i in entries:
-            path, opened, k = [], None, i
-            while k < len(pos):
-                if opened is None:
-                    if k in reach:
-                        opened = reach[k]
-                        break
-                    path.append(k)
-                    opened = (pos[k], start[k])
-                if end[k] - opened[1] >= seconds:
-                    opened = None
-                k += 1
-            for p in path:
-                reach[p] = opened
-            outs.append(opened)
-        return pd.DataFrame({
-            "transcript_id": [pdf["transcript_id"].iloc[0]], "_b": [pdf["_b"].iloc[0]], "ends": [ends],
-            "out_pos": [[-1 if o is None else o[0] for o in outs]],
-            "out_start": [[0.0 if o is None else o[1] for o in outs]],
-        })
+        outs = [_leads_to(pos, start, end, i, seconds, reach) for i in entries]
+        one = table.select(["transcript_id", "_b", "_next"]).slice(0, 1)
+        one = one.append_column("ends", pa.array([ends], pa.list_(pa.float64())))
+        one = one.append_column("out_pos", pa.array([[-1 if o is None else o[0] for o in outs]], pa.list_(pa.int64())))
+        return one.append_column("out_start", pa.array([[0.0 if o is None else o[1] for o in outs]], pa.list_(pa.float64())))
 
-    id_type = words.schema["transcript_id"].dataType.simpleString()
-    blocks = timed.drop("punctuated_word").join(latest, [*KEY, "_b"]).groupBy(*KEY, "_b").applyInPandas(
+    blocks = timed.drop("punctuated_word").join(followed, [*KEY, "_b"]).groupBy(*KEY, "_b").applyInArrow(
         summarise,
-        f"transcript_id {id_type}, _b long, ends array<double>, out_pos array<long>, out_start array<double>",
+        f"transcript_id {id_type}, _b long, _next long, ends array<double>, out_pos array<long>, out_start array<double>",
     )
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_b")
+    def chain(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_b")
         opened, in_pos, in_start = None, [], []
-        for ends, out_pos, out_start in zip(pdf["ends"], pdf["out_pos"], pdf["out_start"]):
-            in_pos.append(-1 if opened is None else opened[0])
-            in_start.append(0.0 if opened is None else opened[1])
+        for row in table.select(["ends", "out_pos", "out_start"]).to_pylist():
             at = 0
             if opened is not None:
-                at = next((k + 1 for k, e in enumerate(ends) if e - opened[1] >= seconds), None)
+                at = next((k + 1 for k, e in enumerate(row["ends"]) if e - opened[1] >= seconds), None)
             if at is not None:
-                opened = None if out_pos[at] < 0 else (out_pos[at], out_start[at])
-        return pdf[["transcript_id", "_b"]].assign(in_pos=in_pos, in_start=in_start)
+                opened = None if row["out_pos"][at] < 0 else (row["out_pos"][at], row["out_start"][at])
+            in_pos.append(-1 if opened is None else opened[0])
+            in_start.append(0.0 if opened is None else opened[1])
+        return pa.table({
+            "transcript_id": table["transcript_id"], "_b": table["_next"],
+            "in_pos": pa.array(in_pos, pa.int64()), "in_start": pa.array(in_start, pa.float64()),
+        })
 
-    entry = blocks.groupBy(*KEY).applyInPandas(chain, f"transcript_id {id_type}, _b long, in_pos long, in_start double")
+    return blocks.groupBy(*KEY).applyInArrow(chain, f"transcript_id {id_type}, _b long, in_pos long, in_start double")
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        first = pdf.iloc[0]
-        opened = None if first["in_pos"] < 0 else (int(first["in_pos"]), float(first["in_start"]))
-        groups, _ = _walk(pdf["pos"].tolist(), pdf["start_s"].tolist(), pdf["end_s"].tolist(), 0, opened, seconds)
-        return pdf[["transcript_id", "pos", "start_s", "end_s", "punctuated_word"]].assign(group_pos=groups)
 
-    return timed.join(entry, [*KEY, "_b"]).groupBy(*KEY, "_b").applyInPandas(
-        assign, f"transcript_id {id_type}, pos long, start_s double, end_s double, punctuated_word string, group_pos long"
-    )
+def word_cues(words: DataFrame, seconds: float = 10.0, block_rows: int = 16384) -> DataFrame:
+    """Subtitle cues `(cue_no, start_s, end_s, text)` from words alone.
 
+    A cue closes with the first word that ends `seconds` or more after the cue's start, so each cue
+    depends on the one before. A fold over the words of a block finds its cues, given the group open
+    at its start; pieces of a cue on both sides of a block's edge are then joined.
+    """
+    timed = words.select(
+        *KEY, "pos", "start_s", "end_s", "punctuated_word",
+        F.floor(F.col("pos") / block_rows).cast("long").alias("_b"),
+    )
+    entry = _entries(timed, seconds, words.schema["transcript_id"].dataType.simpleString())
+    blocks = timed.groupBy(*KEY, "_b").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "start_s", "end_s", "punctuated_word"))).alias("ws")
+    )
+    opened = F.coalesce(F.col("in_pos") >= 0, F.lit(False))
+    cut = F.struct(F.lit(0).alias("at"), F.col("in_pos").cast("long").alias("group_pos"))
+    none = F.array().cast("array<struct<at:int,group_pos:bigint>>")
+    state = F.struct(
+        F.when(opened, F.array(cut)).otherwise(none).alias("cuts"), F.lit(0).alias("i"), opened.alias("open"),
+        F.coalesce("in_start", F.lit(0.0)).alias("start"),
+    )
 
-def word_cues(words: DataFrame, seconds: float = 10.0, block_rows: int = 16384) -> DataFrame:
-    """Subtitle cues `(cue_no, start_s, end_s, text)` from words alone."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "punctuated_word")))
-    cues = word_groups(words, seconds, block_rows).groupBy(*KEY, "group_pos").agg(
-        F.min_by("start_s", "pos").alias("start_s"), F.max_by("end_s", "pos").alias("end_s"),
-        F.array_join(F.transform(ordered, lambda w: w["punctuated_word"]), " ").alias("text"),
+    def step(s, w):
+        start = F.when(s["open"], s["start"]).otherwise(w["start_s"])
+        new = F.array(F.struct(s["i"].alias("at"), w["pos"].cast("long").alias("group_pos")))
+        return F.struct(
+            F.when(s["open"], s["cuts"]).otherwise(F.concat(s["cuts"], new)).alias("cuts"), (s["i"] + 1).alias("i"),
+            (w["end_s"] - start < seconds).alias("open"), start.alias("start"),
+        )
+
+    cuts = blocks.join(entry, [*KEY, "_b"], "left").withColumn("cuts", F.aggregate("ws", state, step, lambda s: s["cuts"]))
+    sized = F.transform("cuts", lambda c, k: F.struct(
+        c["group_pos"].alias("group_pos"), (c["at"] + 1).alias("at"),
+        (F.coalesce(F.get(F.col("cuts"), k + 1)["at"], F.size("ws")) - c["at"]).alias("n"),
+    ))
+    pieces = explode_once(cuts, [*KEY, "_b", "ws"], sized, "_k", "c").select(
+        *KEY, "_b", "c.group_pos", F.slice("ws", F.col("c.at"), F.col("c.n")).alias("w")
+    )
+    text = F.array_join(F.transform("w", lambda w: w["punctuated_word"]), " ")
+    ordered = F.array_sort(F.collect_list(F.struct("_b", text.alias("t"))))
+    cues = pieces.groupBy(*KEY, "group_pos").agg(
+        F.min_by(F.get(F.col("w"), F.lit(0))["start_s"], "_b").alias("start_s"),
+        F.max_by(F.get(F.col("w"), F.size("w") - 1)["end_s"], "_b").alias("end_s"),
+        F.array_join(F.transform(ordered, lambda p: p["t"]), " ").alias("text"),
     )
-    # Numbering reads the cues twice, and they come from Python: keep them.
-    kept = materialise(cues, "cues")
+    kept = materialise(cues, "cues")  # numbering reads the cues twice
     numbered = ordered_scan(kept, KEY, ["group_pos"], F.floor(F.col("group_pos") / 65536), totals={"_n": F.lit(1)})
     return numbered.select(*KEY, (F.col("_n") - 1).alias("cue_no"), "start_s", "end_s", "text")

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from talkloom.operators import ingest, model, paper_edit, render, subtitles, timeline
 from talkloom.operators.stages import Stage, run_stages
-from talkloom.plans import flows, views
+from talkloom.plans import views
 from talkloom.plans.q_sources import _BY, _JSON, _MARKDOWN, _TEXT, _finished
 from talkloom.plans.q_text import WS, editing_model, leading_model, srt_sql, strip_sql
-from talkloom.plans.q_timeline import _hms_sql
+from talkloom.plans.q_timeline import _hms_sql, finalised
 from talkloom.plans.registry import query
 from talkloom.scratch import materialise
 from talkloom.sinks import exports
@@ -92,7 +92,7 @@ dpe AS (SELECT transcript_id, row_number() OVER (PARTITION BY transcript_id ORDE
 
 @query("dpe_paragraphs", _DPE + 'SELECT transcript_id, id, start, "end", speaker, chapter FROM dpe', ["placed", "snapped", "repaired"])
 def dpe_paragraphs(spark, sf):
-    done = flows.finalise(materialise(views.words(spark, sf), "words"), views.chapters(spark, sf))
+    done = finalised(spark, sf)
     return paper_edit.dpe_paragraphs(done.sentences, done.chapters, done.placed)
 
 
@@ -104,7 +104,7 @@ pieces AS (SELECT transcript_id, pos // 4096 AS part_no, pos AS id, CASE WHEN po
     || CASE WHEN id = max(id) OVER (PARTITION BY transcript_id) THEN ']}' ELSE '' END FROM dpe)
 SELECT transcript_id, part_no, string_agg(piece, '' ORDER BY id) AS text FROM pieces GROUP BY 1, 2""", ["words", "placed", "snapped", "repaired"])
 def export_dpe(spark, sf):
-    done = flows.finalise(materialise(views.words(spark, sf), "words"), views.chapters(spark, sf))
+    done = finalised(spark, sf)
     return done.paper_edit()
 
 

@@ -74,13 +74,15 @@ LEFT JOIN sents s ON s.transcript_id = f.transcript_id AND s.sent_no = f.sent_no
 
 @query("chapter_sentence", _CHAPTER_SENTENCE, ["chapters", "sents"])
 def chapter_sentence(spark, sf):
-    sents = timeline.sentences(timeline.mark_words(views.words(spark, sf)))
-    return timeline.chapter_sentence(views.chapters(spark, sf), sents)
+    words = materialise(views.words(spark, sf), "words")
+    chapters = materialise(views.chapters_of(views.utterances_of(words)), "chapters")
+    return timeline.chapter_sentence(chapters, timeline.sentences(timeline.mark_words(words)))
 
 
 @query("snap_chapters", "SELECT transcript_id, chapter_no, start_s, title FROM snapped", ["snapped"])
 def snap_chapters(spark, sf):
-    return timeline.snap_chapters(views.chapters(spark, sf), materialise(repaired_sentences(spark, sf), "repaired"))
+    done = finalised(spark, sf)
+    return done.chapters
 
 
 @query(
@@ -164,10 +166,15 @@ SELECT w.transcript_id, w.pos // 4096 AS part_no, string_agg(coalesce(h.head, '
 FROM words w LEFT JOIN heads h ON h.transcript_id = w.transcript_id AND h.pos = w.pos GROUP BY 1, 2"""
 
 
-def finished_transcript(spark, sf, per_line=True):
-    # The words are a view here; a job over stored words passes its table.
+def finalised(spark, sf):
+    # Words and chapters are views here; a job over stored tables passes those.
     words = materialise(views.words(spark, sf), "words")
-    return flows.finalise(words, views.chapters(spark, sf)).transcript(per_line)
+    chapters = materialise(views.chapters_of(views.utterances_of(words)), "chapters")
+    return flows.finalise(words, chapters)
+
+
+def finished_transcript(spark, sf, per_line=True):
+    return finalised(spark, sf).transcript(per_line)
 
 
 @query("render_transcript", _render_sql(True), ["words", "repaired", "placed"])

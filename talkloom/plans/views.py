@@ -157,7 +157,11 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def utterances(spark: SparkSession, sf: str) -> DataFrame:
-    return words(spark, sf).groupBy("transcript_id", "turn").agg(
+    return utterances_of(words(spark, sf))
+
+
+def utterances_of(timed: DataFrame) -> DataFrame:
+    return timed.groupBy("transcript_id", "turn").agg(
         F.min("speaker").alias("speaker"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s")
     )
 
