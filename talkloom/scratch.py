@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+_LOCAL: dict[str, str] = {}  # one temporary folder per local application, where the setting is unset
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -16,8 +17,8 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {_CONF} to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="talkloom-")
-        spark.conf.set(_CONF, root)
+        app = spark.sparkContext.applicationId
+        root = _LOCAL[app] = _LOCAL.get(app) or tempfile.mkdtemp(prefix="talkloom-")
     return root.rstrip("/")
 
 
