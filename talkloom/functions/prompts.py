@@ -68,14 +68,18 @@ def metadata(title: Column, description: Column, channel: Column, tags: Column)
     )
 
 
+def shorten(description: Column) -> Column:
+    """What a correction prompt shows of a description; cut before a text is split into chunks, so
+    that its rows do not each carry the whole."""
+    cut = F.concat(F.substring(description, 1, CORRECT_CHARS), F.lit("..."))
+    return F.when(F.length(description) > CORRECT_CHARS, cut).otherwise(description)
+
+
 def correct(
     chunk: Column, about: dict[str, Column], context: Column, keywords: Column | None = None
 ) -> Column:
-    """`about` holds title, speakers, tags, categories and description; `context` is one struct."""
-    description = about["description"]
-    cut = F.when(
-        F.length(description) > CORRECT_CHARS, F.concat(F.substring(description, 1, CORRECT_CHARS), F.lit("..."))
-    ).otherwise(description)
+    """`about` holds title, speakers, tags, categories and the shortened description; `context` is one
+    struct."""
     limits = {"Common topics": ("frequent_tags", 15), "Terms": ("technical_terms", 20),
               "Projects": ("project_names", 15), "Frequent speakers": ("common_speakers", 10),
               "Categories": ("common_categories", 8), "Areas": ("expertise_areas", 8)}
@@ -86,7 +90,7 @@ def correct(
     return F.concat(
         F.lit(CORRECT_HEAD), _line("Title", about["title"]), _line("Speakers", F.array_join(about["speakers"], ", ")),
         _line("Tags", F.array_join(about["tags"], ", ")), _line("Categories", F.array_join(about["categories"], ", ")),
-        _line("Description", cut),
+        _line("Description", about["description"]),
         _line("Transcripts known", F.array_join(context["video_count"], "")),
         *[_line(label, _listed(context[name], k)) for label, (name, k) in limits.items()],
         _line("Domain", F.array_join(context["domain_context"], "")),

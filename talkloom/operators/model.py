@@ -91,7 +91,8 @@ def correct_documents(
 
     `context` is a struct column, such as the scalar of prompt_context, evaluated once for the job.
     """
-    rows = docs.select(key, text, *[c.alias(f"_{n}") for n, c in about.items()])
+    shown = {**about, "description": prompts.shorten(about["description"])}
+    rows = docs.select(key, text, *[c.alias(f"_{n}") for n, c in shown.items()])
     chunks = pack_paragraphs(rows, text, max_chars)
     prompt = prompts.correct(F.col("chunk"), {n: F.col(f"_{n}") for n in about}, context, keywords)
     asked = model_stage(chunks.withColumn("_prompt", prompt).select(key, "chunk_no", "chunk", "_prompt"), factory, "_prompt", tasks)

@@ -35,10 +35,10 @@ def slug_sql(e):
     return _SLUG.format(e)
 
 
-@query("slugify", f"SELECT id, {slug_sql('title')} AS slug, {slug_sql('substr(raw_text, 1, 200)')} AS text_slug FROM transcripts", ["transcripts"])
+@query("slugify", f"SELECT id, {slug_sql('title')} AS slug, {slug_sql('raw_text')} AS text_slug FROM transcripts", ["transcripts"])
 def slugify(spark, sf):
     t = views.transcripts(spark, sf)
-    return t.select("id", tx.slugify(F.col("title")).alias("slug"), tx.slugify(F.substring("raw_text", 1, 200)).alias("text_slug"))
+    return t.select("id", tx.slugify(F.col("title")).alias("slug"), tx.slugify(F.col("raw_text")).alias("text_slug"))
 
 
 @query("hms", f"SELECT id, {_hms_sql('duration * 37')} AS hms FROM videos", ["videos"])
@@ -313,7 +313,7 @@ def _correct_sql(chunk, description):
 def _about():
     none = F.lit(None).cast("array<string>")
     return {"title": F.concat(F.lit("Doc "), F.col("doc_id")), "speakers": none, "tags": none, "categories": none,
-            "description": F.substring("text", 1, 300)}
+            "description": F.col("text")}
 
 
 def context_struct(spark, sf):
@@ -332,14 +332,15 @@ def prompt_context(spark, sf):
     return docs.select("doc_id", lines.alias("lines"))
 
 
-_CUT = "CASE WHEN length(substr(d.text, 1, 300)) > 200 THEN substr(d.text, 1, 200) || '...' ELSE substr(d.text, 1, 300) END"
+_CUT = "CASE WHEN length(d.text) > 200 THEN substr(d.text, 1, 200) || '...' ELSE d.text END"
 _CHUNKED = packed_sql(_DOCS_SQL, 5000).rstrip() + ",\n" + _CONTEXT_CTE
 
 
 @query("prompt_correct", _CHUNKED + f"""SELECT p.doc_id, p.chunk_no, md5({_correct_sql('p.chunk', _CUT)}) AS prompt_md5
 FROM packed p JOIN ({_DOCS_SQL}) d ON d.doc_id = p.doc_id, c""", ["item_tags"])
 def prompt_correct(spark, sf):
-    rows = _docs(spark, sf).select("doc_id", "text", *[e.alias(f"_{n}") for n, e in _about().items()])
+    shown = {**_about(), "description": prompts.shorten(F.col("text"))}
+    rows = _docs(spark, sf).select("doc_id", "text", *[e.alias(f"_{n}") for n, e in shown.items()])
     packed = chunks.pack_paragraphs(rows, "text")
     about = {n: F.col(f"_{n}") for n in _about()}
     prompt = prompts.correct(F.col("chunk"), about, context_struct(spark, sf))
@@ -476,8 +477,8 @@ def overlap_matches(spark, sf):
 
 
 @query("concat_summaries", """SELECT transcript_id, turn // 256 AS part_no, string_agg(CASE WHEN turn = 0 THEN '' ELSE ' ' END || s, '' ORDER BY turn) AS text
-FROM (SELECT conv_id AS transcript_id, turn, trim(split_part(text, '.', 1)) AS s FROM conversations) x GROUP BY 1, 2""")
+FROM (SELECT conv_id AS transcript_id, turn, trim(text) AS s FROM conversations) x GROUP BY 1, 2""")
 def concat_summaries(spark, sf):
     parts = views.table(spark, sf, "conversations").select(
-        F.col("conv_id").alias("transcript_id"), "turn", F.trim(F.split_part("text", F.lit("."), F.lit(1))).alias("s"))
+        F.col("conv_id").alias("transcript_id"), "turn", F.trim("text").alias("s"))
     return render.concat_summaries(parts, "turn", "s")
