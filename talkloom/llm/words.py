@@ -165,3 +165,32 @@ def distinct_shingles(chunk: Chunk, size: int, table: np.ndarray = LOWER) -> Ite
             yield mix(window_hash(hashes[a:b], b - a) + _U(b - a))
         else:
             yield np.zeros(0, _U)
+
+
+def repeated_windows(hashes: np.ndarray, size: int) -> int:
+    """Words of one text inside `size`-word windows that occur twice or more in it."""
+    windows = window_hash(hashes, size)
+    if len(windows) < 2:
+        return 0
+    order = np.argsort(windows, kind="stable")
+    same = windows[order[1:]] == windows[order[:-1]]
+    if not same.any():
+        return 0
+    twice = np.zeros(len(windows) + 1, bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    steps = np.zeros(len(hashes) + 1, np.int64)
+    at = np.flatnonzero(twice)
+    np.add.at(steps, at, 1)
+    np.add.at(steps, at + size, -1)
+    return int((np.cumsum(steps) > 0).sum())
+
+
+def repeated_lines(hashes: np.ndarray) -> int:
+    """Lines of one text that equal an earlier one."""
+    return len(hashes) - len(np.unique(hashes))
+
+
+def codepoints(data: np.ndarray) -> np.ndarray:
+    """True at the first byte of every character."""
+    return (data & 0xC0) != 0x80
