@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkloom.llm import chat, pii, secrets
+from talkloom.llm.chat_sql import CHAT_SQL
+from talkloom.llm.decontaminate import find_leaks
 from talkloom.llm.frames import table
 from talkloom.llm.jaccard import ngram_jaccard
+from talkloom.llm.lines import line_dedup
 from talkloom.llm.mixing import mix
 from talkloom.llm.quality import quality_scores
 from talkloom.llm.rules import quality_rules
@@ -53,3 +57,34 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
+@_query
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.secrets(table(spark, sf_dir, "documents")))
+
+
+@_query
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digest(chat.documents(chat.render(chat.fold(chat.conversation_events(rows)))))
+
+
+SQL["op6_chat_format"] = CHAT_SQL
+
+
+@_query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+@_query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
