@@ -51,7 +51,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """(item_id, at, window, slots(place, value)) of benchmark(item_id, text); names both as placeholders and as words."""
     def of(names: bool) -> DataFrame:
         rows = benchmark.filter("text is not null").select("item_id", F.filter(tokens(F.col("text"), names), lambda t: t != "").alias("tokens"))
-        rows = _hashes(rows).select("item_id", "tokens", F.posexplode("windows").alias("at", "window")).filter(F.col("at") <= F.size("tokens") - WINDOW)
+        rows = _hashes(rows).select("item_id", "tokens", F.posexplode_outer("windows").alias("at", "window")).filter(F.col("at") <= F.size("tokens") - WINDOW)
         rows = rows.withColumn("own", F.slice("tokens", F.col("at") + 1, WINDOW))
         placed = F.zip_with("own", F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda t, i: F.struct(i.alias("place"), t.alias("value")))
         return rows.withColumn("slots", F.filter(placed, lambda s: s["value"] < "\x04")).filter(WINDOW - F.size("slots") >= LEAST_WORDS).select("item_id", "at", "window", "slots")
@@ -73,8 +73,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, least_share: float = LE
     key = ["doc_id", "text_hash", "item_id"]
     docs = docs.filter("text is not null").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     bench = stored(benchmark_windows(benchmark.select("item_id", "text")), "benchmark")
+    # The outer form: for the other one the optimizer tests the array's size first, which would compute it twice over at every doubling.
     rows = _hashes(docs.select("doc_id", "text_hash", tokens(F.col("text")).alias("tokens")))
-    places = rows.select("doc_id", "text_hash", F.posexplode("windows").alias("pos", "window"))
+    places = rows.select("doc_id", "text_hash", F.posexplode_outer("windows").alias("pos", "window"))
     hits = stored(places.join(_small(bench), "window").select(*key, "pos", "at", "slots"), "hits")
     plain = hits.filter(F.size("slots") == 0).select(*key, "at", F.lit(False).alias("changed"))
     slotted = hits.filter(F.size("slots") > 0)
