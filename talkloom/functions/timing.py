@@ -38,8 +38,8 @@ def rfc3339(text: Column) -> Column:
     return F.when(text.endswith("Z") | text.contains("+"), text).otherwise(F.concat(text, F.lit("Z")))
 
 
-def parse_date(text: Column, fmt: str = "yyyy-MM-dd") -> Column:
-    """Strict date, null on mismatch (callers turn a null into a rejected row)."""
+def parse_date(text: Column, fmt: str = "yyyy-M-d") -> Column:
+    """Strict date with one or two digits of month and day, null on mismatch (callers turn a null into a rejected row)."""
     return F.try_to_timestamp(text, F.lit(fmt)).cast("date")
 
 

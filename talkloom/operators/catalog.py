@@ -255,7 +255,10 @@ def flag_existing(entries: DataFrame, taken: DataFrame, cutoff: Column | None =
     marks = union_media(taken).withColumn("_taken", F.lit(True))
     late = F.lit(True) if cutoff is None else cutoff.isNull() | F.coalesce(F.col("date") > cutoff, F.lit(False))
     exist = F.col("_taken").isNotNull() | ~late
-    return entries.join(marks, "media", "left").withColumn("exist", exist).drop("_taken")
+    # Entries without media cannot be taken; joined, they would all meet in one task.
+    known = entries.filter("media IS NOT NULL").join(marks, "media", "left")
+    rest = entries.filter("media IS NULL").withColumn("_taken", F.lit(None).cast("boolean"))
+    return known.unionByName(rest).withColumn("exist", exist).drop("_taken")
 
 
 def after_cutoff(entries: DataFrame, cutoff: Column) -> DataFrame:

@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from talkloom.functions.text import watch_url
 from talkloom.operators import catalog
 from talkloom.operators.model import Batch, classify_videos
+from talkloom.scratch import materialise
 
 
-def submissions(videos: DataFrame, channels: DataFrame, limit: int = 20, mark: str = "transcribed") -> DataFrame:
-    """Queued videos, newest first, as requests for transcription, with the status they then take."""
-    queued = catalog.page(catalog.where(videos, status="queued"), "published_at", limit)
+def _newest(videos: DataFrame, limit: int | None) -> DataFrame:
+    return videos if limit is None else catalog.page(videos, "published_at", limit)
+
+
+def submissions(videos: DataFrame, channels: DataFrame, limit: int | None = None, mark: str = "transcribed") -> DataFrame:
+    """Queued videos as requests for transcription, with the status they then take; of a `limit` the newest."""
+    queued = _newest(catalog.where(videos, status="queued"), limit)
     rows = catalog.with_channel(queued, channels, "category")
     return rows.select(
         "id", "video_id", watch_url(F.col("video_id")).alias("source"),
@@ -23,22 +28,28 @@ def submissions(videos: DataFrame, channels: DataFrame, limit: int = 20, mark: s
     )
 
 
-def discover(items: DataFrame, channels: DataFrame, videos: DataFrame, per_channel: int = 50) -> DataFrame:
-    """Items of active channels after their high-water mark, the newest few each, not yet known."""
+def discover(items: DataFrame, channels: DataFrame, videos: DataFrame) -> DataFrame:
+    """Items of active channels after their high-water mark, not yet known.
+
+    All of them: the mark then moves past them, so one left out would never be found again.
+    """
     active = channels.filter("is_active")
-    fresh = catalog.after_high_water(items, active)
-    return catalog.unknown(catalog.newest_per_channel(fresh, per_channel).drop("rank"), videos)
+    return catalog.unknown(catalog.after_high_water(items, active), videos)
 
 
 def classify_pending(
-    videos: DataFrame, channels: DataFrame, factory: Callable[[], Batch], limit: int = 500
+    videos: DataFrame, channels: DataFrame, factory: Callable[[], Batch], limit: int | None = None
 ) -> DataFrame:
-    """Classification of the newest pending videos: id, flag, confidence, reason, status, error."""
-    pending = catalog.page(catalog.where(videos, status="pending"), "published_at", limit)
+    """Classification of pending videos, of a `limit` the newest: id, flag, confidence, reason, status, error.
+
+    Written once, so that saving the results asks nothing again.
+    """
+    pending = _newest(catalog.where(videos, status="pending"), limit)
     rows = catalog.with_channel(pending, channels, "channel_name", "category")
-    return classify_videos(rows, factory).select(
+    classified = classify_videos(rows, factory).select(
         "id", "title", "is_technical", "classification_confidence", "classification_reason", "status", "error"
     )
+    return materialise(classified, "classified")
 
 
 def save_classification(videos: DataFrame, classified: DataFrame) -> DataFrame:

@@ -17,32 +17,42 @@ Batch = Callable[[Sequence[str]], Sequence[str | None]]
 PART_BREAK = "\n\n---\n\n"
 
 
+def _answers(run: Batch, batch: Sequence[str]) -> list[str | Exception | None]:
+    """Replies in order; a part that fails is halved, a single prompt that fails is its exception."""
+    if not batch:
+        return []
+    try:
+        out = list(run(batch))
+        if len(out) == len(batch):
+            return out
+        raise ValueError(f"{len(out)} replies for {len(batch)} prompts")
+    except Exception as e:
+        if len(batch) == 1:
+            return [e]
+    middle = len(batch) // 2
+    return _answers(run, batch[:middle]) + _answers(run, batch[middle:])
+
+
 def model_column(factory: Callable[[], Batch], prompt: Column) -> Column:
     """struct(reply, error) per prompt. `factory` runs once per task and returns the batch function.
 
-    Only the prompt travels to Python. A null prompt is not sent; a batch that raises is repeated row
-    by row, and a row that raises gets a null reply and its error text, so no row fails a job.
+    Only the prompt travels to Python. A null prompt is not sent. A batch that raises is halved until the failing rows are
+    alone; those get a null reply and their error text, so no row fails a job. A batch function that answers a
+    row with an exception in its place marks that row as failed without a second call.
     """
 
     @F.pandas_udf("reply string, error string")
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         run = factory()
         for batch in batches:
-            out = pd.DataFrame({"reply": [None] * len(batch), "error": [None] * len(batch)}, dtype=object)
-            sent = [i for i, p in enumerate(batch) if p is not None]
-            try:
-                answers = list(run([batch.iloc[i] for i in sent])) if sent else []
-                if len(answers) != len(sent):
-                    raise ValueError(f"{len(answers)} replies for {len(sent)} prompts")
-                for i, a in zip(sent, answers):
-                    out.at[i, "reply"] = a
-            except Exception:
-                for i in sent:
-                    try:
-                        out.at[i, "reply"] = run([batch.iloc[i]])[0]
-                    except Exception as e:
-                        out.at[i, "error"] = f"{type(e).__name__}: {e}"
-            yield out
+            sent = [p for p in batch if p is not None]
+            answers = iter(_answers(run, sent))
+            given = [next(answers) if p is not None else None for p in batch]
+            failed = [isinstance(a, Exception) for a in given]
+            yield pd.DataFrame({
+                "reply": pd.Series([None if f else a for a, f in zip(given, failed)], dtype=object),
+                "error": pd.Series([f"{type(a).__name__}: {a}" if f else None for a, f in zip(given, failed)], dtype=object),
+            })
 
     return call.asNondeterministic()(prompt)
 

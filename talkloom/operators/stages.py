@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkloom.scratch import materialise
+
 # The stages in order.
 STAGES = ["media_processing", "transcription", "metadata_extraction", "correction", "summarization", "export"]
 KEY = ["transcript_id"]
@@ -20,12 +22,15 @@ class Stage:
     name: str
     run: Callable[[DataFrame], DataFrame]
     enabled: bool = True
+    asks_model: bool = False  # its result is written once, so later stages never ask again
 
 
 def run_stages(df: DataFrame, stages: Sequence[Stage]) -> DataFrame:
     for s in stages:
         if s.enabled:
             df = df.transform(s.run)
+            if s.asks_model:
+                df = materialise(df, s.name)
     return df
 
 

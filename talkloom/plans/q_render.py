@@ -8,7 +8,7 @@ from talkloom.operators import ingest, model, paper_edit, render, subtitles, tim
 from talkloom.operators.stages import Stage, run_stages
 from talkloom.plans import views
 from talkloom.plans.q_sources import _BY, _JSON, _MARKDOWN, _TEXT, _finished
-from talkloom.plans.q_text import WS, editing_model, leading_model, srt_sql, strip_sql
+from talkloom.plans.q_text import WS, editing_model, digest_model, srt_sql, strip_sql
 from talkloom.plans.q_timeline import _hms_sql, finalised
 from talkloom.plans.registry import query
 from talkloom.scratch import materialise
@@ -115,15 +115,15 @@ def export_dpe(spark, sf):
 _FINISHED = f"""WITH corrected AS (SELECT *, CASE WHEN length(t) % 7 = 0 OR length(t) % 5 = 0 AND 10 < 0.7 * length(c) THEN c
     WHEN length(t) % 5 = 0 THEN substr(t, 1, 10) WHEN length(t) < 0.7 * length(c) THEN c ELSE replace(t, 'e', 'E') END AS fixed
   FROM (SELECT *, {strip_sql('c')} AS t FROM (SELECT id, title, loc, lang, raw_text, CASE WHEN length(raw_text) > 5000 THEN {strip_sql('raw_text')} ELSE raw_text END AS c FROM base) a) b),
-transcripts AS (SELECT id, title, loc, lang, raw_text, fixed AS corrected_text, CASE WHEN length(s) % 4 = 0 THEN '' ELSE substr(s, 1, 60) END AS summary
+transcripts AS (SELECT id, title, loc, lang, raw_text, fixed AS corrected_text, CASE WHEN length(s) % 4 = 0 THEN '' ELSE md5(s) END AS summary
   FROM (SELECT *, CASE WHEN length(fixed) > 30000 THEN {strip_sql('fixed')} ELSE fixed END AS s FROM corrected) d)
 """
 
 
 @query("end_to_end", _FINISHED.replace("FROM base", "FROM (SELECT doc_id AS id, concat('Doc_', doc_id, ' ', lang) AS title, source AS loc, lang, text AS raw_text FROM documents) base")
-       + f"""SELECT id, 'markdown' AS format, path, length(content) AS n_chars FROM ({_MARKDOWN.replace(_BY, _TOOL)}) m
-UNION ALL SELECT id, 'json', path, length(content) FROM ({_JSON.replace(_BY, _TOOL)}) j
-UNION ALL SELECT id, 'text', path, length(content) FROM ({_TEXT}) t""")
+       + f"""SELECT id, 'markdown' AS format, path, md5(content) AS content_md5 FROM ({_MARKDOWN.replace(_BY, _TOOL)}) m
+UNION ALL SELECT id, 'json', path, md5(content) FROM ({_JSON.replace(_BY, _TOOL)}) j
+UNION ALL SELECT id, 'text', path, md5(content) FROM ({_TEXT}) t""")
 def end_to_end(spark, sf):
     """Correct, summarise and export every transcript, as a list of stages over all of them."""
     docs = _finished(spark, sf)
@@ -138,27 +138,27 @@ def end_to_end(spark, sf):
         return df.drop("corrected_text").join(fixed.withColumnRenamed("text", "corrected_text"), "id")
 
     def summarisation(df):
-        short = model.summarise_documents(df, "id", "corrected_text", "raw_text", "title", leading_model)
+        short = model.summarise_documents(df, "id", "corrected_text", "raw_text", "title", digest_model)
         return df.drop("summary").join(short, "id")
 
-    finished = run_stages(docs, [Stage("correction", correction), Stage("summarization", summarisation)])
+    finished = run_stages(docs, [Stage("correction", correction, asks_model=True), Stage("summarization", summarisation, asks_model=True)])
     out = None
     for name, export in exports.create_exports({"markdown": True, "text_output": True}, _TOOL).items():
-        rows = export(finished).select("id", F.lit(name).alias("format"), "path", F.length("content").cast("long").alias("n_chars"))
+        rows = export(finished).select("id", F.lit(name).alias("format"), "path", F.md5("content").alias("content_md5"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-@query("discover_new", """SELECT id, video_id, channel_id FROM (SELECT v.*, row_number() OVER (PARTITION BY v.channel_id ORDER BY v.published_at DESC, v.id) AS rank
+@query("discover_new", """SELECT id, video_id, channel_id FROM (SELECT v.*
   FROM videos v JOIN channels c ON c.id = v.channel_id WHERE c.is_active AND (c.last_scanned_at IS NULL OR v.published_at > c.last_scanned_at)) r
-WHERE rank <= 50 AND id % 3 > 0""", ["videos", "channels"])
+WHERE id % 3 > 0""", ["videos", "channels"])
 def discover_new(spark, sf):
     v = views.videos(spark, sf)
     return ingest.discover(v, views.channels(spark, sf), v.filter("id % 3 = 0")).select("id", "video_id", "channel_id")
 
 
 @query("classify_pending", """SELECT id, CASE WHEN gated THEN false ELSE t END AS is_technical, CASE WHEN gated THEN 'skipped' WHEN t THEN 'queued' ELSE 'skipped' END AS status
-FROM (SELECT id, duration > 0 AND (duration < 600 OR duration > 3000) AS gated, channel_id % 3 > 0 AS t FROM videos WHERE status = 'pending' ORDER BY published_at DESC, id LIMIT 500) v""", ["videos"])
+FROM (SELECT id, duration > 0 AND (duration < 600 OR duration > 3000) AS gated, channel_id % 3 > 0 AS t FROM videos WHERE status = 'pending') v""", ["videos"])
 def classify_pending(spark, sf):
     v, c = views.videos(spark, sf), views.channels(spark, sf)
     none = F.lit(None)

@@ -140,6 +140,14 @@ def _state_json(status_of):
     return F.struct(F.lit("in_progress").alias("overall"), F.lit(None).cast("string").alias("failed_stage"), F.create_map(*pairs).alias("stages"))
 
 
+# Folders of two places with equal titles.
+def _place():
+    return F.concat(F.lit("place"), F.col("conv_id") % 2, F.lit("/t"), F.floor(F.col("conv_id") / 2))
+
+
+_PLACE_SQL = "concat('place', conv_id % 2, '/t', conv_id // 2)"
+
+
 def _saved_states(spark, sf):
     """Per conversation three metadata files; the newest never holds a state, the middle one not always."""
     conv = views.table(spark, sf, "conversations").select("conv_id").distinct()
@@ -152,7 +160,7 @@ def _saved_states(spark, sf):
     has = (F.col("v") == 0) | ((F.col("v") == 1) & (F.col("conv_id") % 2 == 0))
     doc = F.to_json(F.struct(F.when(has, _state_json(status)).alias("pipeline_state"), F.concat(F.lit("T"), F.col("conv_id")).alias("title")))
     base = scratch_path(spark, "states")
-    write_named(rows.select(F.concat(F.lit("talks/t"), F.col("conv_id"), F.lit("/metadata_"), F.col("at"), F.lit(".json")).alias("path"), doc.alias("content")), base)
+    write_named(rows.select(F.concat(_place(), F.lit("/metadata_"), F.col("at"), F.lit(".json")).alias("path"), doc.alias("content")), base)
     return documents.read_saved_state(spark, base)
 
 
@@ -162,7 +170,7 @@ _SAVED = " UNION ALL ".join(
     for i, s in enumerate(stages.STAGES))
 
 
-@query("latest_state", f"""SELECT 't' || conv_id AS transcript_id, 'metadata_2024-01-0' || ({_VERSION} + 1) || 'T000000Z.json' AS file_name, stage, status, stage_no::BIGINT AS attempts
+@query("latest_state", f"""SELECT {_PLACE_SQL} AS transcript_id, 'metadata_2024-01-0' || ({_VERSION} + 1) || 'T000000Z.json' AS file_name, stage, status, stage_no::BIGINT AS attempts
 FROM ({_SAVED}) s""")
 def latest_state(spark, sf):
     states = _saved_states(spark, sf)
@@ -237,7 +245,7 @@ def stage_upsert(spark, sf):
     return stages.upsert_state(_doc_ids(spark, sf), old, new)
 
 
-@query("resume_outputs", """SELECT conv_id AS transcript_id, CASE WHEN conv_id % 3 > 0 AND conv_id % 2 = 1 THEN 'pending' WHEN conv_id % 3 > 0 THEN 'completed' ELSE 'pending' END AS status,
+@query("resume_outputs", f"""SELECT {_PLACE_SQL} AS transcript_id, CASE WHEN conv_id % 3 > 0 AND conv_id % 2 = 1 THEN 'pending' WHEN conv_id % 3 > 0 THEN 'completed' ELSE 'pending' END AS status,
   CASE WHEN conv_id % 3 > 0 AND conv_id % 2 = 0 THEN 'deepgram_2024-01-0' || (2 + conv_id % 5) || 'T000000Z.json' END AS file_name
 FROM (SELECT DISTINCT conv_id FROM conversations) c""")
 def resume_outputs(spark, sf):
@@ -246,9 +254,9 @@ def resume_outputs(spark, sf):
     files = conv.filter("conv_id % 2 = 0").select("conv_id", F.explode(F.array(
         F.lit("deepgram_2024-01-01"), F.concat(F.lit("deepgram_2024-01-0"), 2 + n % 5), F.lit("whisper_2024-01-09"))).alias("name"))
     base = scratch_path(spark, "outputs")
-    write_named(files.select(F.concat_ws("/", n.cast("string"), F.concat("name", F.lit("T000000Z.json"))).alias("path"), F.lit("{}").alias("content")), base)
-    found = documents.list_outputs(spark, base).select(F.col("folder").cast("long").alias("transcript_id"), "file_name")
-    state = conv.select(n.alias("transcript_id"), F.lit("transcription").alias("stage"), F.when(n % 3 > 0, "completed").otherwise("pending").alias("status"))
+    write_named(files.select(F.concat_ws("/", _place(), F.concat("name", F.lit("T000000Z.json"))).alias("path"), F.lit("{}").alias("content")), base)
+    found = documents.list_outputs(spark, base).select(F.col("folder").alias("transcript_id"), "file_name")
+    state = conv.select(_place().alias("transcript_id"), F.lit("transcription").alias("stage"), F.when(n % 3 > 0, "completed").otherwise("pending").alias("status"))
     return stages.resume_outputs(state, found, "deepgram")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from talkloom.functions import prompts, replies, text as tx, timing
@@ -98,7 +100,7 @@ def parse_date(spark, sf):
     SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.?!]){WS}+', '\\1' || chr(1), 'g'), chr(1)),
       lambda x: {strip_sql('x')}), lambda x: x <> '') AS ss FROM documents) a) b""")
 def sentence_split(spark, sf):
-    d = views.spread(views.table(spark, sf, "documents").select("doc_id", "text"))
+    d = views.table(spark, sf, "documents").select("doc_id", "text")
     rows = explode_once(d, ["doc_id"], tx.split_sentences(F.col("text")), "n", "sentence")
     return rows.select("doc_id", F.col("n").cast("long").alias("sent_no"), "sentence")
 
@@ -111,7 +113,7 @@ _GUARDED = f"""regexp_replace(regexp_replace({_CANDIDATES}, '([\\p{{L}}\\p{{N}}_
   SELECT doc_id, unnest(ss) AS s, unnest(range(len(ss))) AS n FROM (
     SELECT doc_id, string_split(regexp_replace({_GUARDED}, '\\x01{WS}', chr(1), 'g'), chr(1)) AS ss FROM documents) a) b""")
 def sentence_split_abbrev(spark, sf):
-    d = views.spread(views.table(spark, sf, "documents").select("doc_id", "text"))
+    d = views.table(spark, sf, "documents").select("doc_id", "text")
     rows = explode_once(d, ["doc_id"], tx.split_sentences_abbrev(F.col("text")), "n", "sentence")
     return rows.select("doc_id", F.col("n").cast("long").alias("sent_no"), "sentence")
 
@@ -206,7 +208,7 @@ def watch_url(spark, sf):
 
 
 @query("submission_rows", """SELECT v.id, 'https://www.youtube.com/watch?v=' || video_id AS source, coalesce(category, 'misc') AS loc,
-  'transcribed' AS status FROM (SELECT * FROM videos WHERE status = 'queued' ORDER BY published_at DESC, id LIMIT 20) v
+  'transcribed' AS status FROM (SELECT * FROM videos WHERE status = 'queued') v
 LEFT JOIN channels c ON c.id = v.channel_id""", ["videos", "channels"])
 def submission_rows(spark, sf):
     from talkloom.operators.ingest import submissions
@@ -237,7 +239,7 @@ packed AS MATERIALIZED (SELECT doc_id, 0::BIGINT AS chunk_no, 1::BIGINT AS n_chu
 
 
 def _docs(spark, sf):
-    docs = views.spread(views.table(spark, sf, "documents").select("doc_id", "text"))
+    docs = views.table(spark, sf, "documents").select("doc_id", "text")
     return docs.select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
 
 
@@ -326,10 +328,7 @@ def context_struct(spark, sf):
 def prompt_context(spark, sf):
     """Corpus context next to every document, from one scalar subquery."""
     docs = views.table(spark, sf, "documents").select("doc_id").withColumn("context", context_struct(spark, sf))
-    full = prompts.correct(F.lit(""), {"title": F.lit(""), "speakers": F.array(), "tags": F.array(), "categories": F.array(),
-                                       "description": F.lit("")}, F.col("context"))
-    lines = F.substring_index(F.substring(full, len(prompts.CORRECT_HEAD) + 1, 10**6), prompts.TEXT_START, 1)
-    return docs.select("doc_id", lines.alias("lines"))
+    return docs.select("doc_id", prompts.context_lines(F.col("context")).alias("lines"))
 
 
 _CUT = "CASE WHEN length(d.text) > 200 THEN substr(d.text, 1, 200) || '...' ELSE d.text END"
@@ -384,18 +383,21 @@ def editing_model():
     return run
 
 
-def leading_model():
-    """The first 60 characters of the text, nothing for some."""
+def digest_model():
+    """A digest of the whole text, nothing for some."""
 
     def run(batch):
-        return ["" if len(_inner(p)) % 4 == 0 else _inner(p)[:60] for p in batch]
+        return ["" if len(_inner(p)) % 4 == 0 else hashlib.md5(_inner(p).encode()).hexdigest() for p in batch]
 
     return run
 
 
 def naming_model():
+    """A name from a digest of the whole prompt, no JSON for some."""
+
     def run(batch):
-        return ['{"speakers": ["S' + str(len(p) % 3) + '"], "conference": "C", "topics": []}' if len(p) % 5 else "oops" for p in batch]
+        marks = [ord(hashlib.md5(p.encode()).hexdigest()[0]) for p in batch]
+        return ['{"speakers": ["S' + str(m % 3) + '"], "conference": "C", "topics": []}' if m % 5 else "oops" for m in marks]
 
     return run
 
@@ -418,13 +420,13 @@ _SUM_SRC = "SELECT id AS doc_id, replace(coalesce(corrected_text, raw_text), chr
 
 
 @query("summarize_documents", packed_sql(_SUM_SRC, 3000) + """,
-part AS (SELECT doc_id, chunk_no, CASE WHEN length(chunk) % 4 = 0 THEN '' ELSE substr(chunk, 1, 60) END AS r FROM packed),
+part AS (SELECT doc_id, chunk_no, CASE WHEN length(chunk) % 4 = 0 THEN '' ELSE md5(chunk) END AS r FROM packed),
 merged AS (SELECT doc_id, count(*) FILTER (r <> '') AS n, string_agg(r, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY chunk_no) FILTER (r <> '') AS t FROM part GROUP BY doc_id)
-SELECT doc_id AS id, CASE WHEN n = 0 THEN '' WHEN n = 1 THEN t WHEN length(t) % 4 = 0 THEN '' ELSE substr(t, 1, 60) END AS summary FROM merged""", ["transcripts"])
+SELECT doc_id AS id, CASE WHEN n = 0 THEN '' WHEN n = 1 THEN t WHEN length(t) % 4 = 0 THEN '' ELSE md5(t) END AS summary FROM merged""", ["transcripts"])
 def summarize_documents(spark, sf):
-    t = views.spread(views.transcripts(spark, sf).select("id", "title", "raw_text", "corrected_text"))
+    t = views.transcripts(spark, sf).select("id", "title", "raw_text", "corrected_text")
     docs = t.select("id", "title", *[F.regexp_replace(c, "\n", "\n\n").alias(c) for c in ("raw_text", "corrected_text")])
-    return model.summarise_documents(docs, "id", "corrected_text", "raw_text", "title", leading_model, 3000)
+    return model.summarise_documents(docs, "id", "corrected_text", "raw_text", "title", digest_model, 3000)
 
 
 _META_PROMPT = f"""{_lit(prompts.METADATA_HEAD)} || 'Title: ' || title || chr(10) || 'Channel: ' || loc || chr(10) || 'Tags: None' || chr(10)
@@ -432,7 +434,7 @@ _META_PROMPT = f"""{_lit(prompts.METADATA_HEAD)} || 'Title: ' || title || chr(10
 
 
 @query("extract_metadata", f"""SELECT id, CASE WHEN id % 4 = 0 THEN 'Manual' WHEN id % 3 = 0 OR n % 5 = 0 THEN '' ELSE 'S' || n % 3 END AS speakers,
-  CASE WHEN id % 3 = 0 OR n % 5 = 0 THEN NULL ELSE 'C' END AS conference FROM (SELECT id, length({_META_PROMPT}) AS n FROM transcripts) t""", ["transcripts"])
+  CASE WHEN id % 3 = 0 OR n % 5 = 0 THEN NULL ELSE 'C' END AS conference FROM (SELECT id, ascii(substr(md5({_META_PROMPT}), 1, 1)) AS n FROM transcripts) t""", ["transcripts"])
 def extract_metadata(spark, sf):
     none = F.lit(None).cast("array<string>")
     platform = F.when(F.col("id") % 3 != 0, F.struct(F.col("raw_text").alias("description"), none.alias("tags"), F.col("loc").alias("channel_name")))

@@ -35,7 +35,7 @@ FROM videos GROUP BY day(published_at)""",
         (),
         """SELECT d.doc_id AS id, concat('Doc_', d.doc_id, ' ', d.lang) AS title, d.source AS loc, d.lang,
   d.text AS raw_text, CASE WHEN l.quality = 1 THEN replace(d.text, 'e', 'E') END AS corrected_text,
-  CASE WHEN l.toxic = 1 THEN substr(d.text, 1, 40) END AS summary
+  CASE WHEN l.toxic = 1 THEN md5(d.text) END AS summary
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     ),
     "sources": (

@@ -12,12 +12,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a few files over all cores, for costly work per row; many files are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def channels(spark: SparkSession, sf: str) -> DataFrame:
     nation = F.col("s_nationkey")
     return table(spark, sf, "supplier").select(
@@ -75,7 +69,7 @@ def transcripts(spark: SparkSession, sf: str) -> DataFrame:
         "lang",
         F.col("text").alias("raw_text"),
         F.when(F.col("quality") == 1, F.regexp_replace("text", "e", "E")).alias("corrected_text"),
-        F.when(F.col("toxic") == 1, F.substring("text", 1, 40)).alias("summary"),
+        F.when(F.col("toxic") == 1, F.md5("text")).alias("summary"),
     )
 
 

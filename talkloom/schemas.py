@@ -7,7 +7,7 @@ category string, priority int, is_active boolean, last_scanned_at timestamp, cre
 updated_at timestamp"""
 
 VIDEOS = """id string, video_id string, channel_id string, title string, description string,
-published_at timestamp, duration int, tags array<string>, thumbnail_url string, view_count int,
+published_at timestamp, duration int, tags array<string>, thumbnail_url string, view_count bigint,
 is_technical boolean, classification_reason string, classification_confidence double, status string,
 transcript_id string, discovered_at timestamp, classified_at timestamp, created_at timestamp,
 updated_at timestamp"""

@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
-_LOCAL: dict[str, str] = {}  # one temporary folder per local application, where the setting is unset
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; a temporary folder only where it is unset (tests)."""
-    root = spark.conf.get(_CONF, None)
+    """`spark.checkpoint.dir` of the session, else the checkpoint folder set on its context."""
+    root = spark.conf.get(_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {_CONF} to a folder every executor can reach")
-        app = spark.sparkContext.applicationId
-        root = _LOCAL[app] = _LOCAL.get(app) or tempfile.mkdtemp(prefix="talkloom-")
+        raise RuntimeError(f"set {_CONF} to a folder every executor can reach")
     return root.rstrip("/")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from talkloom.functions.text import slugify
 
 
+PARTS_TOGETHER = 1024
+
+
 def _folder(base: str, *parts: Column) -> Column:
     kept = [F.when(p != "", p) for p in parts]
     return F.concat_ws("/", F.lit(base.rstrip("/")), *kept)
@@ -33,7 +37,8 @@ def output_paths(base: str, loc: str, title: str, suffix: Column, extension: str
 def write_named(df: DataFrame, base: str) -> None:
     """Write `(path, content)` rows to `base/path` on any file system pyarrow knows.
 
-    A file is written under a temporary name and moved, so a task that runs twice leaves whole files.
+    A file is written under a name of its own attempt and moved, so attempts that run at once leave whole files.
+    Rows that share a path would replace each other: take them out with `split_shared_paths` first.
     """
 
     def write(rows: Iterator) -> None:
@@ -48,16 +53,24 @@ def write_named(df: DataFrame, base: str) -> None:
             if folder not in made:
                 system.create_dir(folder, recursive=True)
                 made.add(folder)
-            with system.open_output_stream(f"{path}.part") as out:
+            own = f"{path}.{uuid.uuid4().hex}.part"
+            with system.open_output_stream(own) as out:
                 out.write(row["content"].encode("utf-8"))
-            system.move(f"{path}.part", path)
+            system.move(own, path)
 
     df.select("path", "content").foreachPartition(write)
 
 
+def split_shared_paths(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose path no other row has, and the others, which would replace each other when written."""
+    shared = df.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1").select("path")
+    return df.join(shared, "path", "left_anti"), df.join(shared, "path", "left_semi")
+
+
 def write_parts(parts: DataFrame, keys: list[str], path: str) -> None:
-    """Documents that come as `(…, part_no, text)`: one row per part, sorted, under a folder per bucket.
+    """Documents that come as `(…, part_no, text)`: one row per part, sorted within files.
 
-    Parts of one document stay in order inside a file and concatenate to it; no task holds a document.
+    Runs of PARTS_TOGETHER parts of a document stay in one file, in order; no task holds a document.
     """
-    parts.repartitionByRange(*keys, "part_no").sortWithinPartitions(*keys, "part_no").write.parquet(path)
+    run = F.floor(F.col("part_no") / PARTS_TOGETHER)
+    parts.repartition(*keys, run).sortWithinPartitions(*keys, "part_no").write.parquet(path)

@@ -15,9 +15,7 @@ def append_table(df: DataFrame, name: str, path: str) -> None:
 
 def append_jdbc(df: DataFrame, name: str, url: str, table: str, connections: int = 16, **options: str) -> None:
     """Append over JDBC with a bounded number of connections."""
-    rows = conform(df, name)
-    writers = rows.coalesce(connections) if rows.rdd.getNumPartitions() > connections else rows
-    writers.write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()
+    conform(df, name).coalesce(connections).write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()
 
 
 def replace_table(df: DataFrame, path: str) -> None:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,14 +66,24 @@ def read_source_list(spark: SparkSession, path: str, excluded_key: str = "exclud
     return accepted, filled.filter("_reject IS NOT NULL").withColumnRenamed("_reject", "reason")
 
 
+def _folder_below(root: str, path: Column) -> Column:
+    """The folder of a file, from below `root` on."""
+    plain = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", root).rstrip("/")
+    roots = "|".join(dict.fromkeys(f"\\Q{r}\\E" for r in (plain, quote(plain))))
+    return F.regexp_extract(path, f"^.*?(?:{roots})/(?:(.*)/)?[^/]*$", 1)
+
+
 def read_saved_state(spark: SparkSession, path: str) -> DataFrame:
-    """Newest saved state per folder, from `folder/metadata_<time>.json` files that hold one."""
+    """Newest saved state per folder below `path`, from `folder/metadata_<time>.json` files that hold one.
+
+    A folder is named by its whole path below `path` (place and title), so equal titles of two places stay apart.
+    """
     schema = f"pipeline_state {schemas.PIPELINE_STATE}, title string, source_file string"
     files = (
         spark.read.schema(schema).option("multiLine", True).json(path, recursiveFileLookup=True, pathGlobFilter="metadata_*.json")
         .select("pipeline_state", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"))
     )
-    folder = F.regexp_extract("path", "([^/]+)/[^/]+$", 1)
+    folder = _folder_below(path, F.col("path"))
     return (
         files.filter("pipeline_state IS NOT NULL").groupBy(folder.alias("folder"))
         .agg(F.max_by("pipeline_state", "file_name").alias("state"), F.max("file_name").alias("file_name"))
@@ -85,10 +98,10 @@ def stage_rows(states: DataFrame, key: str = "folder") -> DataFrame:
 
 
 def list_outputs(spark: SparkSession, path: str) -> DataFrame:
-    """Files below `path` as `(folder, file_name)`; contents are not read."""
+    """Files below `path` as `(folder, file_name)`, folders by their path below it; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
     return files.select(
-        F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", "([^/]+)$", 1).alias("file_name")
+        _folder_below(path, F.col("path")).alias("folder"), F.regexp_extract("path", "([^/]+)$", 1).alias("file_name")
     )
 
 
@@ -148,7 +161,7 @@ def parse_video_items(df: DataFrame, column: str, channel_id: str) -> DataFrame:
         iso_duration_seconds(F.coalesce("i.contentDetails.duration", F.lit(""))).alias("duration"),
         F.coalesce("i.snippet.tags", F.array().cast("array<string>")).alias("tags"),
         F.col("i.snippet.thumbnails.high.url").alias("thumbnail_url"),
-        F.coalesce(F.col("i.statistics.viewCount").try_cast("int"), F.lit(0)).alias("view_count"),
+        F.coalesce(F.col("i.statistics.viewCount").try_cast("bigint"), F.lit(0)).alias("view_count"),
         F.lit("pending").alias("status"),
     )
 

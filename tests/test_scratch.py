@@ -7,19 +7,23 @@ def test_uses_the_folder_the_cluster_names(spark):
     assert scratch.scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
 
 
-def test_temporary_folder_only_where_it_is_unset_and_local(spark, monkeypatch):
+def test_folder_of_the_context_where_it_is_unset(spark, monkeypatch):
     monkeypatch.setattr(scratch, "_CONF", "spark.talkloom.unset")
-    root = scratch.scratch_root(spark)
-    assert root and root == scratch.scratch_root(spark)
 
-    class Cluster:
+    class Session:
         conf = spark.conf
 
         class sparkContext:  # noqa: N801
-            master = "yarn"
+            folder = "hdfs:/shared/"
 
+            @classmethod
+            def getCheckpointDir(cls):  # noqa: N802
+                return cls.folder
+
+    assert scratch.scratch_root(Session) == "hdfs:/shared"
+    Session.sparkContext.folder = None
     with pytest.raises(RuntimeError, match="set spark.talkloom.unset"):
-        scratch.scratch_root(Cluster)
+        scratch.scratch_root(Session)
 
 
 def test_a_materialised_table_is_cut_from_its_plan(spark):
