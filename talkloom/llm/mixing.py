@@ -14,9 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkloom.llm.frames import stored
+
 WEIGHTS = (5, 2, 1)
 MOST = 3
 RANGE_ROWS = 2000  # documents in a key range, about
+BROADCAST_SOURCES = 100_000  # up to so many sources (10 MB) are sent to every executor
 _TOP = 1 << 48
 
 
@@ -76,6 +79,9 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     goals = goals.withColumn("left", F.round(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size"))
     goals = goals.withColumn("ranges", F.ceil(F.col("docs") / RANGE_ROWS).cast("long"))
     goals = goals.withColumn("name", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("source"))).drop("source")
+    goals = stored(goals, "goals")  # a row per source
+    if goals.count() <= BROADCAST_SOURCES:
+        goals = F.broadcast(goals)
     named = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("source")).alias("name")
 
     def ranged(df: DataFrame) -> DataFrame:
