@@ -126,7 +126,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     rows = stored(arrow_map(docs, _line_rows, "doc_id long, text_hash long, at long, line long, hash long, n long"), "lines")
-    again = rows.groupBy("hash").agg(F.count("*").alias("k")).filter("k > 1").select("hash")
+    again = stored(rows.groupBy("hash").agg(F.count("*").alias("k")).filter("k > 1").select("hash"), "again")
     repeated = rows.join(again, "hash").select(*_KEY, "at", "line", "hash", "n").repartition(*_KEY).sortWithinPartitions(*_KEY, "at")
     found = stored(repeated.mapInArrow(_cut, "doc_id long, text_hash long, first long, last long, c1 long, c2 long"), "chunks")
     place = F.struct("doc_id", "text_hash", "first")
