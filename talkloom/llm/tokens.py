@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import os
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 
 from talkloom.llm.frames import arrow_map, bounded_batches, stored
 from talkloom.llm.huffman import Decoder, canonical, code_lengths, pack
+from talkloom.scratch import scratch_path
 
 END_ID = 0
 CODE_BITS = 18
@@ -230,6 +230,6 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 def token_files(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write the ids of `docs` to a new folder of the shared scratch space and read them back."""
     spark = docs.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/llm/tokens-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tokens")
     write_tokens(docs, path, tokenizer)
     return read_tokens(spark, path)
