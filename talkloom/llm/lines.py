@@ -131,6 +131,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     found = stored(repeated.mapInArrow(_cut, "doc_id long, text_hash long, first long, last long, c1 long, c2 long"), "chunks")
     place = F.struct("doc_id", "text_hash", "first")
     groups = found.groupBy("c1", "c2").agg(F.min(place).alias("keeper"), F.max(place).alias("other")).filter("keeper != other").drop("other")
+    groups = stored(groups, "groups")  # so that the engine can split a hot chunk in the join
     found = stored(found.join(groups, ["c1", "c2"]).withColumn("stays", place == F.col("keeper")).drop("keeper"), "repeated")
     by_doc = _keys(found.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last", "c1", "c2")).alias("chunks")))
     marked = stored(found.select(*_KEY).distinct(), "marked")
