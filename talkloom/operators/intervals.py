@@ -24,20 +24,17 @@ def points_in_intervals(
 
     An interval is listed in every bucket it touches and a point in its own, so a task compares only
     what lies within `width` seconds of each other. Column names of the two sides must differ,
-    except for `keys`. All pairs of a point share its bucket, kept as `_bucket`: grouping by (keys,
+    except for `keys`. Buckets before the first and after the last point of a sequence are left out, so that an
+    interval with a corrupt end is listed no longer than its recording. All pairs of a point share its bucket, kept as `_bucket`: grouping by (keys,
     bucket, point) afterwards needs no further shuffle.
     """
-    spread = intervals.withColumn(
+    extent = points.groupBy(*keys).agg((F.floor(F.min(at) / width)).cast("long").alias("_low"), F.floor(F.max(at) / width).cast("long").alias("_high"))
+    first = F.greatest(F.floor(F.col(start) / width).cast("long"), F.col("_low"))
+    last = F.least(F.floor((F.col(end) + reach) / width).cast("long"), F.col("_high"))
+    spread = intervals.join(extent, [*keys]).filter(first <= last).withColumn(
         "_bucket",
-        F.explode(
-            F.sequence(
-                F.floor(F.col(start) / width).cast("long"),
-                F.greatest(
-                    F.floor(F.col(start) / width), F.floor((F.col(end) + reach) / width)
-                ).cast("long"),
-            )
-        ),
-    )
+        F.explode(F.sequence(first, last)),
+    ).drop("_low", "_high")
     placed = points.withColumn("_bucket", F.floor(F.col(at) / width).cast("long"))
     return (
         placed.join(spread, [*keys, "_bucket"])

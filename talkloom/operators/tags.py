@@ -2,6 +2,9 @@
 
 `kind` is manual, platform, category or speaker. Everything here is an aggregation with partial sums
 before the shuffle, so a tag carried by a third of all items costs one row per task.
+
+Ids may have any type that has an order. They order the items, unless the rows carry a whole number `arrival`,
+which then does. Where `rows` is asked for, `usage(rows)` serves as well: several sections then share one pass.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StructType
 
 from talkloom.functions.text import strip
 from talkloom.operators.ordered import pair_number
@@ -70,13 +74,46 @@ def _valid(rows: DataFrame, kinds: Sequence[str]) -> DataFrame:
     return rows.filter(F.col("kind").isin(list(kinds)) & (strip(F.col("tag")) != ""))
 
 
-def _first_use() -> Column:
-    """Aggregate: struct(item_id, seq) of the first use, as a minimum over one number."""
+def usage(rows: DataFrame) -> DataFrame:
+    """`(kind, tag, n, first, last_seen)`: all that most sections need of the rows, in one pass."""
+    return rows.groupBy("kind", "tag").agg(_uses(rows), _first_use(rows), _last_use(rows))
+
+
+def _counted(rows: DataFrame) -> bool:
+    return "first" in rows.columns
+
+
+def _uses(rows: DataFrame) -> Column:
+    return (F.sum("n") if _counted(rows) else F.count("*")).alias("n")
+
+
+def _place(rows: DataFrame) -> list[str]:
+    """The columns that order the rows."""
+    return [c for c in ("arrival", "item_id", "seq") if c in rows.columns]
+
+
+def _first_use(rows: DataFrame) -> Column:
+    """Aggregate: struct((arrival,) item_id, seq) of the first use.
+
+    Whole-number ids without an arrival are a minimum over one number, which a hash map keeps in place.
+    """
+    if _counted(rows):
+        return F.min("first").alias("first")
+    if "arrival" in rows.columns or not isinstance(rows.schema["item_id"].dataType, IntegralType):
+        return F.min(F.struct(*_place(rows))).alias("first")
     first = F.min(pair_number(F.col("item_id"), F.col("seq")))
     width = F.lit(10**15).cast("decimal(16,0)")
     return F.struct(
         F.floor(first / width).cast("long").alias("item_id"), (first % width).cast("int").alias("seq")
-    )
+    ).alias("first")
+
+
+def _last_use(rows: DataFrame) -> Column:
+    """Aggregate: the last item, with its arrival in front where there is one."""
+    if _counted(rows):
+        return F.max("last_seen").alias("last_seen")
+    last = F.struct("arrival", "item_id") if "arrival" in rows.columns else F.col("item_id")
+    return F.max(last).alias("last_seen")
 
 
 def all_tags(manual: Column, platform: Column, categories: Column) -> Column:
@@ -95,7 +132,7 @@ def tag_context(tag: Column) -> Column:
 def spelling_counts(rows: DataFrame) -> DataFrame:
     spelled = _valid(rows, TAG_KINDS).withColumn("spelling", strip(F.col("tag")))
     return spelled.groupBy(F.lower("spelling").alias("tag"), "spelling").agg(
-        F.count("*").alias("n"), _first_use().alias("first"), F.max("item_id").alias("last_seen")
+        _uses(rows), _first_use(rows), _last_use(rows)
     )
 
 
@@ -107,6 +144,7 @@ def tag_stats(rows: DataFrame) -> DataFrame:
 def fold_spellings(per_spelling: DataFrame) -> DataFrame:
     """`(tag, spelling, n, first, last_seen)` to one row per tag."""
     ordered = F.array_sort(F.collect_list(F.struct("first", "spelling")))
+    last = "last_seen.item_id" if isinstance(per_spelling.schema["last_seen"].dataType, StructType) else "last_seen"
     return per_spelling.groupBy("tag").agg(
         F.sum("n").alias("frequency"),
         F.transform(ordered, lambda s: s["spelling"]).alias("variations"),
@@ -114,14 +152,14 @@ def fold_spellings(per_spelling: DataFrame) -> DataFrame:
         F.max("last_seen").alias("last_seen"),
     ).select(
         "tag", "frequency", "variations", tag_context(F.col("tag")).alias("context"),
-        F.col("first.item_id").alias("first_seen"), "last_seen", "first",
+        F.col("first.item_id").alias("first_seen"), F.col(last).alias("last_seen"), "first",
     )
 
 
 def category_stats(rows: DataFrame) -> DataFrame:
     named = _valid(rows, ["category"])
     return named.groupBy(F.lower(strip(F.col("tag"))).alias("category")).agg(
-        F.count("*").alias("frequency"), _first_use().alias("first")
+        _uses(rows).alias("frequency"), _first_use(rows)
     )
 
 
@@ -145,23 +183,27 @@ def technical_terms(
     rows: DataFrame, texts: DataFrame, topic: Sequence[str] = TOPIC_INDICATORS,
     indicators: Sequence[str] = TERM_INDICATORS,
 ) -> DataFrame:
-    """Distinct lower-case tags of on-topic items that look technical, with their first use."""
+    """Distinct lower-case tags of on-topic items that look technical, with their first use.
+
+    The one section that needs the rows themselves, not their usage.
+    """
     low = F.lower("tag")
     looks = contains_any(low, indicators) | low.isin(TERM_WORDS)
     for p in TERM_PREFIXES:
         looks = looks | low.startswith(p)
     tags = rows.filter(F.col("kind").isin(TAG_KINDS) & (F.length("tag") > 3) & ~F.col("tag").rlike("^\\p{Nd}+$") & looks)
     # Fold repeats inside an item before the join, which is then on distinct ids.
-    per_item = tags.groupBy("item_id", low.alias("term")).agg(F.min("seq").alias("seq"))
+    rest = [c for c in _place(rows) if c != "item_id"]
+    per_item = tags.groupBy("item_id", low.alias("term")).agg(*[F.min(c).alias(c) for c in rest])
     kept = per_item.join(on_topic_items(rows, texts, topic), "item_id", "left_semi")
-    return kept.groupBy("term").agg(_first_use().alias("first"))
+    return kept.groupBy("term").agg(_first_use(kept))
 
 
 def project_names(rows: DataFrame, words: Sequence[str] = PROJECT_WORDS) -> DataFrame:
     """Distinct tags longer than two characters that start upper case or hold a project word."""
     looks = F.col("tag").rlike("^\\p{Lu}") | contains_any(F.lower("tag"), words)
     tags = rows.filter(F.col("kind").isin(TAG_KINDS) & (F.length("tag") > 2) & looks)
-    return tags.groupBy(F.col("tag").alias("project")).agg(_first_use().alias("first"))
+    return tags.groupBy(F.col("tag").alias("project")).agg(_first_use(rows))
 
 
 def expertise_areas(rows: DataFrame, areas: dict[str, list[str]] | None = None) -> DataFrame:
@@ -170,16 +212,24 @@ def expertise_areas(rows: DataFrame, areas: dict[str, list[str]] | None = None)
     low = F.lower("tag")
     hits = F.array(*[F.when(contains_any(low, ks), F.struct(F.lit(i).alias("no"), F.lit(a).alias("area")))
                      for i, (a, ks) in enumerate(areas.items())])
-    order = F.when(F.col("kind") == "category", 0).otherwise(F.col("seq") + 1)
+    def order(seq: Column) -> Column:
+        return F.when(F.col("kind") == "category", 0).otherwise(seq + 1)
+
     kept = rows.filter(F.col("kind").isin(TAG_KINDS))
-    found = explode_once(kept, ["item_id", order.alias("seq")], F.filter(hits, lambda h: h.isNotNull()), "_i", "h")
-    seen = found.groupBy(F.col("h.area").alias("area")).agg(_first_use().alias("f"), F.min("h.no").alias("no"))
-    return seen.select("area", F.struct("f.item_id", "f.seq", "no").alias("first"))
+    if _counted(rows):
+        kept = kept.withColumn("first", F.col("first").withField("seq", order(F.col("first.seq"))))
+        place = ["first"]
+    else:
+        kept, place = kept.withColumn("seq", order(F.col("seq"))), _place(rows)
+    found = explode_once(kept, place, F.filter(hits, lambda h: h.isNotNull()), "_i", "h")
+    seen = found.groupBy(F.col("h.area").alias("area")).agg(_first_use(found), F.min("h.no").alias("no"))
+    names = seen.schema["first"].dataType.names
+    return seen.select("area", F.struct(*[F.col(f"first.{n}") for n in names], "no").alias("first"))
 
 
 def recent_speakers(rows: DataFrame, keep: int = SPEAKERS_KEPT) -> DataFrame:
     """The last `keep` distinct speakers in order of first appearance."""
-    seen = _valid(rows, ["speaker"]).groupBy(strip(F.col("tag")).alias("speaker")).agg(_first_use().alias("first"))
+    seen = _valid(rows, ["speaker"]).groupBy(strip(F.col("tag")).alias("speaker")).agg(_first_use(rows))
     return seen.orderBy(F.desc("first")).limit(keep)
 
 
@@ -202,9 +252,13 @@ def domain_context(categories: DataFrame, areas: DataFrame) -> DataFrame:
     return by_cat.select(joined.alias("domain_context"))
 
 
-def statistics(rows: DataFrame, texts: DataFrame) -> DataFrame:
+def statistics(
+    rows: DataFrame, texts: DataFrame, topic: Sequence[str] = TOPIC_INDICATORS, indicators: Sequence[str] = TERM_INDICATORS,
+    words: Sequence[str] = PROJECT_WORDS, areas: dict[str, list[str]] | None = None,
+) -> DataFrame:
     """One row of counts with the ten most frequent tags and five categories."""
-    stats, cats = materialise(tag_stats(rows), "tag-stats"), materialise(category_stats(rows), "category-stats")
+    used = materialise(usage(rows), "tag-usage")
+    stats, cats = tag_stats(used), category_stats(used)
 
     def size_of(df: DataFrame) -> Column:
         return df.agg(F.count("*")).scalar()
@@ -218,27 +272,32 @@ def statistics(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return totals.select(
         texts.agg(F.count("*")).scalar().alias("videos_processed"),
         "total_unique_tags", "total_tag_occurrences",
-        size_of(technical_terms(rows, texts)).alias("technical_terms_count"),
-        size_of(project_names(rows)).alias("project_names_count"),
-        size_of(recent_speakers(rows)).alias("speakers_count"),
+        size_of(technical_terms(rows, texts, topic, indicators)).alias("technical_terms_count"),
+        size_of(project_names(used, words)).alias("project_names_count"),
+        size_of(recent_speakers(used)).alias("speakers_count"),
         size_of(cats).alias("categories_count"),
-        size_of(expertise_areas(rows)).alias("expertise_areas_count"),
+        size_of(expertise_areas(used, areas)).alias("expertise_areas_count"),
         listed(stats, "tag", 10).alias("most_frequent_tags"),
         listed(cats, "category", 5).alias("most_common_categories"),
     )
 
 
-def correction_context(rows: DataFrame, texts: DataFrame) -> DataFrame:
+def correction_context(
+    rows: DataFrame, texts: DataFrame, topic: Sequence[str] = TOPIC_INDICATORS, indicators: Sequence[str] = TERM_INDICATORS,
+    words: Sequence[str] = PROJECT_WORDS, areas: dict[str, list[str]] | None = None, speakers_shown: int = SPEAKERS_SHOWN,
+) -> DataFrame:
     """The whole correction context as `(section, first, item, detail)` rows.
 
     Terms, projects and variations grow with the corpus, so they stay rows; `prompt_context` is the
     bounded one-row extract a prompt uses.
     """
-    # Each of these is read by several sections: aggregate the corpus once, then scan the result.
-    stats = materialise(tag_stats(rows), "tag-stats")
-    cats, areas = materialise(category_stats(rows), "category-stats"), materialise(expertise_areas(rows), "areas")
+    # Read by all sections but the terms: aggregate the corpus once, then scan the result.
+    used = materialise(usage(rows), "tag-usage")
+    stats, cats, found = tag_stats(used), category_stats(used), expertise_areas(used, areas)
     none = F.lit(None).cast("string")
-    plain = F.struct(F.col("first.item_id").alias("item_id"), F.col("first.seq").cast("int").alias("seq"))
+    place = [(f.name, "int" if f.name == "seq" else f.dataType) for f in used.schema["first"].dataType]
+    plain = F.struct(*[F.col(f"first.{name}").cast(kind).alias(name) for name, kind in place])
+    start = F.struct(*[F.lit(0).cast(kind).alias(name) for name, kind in place])
 
     def section(name: str, df: DataFrame, item: str, detail: Column = none) -> DataFrame:
         return df.select(F.lit(name).alias("section"), plain.alias("first"), F.col(item).alias("item"), detail.alias("detail"))
@@ -246,21 +305,21 @@ def correction_context(rows: DataFrame, texts: DataFrame) -> DataFrame:
     def one(name: str, value: DataFrame) -> DataFrame:
         column = value.columns[0]
         return value.select(
-            F.lit(name).alias("section"), F.struct(F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("seq")).alias("first"),
+            F.lit(name).alias("section"), start.alias("first"),
             F.col(column).cast("string").alias("item"), none.alias("detail"),
         )
 
     count = F.col("frequency").cast("string")
-    shown = recent_speakers(rows).orderBy("first").limit(SPEAKERS_SHOWN)
+    shown = recent_speakers(used).orderBy("first").limit(speakers_shown)
     parts = [
         section("frequent_tags", top(stats, 30), "tag", count),
         section("tag_variations", tag_variations(stats), "tag", F.array_join("variations", ", ")),
-        section("technical_terms", technical_terms(rows, texts), "term"),
-        section("project_names", project_names(rows), "project"),
+        section("technical_terms", technical_terms(rows, texts, topic, indicators), "term"),
+        section("project_names", project_names(used, words), "project"),
         section("common_speakers", shown, "speaker"),
         section("common_categories", top(cats, 10), "category", count),
-        section("expertise_areas", areas, "area"),
-        one("domain_context", domain_context(cats, areas)),
+        section("expertise_areas", found, "area"),
+        one("domain_context", domain_context(cats, found)),
         one("video_count", texts.agg(F.count("*").alias("n"))),
     ]
     out = parts[0]
@@ -281,7 +340,7 @@ def prompt_context(context: DataFrame) -> DataFrame:
     limited = None
     for name, k in PROMPT_LIMITS.items():
         ranked = name in ("frequent_tags", "common_categories")
-        order = [F.desc(F.col("detail").cast("long")), F.col("first")] if ranked else [F.col("first")]
+        order = [F.desc(F.col("detail").cast("long")), F.col("first"), F.col("item")] if ranked else [F.col("first"), F.col("item")]
         part = context.filter(F.col("section") == name).orderBy(*order).limit(k)
         part = part.withColumn("_freq", F.when(F.lit(ranked), -F.col("detail").try_cast("long")).otherwise(0))
         limited = part if limited is None else limited.unionByName(part)

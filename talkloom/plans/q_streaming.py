@@ -79,7 +79,7 @@ def stream_tags(spark, sf):
     out = scratch_path(spark, "tags")
     running = jobs.tag_dictionary(_tag_stream(spark, sf), out, f"{out}-checkpoint")
     running.awaitTermination()
-    stats = jobs.latest_dictionary(spark, out, running)
+    stats = jobs.latest_dictionary(spark, out)
     return stats.select("tag", "frequency", F.array_join("variations", "|").alias("variations"), "context", "first_seen", "last_seen")
 
 

@@ -71,6 +71,15 @@ def tag_frequency(spark, sf):
     return stats.select("tag", "frequency", F.array_join("variations", "|").alias("variations"), "context", "first_seen", "last_seen")
 
 
+@query("tag_frequency_text_ids", f"""SELECT s.tag, frequency, variations, 'v' || first_seen AS first_seen, 'v' || last_seen AS last_seen
+FROM ({_STATS}) s JOIN ({_SPELLINGS}) v ON v.tag = s.tag""", ["item_tags"])
+def tag_frequency_text_ids(spark, sf):
+    """Text ids, ordered by the arrival number of their items."""
+    rows = _rows(spark, sf).withColumn("arrival", F.col("item_id")).withColumn("item_id", F.concat(F.lit("v"), F.col("item_id")))
+    stats = tags.tag_stats(rows)
+    return stats.select("tag", "frequency", F.array_join("variations", "|").alias("variations"), "first_seen", "last_seen")
+
+
 @query("category_frequency", f"SELECT category, frequency FROM ({_CATS}) c", ["item_tags"])
 def category_frequency(spark, sf):
     return tags.category_stats(_rows(spark, sf)).select("category", "frequency")
@@ -149,32 +158,33 @@ def _count_sql(sql):
 @query(
     "tag_statistics",
     f"""SELECT (SELECT count(*) FROM part) AS videos_processed, count(*) AS total_unique_tags,
-  sum(frequency)::BIGINT AS total_tag_occurrences, {_count_sql(_terms_sql(tags.TOPIC_INDICATORS, tags.TERM_INDICATORS))} AS technical_terms_count,
+  sum(frequency)::BIGINT AS total_tag_occurrences, {_count_sql(_terms_sql(TOPIC, TERMS))} AS technical_terms_count,
   {_count_sql(_PROJECTS)} AS project_names_count, {_count_sql(_SPEAKERS)} AS speakers_count, {_count_sql(_CATS)} AS categories_count,
-  {_count_sql(_areas_sql(tags.AREAS))} AS expertise_areas_count,
+  {_count_sql(_areas_sql(AREAS))} AS expertise_areas_count,
   (SELECT string_agg(tag || '=' || frequency, ', ' ORDER BY frequency DESC, first) FROM (SELECT * FROM ({_STATS}) s ORDER BY frequency DESC, first LIMIT 10) t) AS most_frequent_tags,
   (SELECT string_agg(category || '=' || frequency, ', ' ORDER BY frequency DESC, first) FROM (SELECT * FROM ({_CATS}) s ORDER BY frequency DESC, first LIMIT 5) t) AS most_common_categories
 FROM ({_STATS}) s""",
     ["item_tags"],
 )
 def tag_statistics(spark, sf):
-    out = tags.statistics(_rows(spark, sf), _titles(spark, sf))
+    out = tags.statistics(_rows(spark, sf), _titles(spark, sf), TOPIC, TERMS, areas=AREAS)
     return out.withColumn("most_frequent_tags", F.array_join("most_frequent_tags", ", ")).withColumn(
         "most_common_categories", F.array_join("most_common_categories", ", "))
 
 
 _CONTEXT_ROWS = f"""SELECT 'frequent_tags' AS section, first, tag AS item, frequency::VARCHAR AS detail FROM (SELECT * FROM ({_STATS}) s ORDER BY frequency DESC, first LIMIT 30) t
 UNION ALL SELECT 'tag_variations', s.first, s.tag, replace(variations, '|', ', ') FROM ({_STATS}) s JOIN ({_SPELLINGS}) v ON v.tag = s.tag WHERE n_spellings > 1
-UNION ALL SELECT 'technical_terms', first, term, NULL FROM ({_terms_sql(tags.TOPIC_INDICATORS, tags.TERM_INDICATORS)}) t
+UNION ALL SELECT 'technical_terms', first, term, NULL FROM ({_terms_sql(TOPIC, TERMS)}) t
 UNION ALL SELECT 'project_names', first, project, NULL FROM ({_PROJECTS}) p
 UNION ALL SELECT 'common_speakers', first, speaker, NULL FROM (SELECT * FROM ({_SPEAKERS}) s ORDER BY first LIMIT 20) s
 UNION ALL SELECT 'common_categories', first, category, frequency::VARCHAR FROM (SELECT * FROM ({_CATS}) c ORDER BY frequency DESC, first LIMIT 10) c
+UNION ALL SELECT 'expertise_areas', first // 1000 * 10 + first % 1000 // 100, area, NULL FROM ({_areas_sql(AREAS)}) a
 UNION ALL SELECT 'domain_context', 0, '{tags.DOMAIN_FALLBACK}', NULL
 UNION ALL SELECT 'video_count', 0, count(*)::VARCHAR, NULL FROM part"""
 
 
 def _context(spark, sf):
-    return tags.correction_context(_rows(spark, sf), _titles(spark, sf))
+    return tags.correction_context(_rows(spark, sf), _titles(spark, sf), TOPIC, TERMS, areas=AREAS)
 
 
 @query("correction_context", _CONTEXT_ROWS, ["item_tags"])

@@ -287,7 +287,7 @@ def prompt_metadata(spark, sf):
 
 
 def _section_sql(name, k, ranked=False, variations=False):
-    order = "detail::BIGINT DESC, first" if ranked else "first"
+    order = "detail::BIGINT DESC, first, item" if ranked else "first, item"
     item = "item || ': ' || detail" if variations else "item"
     sep = "chr(10)" if variations else "', '"
     return f"(SELECT string_agg({item}, {sep} ORDER BY {order}) FROM (SELECT * FROM ctx WHERE section = '{name}' ORDER BY {order} LIMIT {k}) s)"

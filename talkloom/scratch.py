@@ -3,10 +3,34 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The file system of `path`, and a function from text to its paths."""
+    of: Callable = spark._jvm.org.apache.hadoop.fs.Path
+    return of(path).getFileSystem(spark._jsc.hadoopConfiguration()), of
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables made inside when the block ends; write or collect the results in it."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            fs, of = file_system(spark, path)
+            fs.delete(of(path), True)
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -19,7 +43,11 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path nobody else uses, below the shared scratch folder."""
-    return f"{scratch_root(spark)}/talkloom/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/talkloom/{name}-{uuid.uuid4().hex}"
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

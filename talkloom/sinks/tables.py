@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
 
-from talkloom.scratch import materialise
+from pyspark.sql import DataFrame, SparkSession
+
+from talkloom.scratch import file_system
 from talkloom.sources.tables import conform
 
 
@@ -19,5 +21,29 @@ def append_jdbc(df: DataFrame, name: str, url: str, table: str, connections: int
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Rewrite a table from a plan that may read it: the new rows are complete before the old ones go."""
-    materialise(df, "replace").write.mode("overwrite").parquet(path)
+    """Rewrite a table from a plan that may read it, by swapping folders.
+
+    The new rows are complete beside the table before the old ones move away, so a lost job leaves one whole
+    table: at `path`, or, between the two renames, at `path.old`, from where `restore_table` brings it back.
+    """
+    spark = df.sparkSession
+    restore_table(spark, path)
+    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    df.write.parquet(fresh)
+    fs, of = file_system(spark, path)
+    kept = of(f"{path.rstrip('/')}.old")
+    if fs.exists(of(path)):
+        fs.delete(kept, True)
+        if not fs.rename(of(path), kept):
+            raise OSError(f"could not move {path} aside")
+    if not fs.rename(of(fresh), of(path)):
+        raise OSError(f"could not move {fresh} to {path}")
+    fs.delete(kept, True)
+
+
+def restore_table(spark: SparkSession, path: str) -> None:
+    """Bring a table back that a lost `replace_table` left aside."""
+    fs, of = file_system(spark, path)
+    kept = of(f"{path.rstrip('/')}.old")
+    if fs.exists(kept) and not fs.exists(of(path)):
+        fs.rename(kept, of(path))

@@ -84,21 +84,31 @@ def classify(items: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return _run(writer, checkpoint)
 
 
-SPELLINGS = "tag string, spelling string, n long, first struct<item_id:long,seq:int>, last_seen long"
+def _versions(spark: SparkSession, out: str) -> list[int]:
+    """Numbers of the complete batch folders below `out`, in order."""
+    if not _exists(spark, out):
+        return []
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [status.getPath().getName() for status in found]
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch=") and _exists(spark, f"{out}/{n}/_SUCCESS"))
 
 
 def tag_dictionary(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Running counts per spelling: version N + 1 is version N merged with the batch's aggregate.
 
-    Only the aggregated dictionary is rewritten; it grows with distinct spellings, not with items.
+    Only the aggregated dictionary is rewritten; it grows with distinct spellings, not with items. A batch
+    after the first that finds no earlier version raises, so counts never start anew unnoticed.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = tags.spelling_counts(batch)
-        before = f"{out}/batch={batch_id - 1}"
-        if batch_id > 0 and _exists(spark, before):
-            fresh = fresh.unionByName(spark.read.schema(SPELLINGS).parquet(before))
+        earlier = [v for v in _versions(spark, out) if v < batch_id]
+        if earlier:
+            fresh = fresh.unionByName(spark.read.schema(fresh.schema).parquet(f"{out}/batch={earlier[-1]}"))
+        elif batch_id > 0:
+            raise RuntimeError(f"batch {batch_id} found no earlier version of the dictionary in {out}")
         merged = fresh.groupBy("tag", "spelling").agg(
             F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last_seen").alias("last_seen")
         )
@@ -107,12 +117,12 @@ def tag_dictionary(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery
     return _run(rows.writeStream.foreachBatch(merge), checkpoint)
 
 
-def latest_dictionary(spark: SparkSession, out: str, query: StreamingQuery) -> DataFrame:
-    """Dictionary after the last batch of `query`, one row per tag."""
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    while last > 0 and not _exists(spark, f"{out}/batch={last}"):
-        last -= 1  # the last reported batch may have had no data
-    return tags.fold_spellings(spark.read.schema(SPELLINGS).parquet(f"{out}/batch={last}"))
+def latest_dictionary(spark: SparkSession, out: str) -> DataFrame:
+    """The newest version below `out`, one row per tag."""
+    versions = _versions(spark, out)
+    if not versions:
+        raise RuntimeError(f"no version of the dictionary in {out}")
+    return tags.fold_spellings(spark.read.parquet(f"{out}/batch={versions[-1]}"))
 
 
 METRICS = "batch_id long, videos_classified long, videos_approved long, videos_rejected long, n_errors long"

@@ -233,6 +233,24 @@ def test_tag_dictionary_rules(spark):
     assert len(one) == 1 and one[0].frequent_tags[:2] == ["lightning", "podcast"] and one[0].video_count == ["3"]
 
 
+def test_tag_dictionary_takes_text_ids(spark):
+    rows = [("zz", 0, "manual", "Ring", 1), ("zz", 1, "category", "Gear", 1), ("b", 0, "manual", "ring", 2), ("b", 1, "platform", "Bolt", 2),
+            ("b", 2, "speaker", "Ann", 2), ("c", 0, "speaker", "Bob", 3)]
+    df = spark.createDataFrame(rows, "item_id string, seq int, kind string, tag string, arrival long")
+    texts = spark.createDataFrame([("b", "about gear"), ("c", "")], "item_id string, text string")
+    for given, first in ((df, "zz"), (df.drop("arrival"), "b")):
+        for source in (given, tags.usage(given)):
+            ring = {r.tag: r for r in tags.tag_stats(source).collect()}["ring"]
+            assert (ring.frequency, ring.first_seen) == (2, first) and ring.last_seen == ("b" if first == "zz" else "zz")
+            assert [r.speaker for r in tags.recent_speakers(source, 1).collect()] == ["Bob"]
+            areas = tags.expertise_areas(source, {"a": ["gear"], "b": ["bolt"]}).orderBy("first").collect()
+            assert [r.area for r in areas] == (["a", "b"] if first == "zz" else ["b", "a"])
+        one = tags.prompt_context(tags.correction_context(given, texts, ["gear"], ["ring"], ["bolt"], {"b": ["bolt"]})).first()
+        assert one.technical_terms == ["ring", "bolt"] and one.expertise_areas == ["b"] and set(one.project_names) == {"Ring", "Gear", "Bolt"}
+        counts = tags.statistics(given, texts, ["gear"], ["ring"], ["bolt"], {"b": ["bolt"]}).first()
+        assert (counts.technical_terms_count, counts.expertise_areas_count, counts.total_unique_tags) == (2, 1, 3)
+
+
 def test_stub_row_for_a_transcript_without_state(spark):
     ids = spark.createDataFrame([(1,), (2,)], "transcript_id long")
     old = spark.createDataFrame([(1, "export", "pending", 1)], "transcript_id long, stage string, status string, seq long")

@@ -71,6 +71,13 @@ def test_points_in_intervals_are_exact(spark):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_an_interval_with_a_corrupt_end_is_listed_as_long_as_its_points(spark):
+    points = spark.createDataFrame([(1, i, float(i)) for i in range(20)], "t int, p int, at double")
+    spans = spark.createDataFrame([(1, 0, 5.0, 1e15), (1, 1, 30.0, 1e15), (2, 2, 0.0, 1e15), (1, 3, 9.0, 8.0)], "t int, s int, a double, b double")
+    out = points_in_intervals(points, spans, ["t"], "at", "a", "b", 1.0)
+    assert sorted((r.p, r.s) for r in out.collect()) == [(i, 0) for i in range(5, 20)]
+
+
 def test_first_at_or_after_with_starts_that_step_back(spark):
     rng = random.Random(4)
     rows = [(t, i, rng.uniform(0, 50)) for t in range(3) for i in range(30)]

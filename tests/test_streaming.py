@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from talkloom.operators import tags
@@ -43,10 +44,25 @@ def test_dictionary_over_batches_equals_the_batch_result(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     running = jobs.tag_dictionary(stream, out, str(tmp_path / "check"))
     running.awaitTermination()
-    got = sorted(tuple(r) for r in jobs.latest_dictionary(spark, out, running).collect())
+    got = sorted(tuple(r) for r in jobs.latest_dictionary(spark, out).collect())
     assert got == sorted(tuple(r) for r in tags.tag_stats(spark.createDataFrame(rows, schema)).collect())
 
 
+def test_a_lost_dictionary_is_noticed(spark, tmp_path):
+    src, out, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")
+    schema = "item_id string, seq int, kind string, tag string"
+
+    def run(folder):
+        _write(spark, src, [("x", 0, "manual", "A")], schema)
+        jobs.tag_dictionary(spark.readStream.schema(schema).parquet(src), folder, check).awaitTermination()
+
+    run(out)
+    run(out)
+    assert jobs.latest_dictionary(spark, out).first().frequency == 2
+    with pytest.raises(Exception, match="no earlier version"):
+        run(str(tmp_path / "other"))
+
+
 def test_metrics_have_one_row_per_batch(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "is_technical boolean, error string"
