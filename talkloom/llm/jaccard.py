@@ -253,7 +253,8 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     named = rows.filter("doc_id is not null and n > 0")
 
     # Equal sets: every document is linked with the smallest id of its set.
-    reps = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    reps = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("far")).filter("rep != far").drop("far")
+    reps = stored(reps, "equal-sets")  # so that the engine can split a hot set in the join
     copies = named.select("doc_id", "d1", "d2").join(reps, ["d1", "d2"]).filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
 
     # Lists of equal signatures; only lists of two and more go on.
