@@ -54,12 +54,12 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weight_col: str | None = None, seed: int = 1, split_last: bool = True) -> DataFrame:
+        weight_col: str | None = None, size_col: str | None = None, seed: int = 1, split_last: bool = True) -> DataFrame:
     """`docs` with `_size`, `_source_size`, `_target` and `_taken` in a struct `_row` beside them.
 
     `_taken`: words the mix takes of the document, repeats counted: its size for every whole epoch, and again
     if its key lies below the source's last cut. The document at the cut is taken in part (`split_last`), or whole
-    if that is nearer to the target.
+    if that is nearer to the target. `size_col` names sizes already counted, so that the texts need not be moved; null ones are 0.
 
     Null texts have size 0, as have empty ones; they are never taken. A null source is a source of its own, last in
     order. Null, zero or negative weights count as very small. Null ids are documents like others. Equal rows draw equal keys and are told apart
@@ -67,7 +67,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     weight = F.lit(1.0) if weight_col is None else F.coalesce(F.greatest(F.col(weight_col).cast("double"), F.lit(1e-9)), F.lit(1e-9))
-    rows = docs.select(row, F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), weight.alias("w"))
+    size = word_count(F.col(text_col)) if size_col is None else F.coalesce(F.col(size_col).cast("long"), F.lit(0).cast("long"))
+    rows = docs.select(row, F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), weight.alias("w"))
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("size").cast("string"))), 1, 12), 16, 10).cast("double")
     rows = rows.withColumn("key", -F.log((drawn + 0.5) / F.lit(float(_TOP))) / F.col("w"))
     # Keys as positions in (0, 1) that keep their order.

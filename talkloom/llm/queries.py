@@ -13,7 +13,7 @@ from talkloom.llm.decontaminate import find_leaks
 from talkloom.llm.frames import table
 from talkloom.llm.jaccard import ngram_jaccard
 from talkloom.llm.lines import line_dedup
-from talkloom.llm.mixing import mix
+from talkloom.llm.mixing import mix, word_count
 from talkloom.llm.quality import quality_scores
 from talkloom.llm.rules import quality_rules
 from talkloom.llm.tokens import token_files
@@ -35,9 +35,9 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text").join(marks, "doc_id", "left")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")).join(marks, "doc_id", "left")
     docs = docs.withColumn("weight", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0))
-    rows = mix(docs.select("doc_id", "source", "text", "weight"), weight_col="weight")
+    rows = mix(docs.select("doc_id", "source", "size", "weight"), weight_col="weight", size_col="size")
     return rows.select(F.col("_row.doc_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
                        F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 

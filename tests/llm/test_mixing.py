@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from talkloom.llm.mixing import mix, mixed_documents, targets
+from talkloom.llm.mixing import mix, mixed_documents, targets, word_count
 from tests.llm import edge
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,3 +55,10 @@ def test_weights_favour(spark):
     rows = mix(docs, weight_col="weight").filter("_row.source = 'c'").groupBy((F.col("_row.doc_id") % 2).alias("heavy")).agg(F.sum("_taken").alias("n")).collect()
     got = {r.heavy: r.n for r in rows}
     assert got[1] > 5 * got[0]
+
+
+def test_sizes_counted_before(spark):
+    docs = edge.documents(spark, [(i, " ".join(["w"] * (i % 37))) for i in range(500)] + edge.ROWS)
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    of = lambda rows: sorted(map(repr, rows.select("_row.doc_id", "_size", "_target", "_taken").collect()))
+    assert of(mix(sized, size_col="size")) == of(mix(docs))
