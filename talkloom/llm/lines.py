@@ -2,7 +2,9 @@
 
 Lines are hashed and counted over the corpus. A line that occurs once cannot be part of a repeated chunk and ends one.
 Inside runs of repeated lines a rolling hash over the last two lines chooses further boundaries, so the same passage is cut alike
-wherever it starts. A chunk counts if it has several lines, or one of at least LONG words. Of each chunk that occurs again the first occurrence,
+wherever it starts. A line of at least LONG words is a chunk of its own, and where a line is over STEP times as frequent as its neighbour
+(a stock phrase next to a copied passage) lies a boundary too: both depend on the lines alone, so a passage among other repeated lines is cut out
+alike everywhere. A chunk counts if it has several lines, or one of at least LONG words. Of each chunk that occurs again the first occurrence,
 by document and place, stays; the others are removed after their bytes were compared with it.
 """
 
@@ -21,6 +23,7 @@ from talkloom.llm.words import chunks, lines, mix, span_hash, stream, words
 LEAST, MOST = 2, 32  # lines of a chunk: no boundary before, a boundary at the latest
 CUT_BITS = 2  # a boundary after one line in four
 LONG = 50  # words from which a single line is a chunk
+STEP = 4  # a boundary between lines of which one is more than so many times as frequent
 BROADCAST_KEYS = 500_000  # documents with repeated chunks (about 24 MB) that may be sent to every executor
 _U = np.uint64
 _KEY = ["doc_id", "text_hash"]
@@ -45,10 +48,10 @@ def _line_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of repeated lines, sorted by document and place, to chunks (…, first line, last line, two hashes)."""
-    names = [*_KEY, "at", "line", "hash", "n"]
+    names = [*_KEY, "at", "line", "hash", "n", "k"]
     chunk: list[tuple[int, int, int]] = []  # line, hash, words
     key: tuple = ()
-    last_at, last_hash = -2, 0
+    last_at, last_hash, last_k = -2, 0, 0
     out: list[tuple] = []
 
     def close() -> None:
@@ -67,18 +70,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         columns = [batch.column(c).to_pylist() for c in names]
-        for doc_id, text_hash, at, line, value, n in zip(*columns, strict=True):
+        for doc_id, text_hash, at, line, value, n, k in zip(*columns, strict=True):
             now = (doc_id, text_hash)
             if now == key and at == last_at:
                 continue  # the same document twice
-            if now != key or at != last_at + 1:
+            if now != key or at != last_at + 1 or n >= LONG or k > STEP * last_k or last_k > STEP * k:
                 close()
                 last_hash = 0
-            key, last_at = now, at
+            key, last_at, last_k = now, at, k
             chunk.append((line, value, n))
             rolling = int(mix(np.array([(last_hash * 0x9E3779B97F4A7C15 + value) & (1 << 64) - 1], _U))[0])
             last_hash = value
-            if len(chunk) >= MOST or len(chunk) >= LEAST and rolling & ((1 << CUT_BITS) - 1) == 0:
+            if n >= LONG or len(chunk) >= MOST or len(chunk) >= LEAST and rolling & ((1 << CUT_BITS) - 1) == 0:
                 close()
         if len(out) > 10_000:
             yield batch_of()
@@ -126,8 +129,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     rows = stored(arrow_map(docs, _line_rows, "doc_id long, text_hash long, at long, line long, hash long, n long"), "lines")
-    again = stored(rows.groupBy("hash").agg(F.count("*").alias("k")).filter("k > 1").select("hash"), "again")
-    repeated = rows.join(again, "hash").select(*_KEY, "at", "line", "hash", "n").repartition(*_KEY).sortWithinPartitions(*_KEY, "at")
+    again = stored(rows.groupBy("hash").agg(F.count("*").alias("k")).filter("k > 1"), "again")
+    repeated = rows.join(again, "hash").select(*_KEY, "at", "line", "hash", "n", "k").repartition(*_KEY).sortWithinPartitions(*_KEY, "at")
     found = stored(repeated.mapInArrow(_cut, "doc_id long, text_hash long, first long, last long, c1 long, c2 long"), "chunks")
     place = F.struct("doc_id", "text_hash", "first")
     groups = found.groupBy("c1", "c2").agg(F.min(place).alias("keeper"), F.max(place).alias("other")).filter("keeper != other").drop("other")

@@ -58,6 +58,20 @@ def test_line_dedup(spark):
     assert out[2].text == "" and out[2].n_removed == 1  # a repeated line of 60 words
 
 
+def test_passages_among_other_repeated_lines(spark):
+    """A long line and a passage are cut out alike whatever repeated lines stand around them."""
+    stock = [f"stock phrase {i}" for i in range(6)]
+    filler = [(100 + i, "\n".join(f"own {i} {k}\n{s}" for k, s in enumerate(stock))) for i in range(40)]
+    rows = [(i, f"{stock[i]}\n{edge.text(0, 60)}\n{stock[5 - i]}") for i in range(3)]
+    rows += [(10 + i, f"{stock[i]}\n{passage('q', 3)}\n{stock[5 - i]}") for i in range(3)]
+    out = {r.doc_id: r for r in line_dedup(edge.documents(spark, rows + filler)).collect()}
+    texts = dict(rows)
+    assert out[0].text == texts[0] and out[10].text == texts[10] and all(out[i].n_removed == 0 for i, _ in filler)
+    for i in (1, 2):
+        assert out[i].text == f"{stock[i]}\n{stock[5 - i]}"
+        assert 2 <= out[10 + i].n_removed <= 3 and out[10 + i].text.split("\n")[0] == stock[i] and out[10 + i].text.split("\n")[-1] == stock[5 - i]
+
+
 def test_line_dedup_edges(spark):
     out = line_dedup(edge.documents(spark)).collect()
     assert len(out) == len(edge.ROWS)
