@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>\n"
-_PIECE = r"(?s)^<\|im_start\|>((?:[^\\\n]|\\.)*)\n(.*)$"
+_PIECE = r"(?s)^<\|im_start\|>((?:[^\\\n]++|(?:\\.)++)*+)\n(.*)$"
 
 
 def escape(text: Column) -> Column:
