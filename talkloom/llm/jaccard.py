@@ -35,6 +35,7 @@ from talkloom.llm.words import chunks, distinct_shingles, mix
 
 _U = np.uint64
 SKETCH_WORDS = 16  # parity sketch: 1024 bits
+SIGN_BITS = 48  # of a block digest; equal digests only propose, so fewer bits cost pairs to discard and lose no link
 BLOCKS = 4  # ranges of the verifying product
 TILE = 1024  # documents on one side of a tile
 BROADCAST_IDS = 1_000_000  # up to so many candidate ids (16 MB) are sent to every executor
@@ -95,7 +96,7 @@ def signatures(grams: np.ndarray, num: int, den: int) -> np.ndarray:
         digests = mix((sums[edges[1:]] - sums[edges[:-1]]) ^ mix(marks))
         weak = sizes < least
         out.append(digests[~weak] if weak.sum() <= spare else digests)
-    return np.concatenate(out)
+    return np.concatenate(out) >> _U(64 - SIGN_BITS)
 
 
 def _int64(values: np.ndarray) -> pa.Array:
@@ -259,8 +260,8 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     # Lists of equal signatures; only lists of two and more go on.
     signed = named.select("row", F.explode("signs").alias("sign"))
-    lists = signed.groupBy("sign").agg(F.min("row").alias("hub"), F.max("row").alias("far"), F.count("*").alias("size")).filter("hub != far")
-    members = stored(signed.join(lists.drop("far"), "sign"), "lists")
+    lists = signed.groupBy("sign").agg(F.min("row").alias("hub"), F.count("*").alias("size")).filter("size > 1")
+    members = stored(signed.join(lists, "sign"), "lists")
 
     meta = named.select("row", "doc_id", "n", "d1", "d2", "sketch")
     other = meta.select(F.col("row").alias("row_b"), F.col("doc_id").alias("id_b"), F.col("n").alias("m"), F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("sketch").alias("sketch_b"))
