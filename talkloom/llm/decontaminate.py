@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates, with DataFrame functions only.
 
 Texts become token templates: numbers, units behind numbers and capitalised names inside sentences are
-typed placeholders, other words stand in lower case. Windows of WINDOW tokens are hashed and joined with the
+typed placeholders, other words stand in lower case. A wider template makes every capitalised word a name, so that names
+at the start of a text, sentence, line or quote are placeholders too. Windows of WINDOW tokens are hashed and joined with the
 windows of the benchmark's templates. Where a matching window has slots, the values must fit together: in one pair of document and item,
 an item's value always stands for one value of the document. So a question asked again with other
 numbers or names is found, and a chance match of placeholders is not.
@@ -20,43 +21,44 @@ LEAST_SHARE = 0.4  # of an item's windows found in a document
 BROADCAST_ROWS = 500_000  # benchmark windows or marked documents (about 40 MB) that may be sent to every executor
 
 _NAME = r"\p{Lu}(?<=[\p{L}\p{N},;]\x20\p{Lu})\p{Ll}+(?!\p{L})"
+_ANY_NAME = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?!\p{L})"
 _NUMBER = r"\p{N}+(?:[.,]\p{N}+)*"
 _UNIT = "km|cm|mm|m|kg|g|mg|lb|lbs|oz|l|ml|miles?|feet|ft|inch(?:es)?|hours?|hrs?|minutes?|min|seconds?|sec|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|degrees?"
 _UNITS = rf"(\x02[\p{{N}}.,]*\p{{N}})\x20?({_UNIT})(?![\p{{L}}\p{{N}}])"
 _BETWEEN = r"(?:[^\p{L}\p{N}\x01-\x03.,]|[.,](?!\p{N}))+"
 
 
-def tokens(text: Column, names: bool = True) -> Column:
-    """Tokens in lower case; a placeholder is a mark (1 name, 2 number, 3 unit) and its value."""
-    marked = F.regexp_replace(text, _NAME, "\x01$0") if names else text
+def tokens(text: Column, names: str | None = _NAME) -> Column:
+    """Tokens in lower case; a placeholder is a mark (1 name, 2 number, 3 unit) and its value. Places are the same whatever `names` matches."""
+    marked = F.regexp_replace(text, names, "\x01$0") if names else text
     marked = F.regexp_replace(F.regexp_replace(marked, _NUMBER, "\x02$0"), f"(?i){_UNITS}", "$1 \x03$2")
     return F.split(F.lower(marked), _BETWEEN)
 
 
-def _hashes(df: DataFrame) -> DataFrame:
+def _hashes(df: DataFrame, tokens: str = "tokens", windows: str = "windows") -> DataFrame:
     """Add `windows`: the hash of the WINDOW template tokens from each place on, by doubling.
 
     Places near the end have hashes over fewer tokens, which equal no full window's.
     """
-    of = F.transform("tokens", lambda t: F.xxhash64(F.when(t < "\x04", F.substr(t, F.lit(1), F.lit(1))).otherwise(t)))
-    df = df.withColumn("windows", of)
+    of = F.transform(tokens, lambda t: F.xxhash64(F.when(t < "\x04", F.substr(t, F.lit(1), F.lit(1))).otherwise(t)))
+    df = df.withColumn(windows, of)
     step = 1
     while step < WINDOW:
-        df = df.withColumn("windows", F.zip_with("windows", F.slice("windows", step + 1, F.greatest(F.size("windows"), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
+        df = df.withColumn(windows, F.zip_with(windows, F.slice(windows, step + 1, F.greatest(F.size(windows), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
         step *= 2
     return df
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, at, window, slots(place, value)) of benchmark(item_id, text); names both as placeholders and as words."""
-    def of(names: bool) -> DataFrame:
+    """(item_id, at, window, slots(place, value)) of benchmark(item_id, text); names as placeholders, as words, and every capitalised word as a name."""
+    def of(names: str | None) -> DataFrame:
         rows = benchmark.filter("text is not null").select("item_id", F.filter(tokens(F.col("text"), names), lambda t: t != "").alias("tokens"))
         rows = _hashes(rows).select("item_id", "tokens", F.posexplode_outer("windows").alias("at", "window")).filter(F.col("at") <= F.size("tokens") - WINDOW)
         rows = rows.withColumn("own", F.slice("tokens", F.col("at") + 1, WINDOW))
         placed = F.zip_with("own", F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda t, i: F.struct(i.alias("place"), t.alias("value")))
         return rows.withColumn("slots", F.filter(placed, lambda s: s["value"] < "\x04")).filter(WINDOW - F.size("slots") >= LEAST_WORDS).select("item_id", "at", "window", "slots")
 
-    return of(True).unionByName(of(False)).distinct()
+    return of(_NAME).unionByName(of(None)).unionByName(of(_ANY_NAME)).distinct()
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -74,8 +76,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, least_share: float = LE
     docs = docs.filter("text is not null").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     bench = stored(benchmark_windows(benchmark.select("item_id", "text")), "benchmark")
     # The outer form: for the other one the optimizer tests the array's size first, which would compute it twice over at every doubling.
-    rows = _hashes(docs.select("doc_id", "text_hash", tokens(F.col("text")).alias("tokens")))
-    places = rows.select("doc_id", "text_hash", F.posexplode_outer("windows").alias("pos", "window"))
+    rows = docs.select("doc_id", "text_hash", tokens(F.col("text")).alias("tokens"), tokens(F.col("text"), _ANY_NAME).alias("wide_tokens"))
+    rows = _hashes(_hashes(rows), "wide_tokens", "wide")
+    both = F.zip_with("windows", "wide", lambda a, b: F.when(a == b, F.array(a)).otherwise(F.array(a, b)))
+    places = rows.select("doc_id", "text_hash", F.posexplode_outer(both).alias("pos", "both")).select("doc_id", "text_hash", "pos", F.explode_outer("both").alias("window"))
     hits = stored(places.join(_small(bench), "window").select(*key, "pos", "at", "slots"), "hits")
     plain = hits.filter(F.size("slots") == 0).select(*key, "at", F.lit(False).alias("changed"))
     slotted = hits.filter(F.size("slots") > 0)
@@ -83,15 +87,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, least_share: float = LE
         some = stored(slotted.select("doc_id", "text_hash").distinct(), "slotted")
         same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
         near = docs.alias("d").join(_small(some).alias("s"), same({c: F.col(f"d.{c}") for c in key[:2]}, {c: F.col(f"s.{c}") for c in key[:2]}), "leftsemi")
-        near = near.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), tokens(F.col("text")).alias("tokens")).dropDuplicates(["id", "hash"])
+        near = near.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), tokens(F.col("text"), _ANY_NAME).alias("tokens")).dropDuplicates(["id", "hash"])
         slots = slotted.join(near, slotted.doc_id.eqNullSafe(near.id) & (slotted.text_hash == near.hash))
-        slots = slots.select(*key, "pos", "at", F.explode(F.transform("slots", lambda s: F.struct(s["value"].alias("item_value"), F.get(F.col("tokens"), F.col("pos") + s["place"]).alias("doc_value")))).alias("v")).select(*key, "pos", "at", "v.*")
+        slots = slots.withColumn("n_slots", F.size("slots")).select(*key, "pos", "at", "n_slots", F.explode(F.transform("slots", lambda s: F.struct(s["value"].alias("item_value"), F.get(F.col("tokens"), F.col("pos") + s["place"]).alias("doc_value")))).alias("v")).select(*key, "pos", "at", "n_slots", "v.*")
         # An item's value stands for the document's value it meets most often; windows that say otherwise do not count.
         votes = slots.groupBy(*key, "item_value", "doc_value").agg(F.count("*").alias("k"))
         chosen = votes.groupBy(*key, "item_value").agg(F.max(F.struct("k", "doc_value")).alias("best"))
         chosen = chosen.select(*[F.col(c).alias(f"c_{c}") for c in [*key, "item_value"]], F.col("best.doc_value").alias("right"))
         joined = slots.join(chosen, [slots[c].eqNullSafe(chosen[f"c_{c}"]) for c in [*key, "item_value"]])
-        fits = joined.groupBy(*key, "pos", "at").agg(F.min((F.col("doc_value") == F.col("right")).cast("int")).alias("fits"), F.max((F.col("doc_value") != F.col("item_value")).cast("int")).alias("changed"))
+        fits = joined.groupBy(*key, "pos", "at", "n_slots").agg(F.min((F.col("doc_value") == F.col("right")).cast("int")).alias("fits"), F.max((F.col("doc_value") != F.col("item_value")).cast("int")).alias("changed"))
         plain = plain.unionByName(fits.filter("fits = 1").select(*key, "at", (F.col("changed") == 1).alias("changed")))
     found = plain.groupBy(*key).agg(F.size(F.collect_set("at")).cast("long").alias("n_windows"), (~F.max("changed")).alias("verbatim"))
     totals = bench.groupBy(F.col("item_id").alias("item")).agg(F.countDistinct("at").alias("item_windows"))

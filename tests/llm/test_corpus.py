@@ -104,3 +104,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids[names[1]] - ids[names[2]] == {60}
     assert ids[names[4]] == ids[names[3]] <= ids[names[2]] - {70, 71}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+TOM = "Tom has 5 apples and buys 3 more. Tom gives 2 to Ann today. Tom sells 4 of them to a man. How many apples are left?"
+
+
+def test_names_at_the_start_of_sentences(spark):
+    other = TOM.replace("Tom", "Bob").replace("Ann", "Sue").replace("5", "9").replace("3", "6").replace("2", "8").replace("4", "1")
+    quoted = '"' + other.replace(". Bob", '."\n"Bob')
+    mixed = TOM.replace("Tom has", "Bob has").replace("Tom sells", "Max sells").replace("many", "few").replace("today", "then")
+    got = leaks(spark, [f"Before it. {other} After it.", quoted, TOM, mixed.replace("buys", "sells")], [(1, TOM)])
+    assert {k for k in got} == {(0, 1), (1, 1), (2, 1)} and got[2, 1] is True and got[0, 1] is False
