@@ -3,14 +3,15 @@
 Texts become token templates: numbers, units behind numbers and capitalised names inside sentences are
 typed placeholders, other words stand in lower case. A wider template makes every capitalised word a name, so that names
 at the start of a text, sentence, line or quote are placeholders too. Windows of WINDOW tokens are hashed and joined with the
-windows of the benchmark's templates. Where a matching window has slots, the values must fit together: in one pair of document and item,
+windows of the benchmark's templates. Where a matching window has slots, the values must fit together: in one alignment of document and item,
 an item's value always stands for one value of the document. So a question asked again with other
-numbers or names is found, and a chance match of placeholders is not.
+numbers or names is found, and a chance match of placeholders is not. Alignments are one offset between document and item, ranges of
+offsets (words were put in or left out) and the whole document; the best one counts, so copies with different values do not disturb each other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.llm.frames import packed, stored, unpacked
@@ -18,6 +19,8 @@ from talkloom.llm.frames import packed, stored, unpacked
 WINDOW = 8
 LEAST_WORDS = 4  # words that are no placeholders, in a benchmark window worth looking for
 LEAST_SHARE = 0.4  # of an item's windows found in a document
+LEAST_RUN = 13  # or so many windows of the item one after the other at one offset: 20 tokens, however long the item is
+RANGE = 32  # offsets of a range; ranges overlap by half
 BROADCAST_ROWS = 500_000  # benchmark windows or marked documents (about 40 MB) that may be sent to every executor
 
 _NAME = r"\p{Lu}(?<=[\p{L}\p{N},;]\x20\p{Lu})\p{Ll}+(?!\p{L})"
@@ -66,8 +69,27 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(doc_id, text_hash, item_id, n_windows, item_windows, share, verbatim): pairs of a document and an item it holds.
+def _alignments() -> Column:
+    """The alignments a hit at `pos` of the document and `at` of the item counts in; kind 0 is the exact offset."""
+    offset = F.col("pos") - F.col("at")
+    kinds = (offset, F.floor(offset / RANGE), F.floor((offset + RANGE // 2) / RANGE), F.lit(0))
+    return F.array(*[F.struct(F.lit(i).alias("kind"), k.cast("long").alias("place")) for i, k in enumerate(kinds)])
+
+
+def _longest_run(places: Column) -> Column:
+    """Length of the longest run of whole numbers without a gap in an array of distinct ones."""
+    start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(state: Column, p: Column) -> Column:
+        run = F.when(p == state["last"] + 1, state["run"] + 1).otherwise(F.lit(1))
+        return F.struct(p.alias("last"), run.alias("run"), F.greatest(state["best"], run).alias("best"))
+
+    return F.aggregate(F.array_sort(places), start, step, lambda s: s["best"])
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, least_share: float = LEAST_SHARE, least_run: int = LEAST_RUN) -> DataFrame:
+    """(doc_id, text_hash, item_id, n_windows, item_windows, share, verbatim): pairs of a document and an item it holds, by the best alignment:
+    a share of the item's windows from `least_share` on, or `least_run` windows in a row.
 
     docs(doc_id, text), benchmark(item_id, text). Null and empty texts hold nothing and are found nowhere, as are items of fewer than
     WINDOW tokens. Rows with one id are looked at each by their text; equal rows are one. Null ids match like others. `verbatim`: no slot differs.
@@ -81,7 +103,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, least_share: float = LE
     both = F.zip_with("windows", "wide", lambda a, b: F.when(a == b, F.array(a)).otherwise(F.array(a, b)))
     places = rows.select("doc_id", "text_hash", F.posexplode_outer(both).alias("pos", "both")).select("doc_id", "text_hash", "pos", F.explode_outer("both").alias("window"))
     hits = stored(places.join(_small(bench), "window").select(*key, "pos", "at", "slots"), "hits")
-    plain = hits.filter(F.size("slots") == 0).select(*key, "at", F.lit(False).alias("changed"))
+    plain = hits.filter(F.size("slots") == 0).select(*key, F.explode(_alignments()).alias("alignment"), "at", F.lit(False).alias("changed"))
     slotted = hits.filter(F.size("slots") > 0)
     if not slotted.isEmpty():
         some = stored(slotted.select("doc_id", "text_hash").distinct(), "slotted")
@@ -89,18 +111,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, least_share: float = LE
         near = docs.alias("d").join(_small(some).alias("s"), same({c: F.col(f"d.{c}") for c in key[:2]}, {c: F.col(f"s.{c}") for c in key[:2]}), "leftsemi")
         near = near.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), tokens(F.col("text"), _ANY_NAME).alias("tokens")).dropDuplicates(["id", "hash"])
         slots = slotted.join(near, slotted.doc_id.eqNullSafe(near.id) & (slotted.text_hash == near.hash))
-        slots = slots.withColumn("n_slots", F.size("slots")).select(*key, "pos", "at", "n_slots", F.explode(F.transform("slots", lambda s: F.struct(s["value"].alias("item_value"), F.get(F.col("tokens"), F.col("pos") + s["place"]).alias("doc_value")))).alias("v")).select(*key, "pos", "at", "n_slots", "v.*")
-        # An item's value stands for the document's value it meets most often; windows that say otherwise do not count.
-        votes = slots.groupBy(*key, "item_value", "doc_value").agg(F.count("*").alias("k"))
-        chosen = votes.groupBy(*key, "item_value").agg(F.max(F.struct("k", "doc_value")).alias("best"))
-        chosen = chosen.select(*[F.col(c).alias(f"c_{c}") for c in [*key, "item_value"]], F.col("best.doc_value").alias("right"))
-        joined = slots.join(chosen, [slots[c].eqNullSafe(chosen[f"c_{c}"]) for c in [*key, "item_value"]])
-        fits = joined.groupBy(*key, "pos", "at", "n_slots").agg(F.min((F.col("doc_value") == F.col("right")).cast("int")).alias("fits"), F.max((F.col("doc_value") != F.col("item_value")).cast("int")).alias("changed"))
-        plain = plain.unionByName(fits.filter("fits = 1").select(*key, "at", (F.col("changed") == 1).alias("changed")))
-    found = plain.groupBy(*key).agg(F.size(F.collect_set("at")).cast("long").alias("n_windows"), (~F.max("changed")).alias("verbatim"))
+        values = F.transform("slots", lambda s: F.struct(s["value"].alias("item_value"), F.get(F.col("tokens"), F.col("pos") + s["place"]).alias("doc_value")))
+        slots = stored(slots.select(*key, F.explode(_alignments()).alias("alignment"), "at", values.alias("values")), "values")
+        # An item's value stands for the document's value it meets most often in the alignment; windows that say otherwise do not count.
+        votes = slots.select(*key, "alignment", F.explode("values").alias("v")).groupBy(*key, "alignment", "v").agg(F.count("*").alias("k"))
+        chosen = votes.groupBy(*key, "alignment", F.col("v.item_value").alias("item_value")).agg(F.max(F.struct("k", "v.doc_value")).alias("best"))
+        right = F.map_from_entries(F.collect_list(F.struct("item_value", "best.doc_value"))).alias("right")
+        chosen = chosen.groupBy(*[F.col(c).alias(f"c_{c}") for c in [*key, "alignment"]]).agg(right)
+        joined = slots.join(chosen, [slots[c].eqNullSafe(chosen[f"c_{c}"]) for c in [*key, "alignment"]])
+        fits = joined.filter(F.forall("values", lambda v: F.element_at("right", v["item_value"]) == v["doc_value"]))
+        plain = plain.unionByName(fits.select(*key, "alignment", "at", F.exists("values", lambda v: v["doc_value"] != v["item_value"]).alias("changed")))
+    nth = bench.select(F.col("item_id").alias("item"), "at").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("item").orderBy("at")))
+    nth = stored(nth.withColumnRenamed("at", "item_at"), "places")
+    plain = plain.join(_small(nth), plain.item_id.eqNullSafe(nth.item) & (plain["at"] == nth.item_at))
+    found = plain.groupBy(*key, "alignment").agg(F.collect_set("nth").alias("nths"), (~F.max("changed")).alias("verbatim"))
+    run = F.when(F.col("alignment.kind") == 0, _longest_run(F.col("nths"))).otherwise(0)  # elsewhere, windows in a row need not be neighbours in the document
+    found = found.select(*key, F.size("nths").cast("long").alias("n_windows"), "verbatim", run.alias("run"))
+    found = found.groupBy(*key).agg(F.max(F.struct("n_windows", "verbatim")).alias("best"), F.max("run").alias("run")).select(*key, "best.*", "run")
     totals = bench.groupBy(F.col("item_id").alias("item")).agg(F.countDistinct("at").alias("item_windows"))
     found = found.join(totals, found.item_id.eqNullSafe(totals.item)).withColumn("share", F.col("n_windows") / F.col("item_windows"))
-    return found.filter(F.col("share") >= least_share).select(*key, "n_windows", "item_windows", "share", "verbatim")
+    return found.filter((F.col("share") >= least_share) | (F.col("run") >= least_run)).select(*key, "n_windows", "item_windows", "share", "verbatim")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, least_share: float = LEAST_SHARE) -> DataFrame:

@@ -115,3 +115,22 @@ def test_names_at_the_start_of_sentences(spark):
     mixed = TOM.replace("Tom has", "Bob has").replace("Tom sells", "Max sells").replace("many", "few").replace("today", "then")
     got = leaks(spark, [f"Before it. {other} After it.", quoted, TOM, mixed.replace("buys", "sells")], [(1, TOM)])
     assert {k for k in got} == {(0, 1), (1, 1), (2, 1)} and got[2, 1] is True and got[0, 1] is False
+
+
+def test_copies_with_different_values(spark):
+    """A worksheet asks the question several times; each copy alone counts."""
+    def asked(name, friend, *numbers):
+        out = TOM.replace("Tom", name).replace("Ann", friend)
+        for old, new in zip("5324", numbers, strict=True):
+            out = out.replace(old, f"<{new}>")
+        return out.replace("<", "").replace(">", "")
+
+    copies = [asked("Bob", "Sue", 9, 16, 8, 1), asked("Eve", "Joe", 7, 12, 11, 6), asked("Max", "Kim", 10, 15, 13, 17)]
+    got = leaks(spark, ["\n".join(copies[:2]), "\n".join(copies), copies[0] + " " + "Between them is other text. " * 30 + copies[2], "\n".join([*copies, TOM])], [(1, TOM)])
+    assert got == {(0, 1): False, (1, 1): False, (2, 1): False, (3, 1): True}
+
+
+def test_passage_of_a_long_item(spark):
+    item = edge.text(0, 300)
+    got = leaks(spark, [f"before it {edge.text(50, 75)} and behind", f"before it {edge.text(50, 62)} and behind", " or ".join(edge.text(k, k + 9) for k in range(0, 90, 9))], [(1, item)])
+    assert got == {(0, 1): True}
