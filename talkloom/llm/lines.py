@@ -6,6 +6,10 @@ wherever it starts. A line of at least LONG words is a chunk of its own, and whe
 (a stock phrase next to a copied passage) lies a boundary too: both depend on the lines alone, so a passage among other repeated lines is cut out
 alike everywhere. A chunk counts if it has several lines, or one of at least LONG words. Of each chunk that occurs again the first occurrence,
 by document and place, stays; the others are removed after their bytes were compared with it.
+
+Boundaries depend on the lines around a passage, so two copies of it may be cut differently. Therefore every pair of adjacent repeated lines is
+looked for as well, at each line: any passage of several lines is made of such pairs, wherever the boundaries lie. A copy that overlaps
+the first occurrence of its pair (a line three times in a row) stays. The first occurrence of a line in the corpus always stays.
 """
 
 from __future__ import annotations
@@ -47,11 +51,14 @@ def _line_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of repeated lines, sorted by document and place, to chunks (…, first line, last line, two hashes)."""
+    """Rows of repeated lines, sorted by document and place, to chunks and pairs (…, first line, last line, two hashes).
+
+    A pair's two hashes are those of its lines.
+    """
     names = [*_KEY, "at", "line", "hash", "n", "k"]
     chunk: list[tuple[int, int, int]] = []  # line, hash, words
     key: tuple = ()
-    last_at, last_hash, last_k = -2, 0, 0
+    last_at, last_hash, last_k, last_line, last_value = -2, 0, 0, 0, 0
     out: list[tuple] = []
 
     def close() -> None:
@@ -77,7 +84,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if now != key or at != last_at + 1 or n >= LONG or k > STEP * last_k or last_k > STEP * k:
                 close()
                 last_hash = 0
-            key, last_at, last_k = now, at, k
+            if now == key and at == last_at + 1:
+                out.append((*key, last_line, line, last_value, value))
+            key, last_at, last_k, last_line, last_value = now, at, k, line, value
             chunk.append((line, value, n))
             rolling = int(mix(np.array([(last_hash * 0x9E3779B97F4A7C15 + value) & (1 << 64) - 1], _U))[0])
             last_hash = value
@@ -96,8 +105,8 @@ def _texts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for row in batch.to_pylist():
         own = (row["text"] or "").split("\n")
         for c in row["chunks"]:
-            rows.append({**{k: row[k] for k in _KEY}, **c, "body": "\n".join(x for x in own[c["first"]:c["last"] + 1] if x.strip(" \t\n\v\f\r"))})
-    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([*[(k, pa.int64()) for k in (*_KEY, "first", "last", "c1", "c2")], ("body", pa.string())]))
+            rows.append({"doc_id": row["doc_id"], "text_hash": row["text_hash"], **c, "body": "\n".join(x for x in own[c["first"]:c["last"] + 1] if x.strip(" \t\n\v\f\r"))})
+    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([*[(k, pa.int64()) for k in (*_KEY, "first", "last", "c1", "c2")], ("stays", pa.bool_()), ("body", pa.string())]))
 
 
 def _removed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -132,19 +141,20 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     again = stored(rows.groupBy("hash").agg(F.count("*").alias("k")).filter("k > 1"), "again")
     repeated = rows.join(again, "hash").select(*_KEY, "at", "line", "hash", "n", "k").repartition(*_KEY).sortWithinPartitions(*_KEY, "at")
     found = stored(repeated.mapInArrow(_cut, "doc_id long, text_hash long, first long, last long, c1 long, c2 long"), "chunks")
-    place = F.struct("doc_id", "text_hash", "first")
+    place = F.struct("doc_id", "text_hash", "first", "last")
     groups = found.groupBy("c1", "c2").agg(F.min(place).alias("keeper"), F.max(place).alias("other")).filter("keeper != other").drop("other")
     groups = stored(groups, "groups")  # so that the engine can split a hot chunk in the join
-    found = stored(found.join(groups, ["c1", "c2"]).withColumn("stays", place == F.col("keeper")).drop("keeper"), "repeated")
-    by_doc = _keys(found.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last", "c1", "c2")).alias("chunks")))
+    kept = F.col("keeper")
+    overlaps = F.col("doc_id").eqNullSafe(kept["doc_id"]) & (F.col("text_hash") == kept["text_hash"]) & (F.col("first") > kept["first"]) & (F.col("first") <= kept["last"])
+    found = stored(found.join(groups, ["c1", "c2"]).filter(~overlaps).withColumn("stays", place == kept).drop("keeper"), "repeated")
+    by_doc = _keys(found.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last", "c1", "c2", "stays")).alias("chunks")))
     marked = stored(found.select(*_KEY).distinct(), "marked")
     few = marked.count() <= BROADCAST_KEYS
     marked = _keys(F.broadcast(marked) if few else marked)
     some = docs.join(marked, _same(docs, marked), "leftsemi")
     once = some.dropDuplicates(_KEY)
-    bodies = arrow_map(once.join(by_doc, _same(once, by_doc)).select(*_KEY, "text", "chunks"), _texts, "doc_id long, text_hash long, first long, last long, c1 long, c2 long, body string")
-    bodies = stored(bodies.join(found.withColumnsRenamed({"doc_id": "k_id", "text_hash": "k_hash", "first": "k_first"}).select("k_id", "k_hash", "k_first", "stays"),
-                                F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash")) & (F.col("first") == F.col("k_first"))), "bodies")
+    bodies = arrow_map(once.join(by_doc, _same(once, by_doc)).select(*_KEY, "text", "chunks"), _texts, "doc_id long, text_hash long, first long, last long, c1 long, c2 long, stays boolean, body string")
+    bodies = stored(bodies, "bodies")
     keepers = bodies.filter("stays").select("c1", "c2", F.col("body").alias("kept_body")).dropDuplicates(["c1", "c2"])
     equal = bodies.filter("not stays").join(keepers, ["c1", "c2"]).filter("body = kept_body").select(*_KEY, "first", "last").distinct()
     spans = _keys(equal.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans")))

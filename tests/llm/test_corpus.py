@@ -134,3 +134,23 @@ def test_passage_of_a_long_item(spark):
     item = edge.text(0, 300)
     got = leaks(spark, [f"before it {edge.text(50, 75)} and behind", f"before it {edge.text(50, 62)} and behind", " or ".join(edge.text(k, k + 9) for k in range(0, 90, 9))], [(1, item)])
     assert got == {(0, 1): True}
+
+
+def test_no_boundary_hides_a_passage(spark):
+    """Every pair of adjacent lines that stood earlier goes, whatever stands around it; against brute force."""
+    rnd = random.Random(3)
+    body = lambda name, k: " ".join(f"{name}{k}w{i}" for i in range(25))
+    filler = [(1000 + i, f"own {i} a\nstock line\nown {i} b\n{body('p', 2)}\nown {i} c") for i in range(30)]
+    rows = [(i, f"mine {i}\n{body('p', 1)}\nstock line\n\n{body('p', 2)}\n{body('p', 3)}\nyours {i}") for i in range(6)] + filler
+    rows += [(100 + i, "\n".join(rnd.choice([f"line {k}" for k in range(12)] + [f"only {i}"]) for _ in range(rnd.randrange(1, 15)))) for i in range(60)]
+    out = {r.doc_id: r for r in line_dedup(edge.documents(spark, rows)).collect()}
+    first = {}
+    for i, text in sorted(rows):
+        lines = [x for x in text.split("\n") if x]
+        gone = set()
+        for k, pair in enumerate(zip(lines, lines[1:], strict=False)):
+            doc, at = first.setdefault(pair, (i, k))
+            if (doc, at) != (i, k) and not (doc == i and k == at + 1):
+                gone |= {k, k + 1}
+        assert [x for x in out[i].text.split("\n") if x] == [x for k, x in enumerate(lines) if k not in gone], i
+    assert all(out[i].text == f"mine {i}\nyours {i}" for i in range(1, 6)) and out[0].text == rows[0][1]
