@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from talkloom.llm.decontaminate import drop_leaks
 from talkloom.llm.frames import packed, stored, table, unpacked
 from talkloom.llm.jaccard import ngram_jaccard
-from talkloom.llm.mixing import mixed_documents
+from talkloom.llm.mixing import mixed_documents, word_count
 from talkloom.llm.quality import keep_quality
 from talkloom.llm.tokens import token_files
 
@@ -41,8 +41,18 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat and select documents until every source has its share of the words."""
-    return mixed_documents(docs)
+    """Repeat and select documents until every source has its share of the words; by the labels' quality where one is taken in part.
+
+    The weights are those of op3_mixing: 2 for good documents, 0.5 for bad ones, 1 without a label.
+    """
+    marks = table(spark, sf_dir, "labels").filter("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    marks = stored(marks.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("marked"), F.when(F.col("quality") == 1, 2.0).otherwise(0.5).alias("weight")), "weights")
+    marks = F.broadcast(marks) if marks.count() <= 1_000_000 else marks  # so that the texts are not moved
+    rows = packed(docs, doc_id=F.col("doc_id"), source=F.col("source"), text=F.col("text"))
+    rows = rows.join(marks, rows.doc_id == marks.marked, "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    rows = rows.select(F.col("_row").alias("_document"), "doc_id", "source", "weight", word_count(F.col("text")).alias("size"))
+    mixed = mixed_documents(rows, weight_col="weight", size_col="size")
+    return mixed.select(*[F.col("_document").getField(c).alias(c) for c in docs.columns])
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

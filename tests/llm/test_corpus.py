@@ -154,3 +154,13 @@ def test_no_boundary_hides_a_passage(spark):
                 gone |= {k, k + 1}
         assert [x for x in out[i].text.split("\n") if x] == [x for k, x in enumerate(lines) if k not in gone], i
     assert all(out[i].text == f"mine {i}\nyours {i}" for i in range(1, 6)) and out[0].text == rows[0][1]
+
+
+def test_pipeline_mixes_by_quality(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "w w w w", "en", "abc"[i % 3], 7, 3.0) for i in range(6000)], "doc_id long, text string, lang string, source string, n_chars long, weight double")
+    spark.createDataFrame([(i, i // 3 % 2, 0) for i in range(6000)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.mixing(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    rows = out.filter("source = 'c'").collect()
+    good = sum(r.doc_id // 3 % 2 for r in rows)
+    assert good > 2 * (len(rows) - good) and {r.weight for r in rows} == {3.0}
