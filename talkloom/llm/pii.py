@@ -23,7 +23,7 @@ from talkloom.llm.words import chunks, sums_by_text
 BASE = ("email", "ip", "card", "phone")
 MORE = ("iban", "ssn", "local_phone", "birth_date")
 THRESHOLD = 0.6
-NEAR = 48  # characters before a span in which words count
+NEAR = 48  # characters on either side of a span in which words count
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -105,15 +105,29 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def _context(text: str, start: int, kind: str) -> float:
-    near = {w.lower() for w in _WORD.findall(text[max(0, start - NEAR):start])}
-    return 0.35 * bool(near & _FOR[kind]) - 0.3 * bool(near & _AGAINST)
+def _context(text: str, start: int, end: int, kind: str) -> float:
+    """Words for a kind count on both sides; words against it name what follows and count before the span only."""
+    before = {w.lower() for w in _WORD.findall(text[max(0, start - NEAR):start])}
+    behind = {w.lower() for w in _WORD.findall(text[end:end + NEAR])}
+    return 0.35 * bool((before | behind) & _FOR[kind]) - 0.3 * bool(before & _AGAINST)
+
+
+def _ibans(text: str) -> Iterator[Span]:
+    """The pattern may take in a short word behind, so ends at its spaces are tried as well, longest first.
+
+    The search goes on behind an IBAN, and inside a match that holds none at its start.
+    """
+    m = _IBAN.search(text)
+    while m:
+        ends = [m.end(), *(i for i in range(m.end() - 1, m.start(), -1) if text[i] == " ")]
+        end = next((e for e in ends if _IBAN.fullmatch(text, m.start(), e) and mod97(text[m.start():e].replace(" ", ""))), None)
+        if end:
+            yield Span("iban", m.start(), end, 0.8)
+        m = _IBAN.search(text, end or m.start() + 1)
 
 
 def _proposals(text: str) -> Iterator[Span]:
-    for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            yield Span("iban", m.start(), m.end(), 0.8)
+    yield from _ibans(text)
     for m in _SSN.finditer(text):
         plausible = m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000"
         yield Span("ssn", m.start(), m.end(), 0.3 + 0.2 * plausible)
@@ -127,7 +141,7 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, spans the method adds); an added span never lies inside a base span."""
     base, added = base_spans(text), []
     for p in _proposals(text):
-        score = round(p.score + _context(text, p.start, p.kind), 2)
+        score = round(p.score + _context(text, p.start, p.end, p.kind), 2)
         if score >= THRESHOLD and not any(b.start <= p.start and p.end <= b.end for b in base):
             added.append(p._replace(score=score))
     return base, added

@@ -94,3 +94,17 @@ def test_battery_finds_random_keys_only(spark):
     assert len(found & set(range(len(made)))) > 0.9 * len(made)
     assert not found - set(range(len(made)))
     assert all(r.v == [made[r.doc_id]] for r in out if r.v)
+
+
+def test_ibans_before_short_words():
+    kinds = lambda t: [(s.kind, t[s.start:s.end]) for s in pii.all_spans(t)[1]]
+    spain, belgium = "ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034"
+    for text, want in ((f"{spain} EUR", [spain]), (f"pay {belgium} EUR now", [belgium]), ("BE68539007547034 BIC GKCCBEBB", ["BE68539007547034"]), (f"{spain} {belgium} BANK", [spain, belgium]),
+                       (f"AB12 CDEF GHIJ {belgium}", [belgium]), (f"{belgium[:-1]}5 EUR", [])):
+        assert kinds(text) == [("iban", x) for x in want], text
+
+
+def test_words_behind_a_span():
+    kinds = lambda t: [(s.kind, t[s.start:s.end]) for s in pii.all_spans(t)[1]]
+    assert kinds("123-45-6789 (SSN)") == [("ssn", "123-45-6789")] and kinds("555-123-4567 is my phone") == [("local_phone", "555-123-4567")]
+    assert kinds("555-123-4567 is it") == [] and kinds("call (212) 555-0100 about your order") == [("local_phone", "(212) 555-0100")]
