@@ -1,10 +1,12 @@
 """Secret scans with DataFrame functions only: base patterns, and a battery of randomness tests.
 
-Candidates of the battery are long runs of key characters with a digit. The encoding inferred from a candidate gives its
+Candidates of the battery are runs of LEAST_LENGTH key characters and more. The encoding inferred from a candidate gives its
 alphabet; its characters become positions in it. Three tests ask whether they look uniform and independent: chi-squared
 uniformity, runs above and below the middle, and serial correlation. Their squared z values sum to a chi-squared variable
 with three degrees of freedom (`p_random`). `p_text` is the chance of a chi-squared value as low as this for text of the
-same length, whose characters repeat far more often; it falls with length. Within each length class the false-discovery rate over
+same length, whose characters repeat far more often; it falls with length. Runs of under LONG characters or without a digit are mostly words, so there
+`p_text` also takes in how often letters and digits alternate and capitals stand inside, and each value is one test however often it stands; they are
+families of their own. Within each family and length class the false-discovery rate over
 all candidates of the corpus is held at RATE, from a histogram of `p_text`, so nothing is sorted as a whole.
 """
 
@@ -20,13 +22,19 @@ from talkloom.llm.frames import stored
 RATE = 0.01  # false discoveries among the found
 LEAST_RANDOM = 1e-4  # candidates that fail the battery at this level are not random
 TEXT_REPEAT = 0.066  # chance that two letters of ordinary text are equal
+LEAST_LENGTH = 12  # characters of the shortest candidate
+LONG = 20  # runs of so many characters with a digit are tested by their repeats alone, once for each place
+TEXT_SWITCH = 0.05  # chance that a digit meets a letter, or a capital follows a letter of a text not all in capitals, from one character to the next
+BROADCAST_VALUES = 500_000  # found values (about 40 MB) that may be sent to every executor
+_DIGIT_SWITCH = "(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]"
+_SWITCH = rf"(?<=[A-Za-z])[A-Z]|{_DIGIT_SWITCH}"
 _BINS, _PER_TEN = 400, 10
 
 # The base patterns; letters of the assignment's name in either case.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_LENGTH},}}"
 _ALPHABETS = (
     ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
     ("base32", r"^[A-Z2-7]+=*$", "abcdefghijklmnopqrstuvwxyz234567"),
@@ -65,7 +73,7 @@ def _battery(candidates: DataFrame) -> DataFrame:
     for name, pattern, alphabet in reversed(_ALPHABETS[:-1]):
         encoding, symbols = F.when(plain.rlike(pattern), name).otherwise(encoding), F.when(plain.rlike(pattern), alphabet).otherwise(symbols)
     folded = F.when(encoding == "base64", F.translate(plain, "-_", "+/")).otherwise(F.lower(plain))
-    rows = stored(candidates.withColumn("plain", plain).withColumn("encoding", encoding).withColumn("symbols", symbols).withColumn("folded", folded), "candidates")
+    rows = stored(candidates.withColumn("plain", plain).withColumn("encoding", encoding).withColumn("symbols", symbols).withColumn("folded", folded).withColumn("switches", F.when(plain.rlike("[a-z]"), F.regexp_count(plain, F.lit(_SWITCH))).otherwise(F.regexp_count(plain, F.lit(_DIGIT_SWITCH)))), "candidates")
     x = F.filter(F.transform(F.split("folded", ""), lambda c: F.instr(F.col("symbols"), c) - 1), lambda i: i >= 0)
     rows = stored(rows.withColumn("x", x).withColumn("a", F.length("symbols").cast("double")).filter(F.size("x") >= 8), "positions")
     total = lambda of: F.aggregate(of, F.lit(0.0), lambda s, v: s + v.cast("double"))
@@ -96,7 +104,18 @@ def _battery(candidates: DataFrame) -> DataFrame:
     low = (expected - F.col("chi")) / deviation
     # Letters a-f alone spell little: in hex the evidence is how often letters stand where a number would have digits.
     chance = F.when(~F.col("plain").rlike("[A-Za-z]"), F.lit(1.0)).when(F.col("encoding") == "hex", F.pow(F.lit(6 / 26), F.col("letters"))).otherwise(_upper(low))
-    return rows.withColumn("p_random", p_random).withColumn("p_text", F.greatest(chance, F.lit(1e-39)))
+    # In a short text so few equal pairs are not rare: Chernoff's bound of the Poisson tail. Likewise the binomial tail of switches; together by Fisher's method.
+    log = lambda c: F.log(F.greatest(c, F.lit(1e-300)))
+    equal = F.greatest((F.col("chi") + F.col("n")) * F.col("n") / F.col("a") - F.col("n"), F.lit(0.0)) / 2
+    usual = F.col("n") * (F.col("n") - 1) / 2 * TEXT_REPEAT
+    few = F.when(F.col("encoding") == "hex", chance).when(equal < usual, F.exp(equal - usual - equal * log(equal / usual))).otherwise(F.lit(1.0))
+    few = F.when(F.col("plain").rlike("[A-Za-z]"), few).otherwise(F.lit(1.0))
+    share = F.least(F.col("switches") / (F.col("n") - 1), F.lit(1.0))
+    apart = share * log(share / TEXT_SWITCH) + (1 - share) * log((1 - share) / (1 - TEXT_SWITCH))
+    switched = F.when(share > TEXT_SWITCH, F.exp(-(F.col("n") - 1) * apart)).otherwise(F.lit(1.0))
+    both = F.greatest(few * switched, F.lit(1e-39))
+    rows = rows.withColumn("p_random", p_random).withColumn("long", (F.length("value") >= LONG) & F.col("value").rlike("[0-9]"))
+    return rows.withColumn("p_text", F.greatest(F.when(F.col("long"), chance).otherwise(F.least(both * (1 - F.log(both)), F.lit(1.0))), F.lit(1e-39)))
 
 
 def _upper(z: Column) -> Column:
@@ -109,15 +128,15 @@ def _upper(z: Column) -> Column:
 
 
 def _discoveries(tested: DataFrame) -> DataFrame:
-    """Step-up false-discovery control by length class, over a histogram of -log10 p_text."""
+    """Step-up false-discovery control by family and length class, over a histogram of -log10 p_text."""
     tested = tested.withColumn("class", F.floor(F.log2("n")).cast("int")).withColumn("bin", F.least(F.floor(-F.log10("p_text") * _PER_TEN), F.lit(_BINS)).cast("int"))
-    bins = tested.groupBy("class", "bin").agg(F.count("*").alias("k"))
-    down = Window.partitionBy("class").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = bins.withColumn("found", F.sum("k").over(down)).withColumn("tests", F.sum("k").over(Window.partitionBy("class")))
+    bins = tested.groupBy("long", "class", "bin").agg(F.sum(F.when(F.col("long"), F.col("places")).otherwise(1)).alias("k"))
+    down = Window.partitionBy("long", "class").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bins = bins.withColumn("found", F.sum("k").over(down)).withColumn("tests", F.sum("k").over(Window.partitionBy("long", "class")))
     # All of a bin have p at most 10 ** (-bin / _PER_TEN).
     passed = bins.filter(F.pow(F.lit(10.0), -F.col("bin") / _PER_TEN) <= RATE * F.col("found") / F.col("tests"))
-    passed = passed.groupBy("class").agg(F.min("bin").alias("from_bin"))
-    return tested.join(passed, "class").filter((F.col("bin") >= F.col("from_bin")) & (F.col("p_random") >= LEAST_RANDOM))
+    passed = passed.groupBy("long", "class").agg(F.min("bin").alias("from_bin"))
+    return tested.join(passed, ["long", "class"]).filter((F.col("bin") >= F.col("from_bin")) & (F.col("p_random") >= LEAST_RANDOM))
 
 
 def secrets(docs: DataFrame) -> DataFrame:
@@ -134,7 +153,10 @@ def secrets(docs: DataFrame) -> DataFrame:
     free = F.filter("candidates", lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     # The base spans are tested as well: they are part of the family of tests.
     tried = rows.filter(F.size("candidates") > 0).select("row", F.explode("candidates").alias("c")).select("row", "c.start", "c.end", "c.value")
-    added = _discoveries(_battery(tried)).groupBy("row").agg(F.collect_list(F.struct("start", "end", "value")).alias("random"))
+    values = tried.groupBy("value").agg(F.count("*").alias("places"))
+    found = stored(_discoveries(_battery(values)).select("value"), "found")
+    few = F.broadcast(found) if found.count() <= BROADCAST_VALUES else found
+    added = tried.join(few, "value").groupBy("row").agg(F.collect_list(F.struct("start", "end", "value")).alias("random"))
     rows = rows.withColumn("free", free).join(added, "row", "left")
     rows = rows.withColumn("random", F.coalesce(F.filter("free", lambda c: F.exists("random", lambda r: (r["start"] == c["start"]))), F.array().cast(_EMPTY)))
     return rows.select("doc_id", "assign", "access", "hex", "random")

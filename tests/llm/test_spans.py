@@ -108,3 +108,22 @@ def test_words_behind_a_span():
     kinds = lambda t: [(s.kind, t[s.start:s.end]) for s in pii.all_spans(t)[1]]
     assert kinds("123-45-6789 (SSN)") == [("ssn", "123-45-6789")] and kinds("555-123-4567 is my phone") == [("local_phone", "555-123-4567")]
     assert kinds("555-123-4567 is it") == [] and kinds("call (212) 555-0100 about your order") == [("local_phone", "(212) 555-0100")]
+
+
+def test_battery_finds_short_keys_and_keys_of_letters(spark):
+    rnd = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    made = ["dQw4w9WgXcQzR8kLpT2"]
+    made += ["".join(rnd.choice(letters + "0123456789" * (i % 2)) for _ in range(12 + i % 29)) for i in range(290)]
+    parts = ["inter", "nation", "al", "trans", "form", "ation", "counter", "product", "ive", "super", "struct", "ure", "micro", "bio", "logic", "over", "estim", "under", "represent", "ed"]
+    plain = list(dict.fromkeys(w.capitalize() if k % 3 == 0 else w for k in range(4000) if len(w := "".join(rnd.sample(parts, 4))) >= 12))
+    plain += [f"get{a.capitalize()}{b.capitalize()}Of{c.capitalize()}" for a in parts[:6] for b in parts[6:12] for c in parts[12:]]
+    rows = [f"see {k} there" for k in made + plain]
+    out = secrets.secrets(edge.documents(spark, list(enumerate(rows)))).select("doc_id", F.size("random").alias("n")).collect()
+    found = {r.doc_id for r in out if r.n}
+    recall = {low: [i in found for i in range(len(made)) if low <= len(made[i]) < low + 4] for low in range(12, 41, 4)}
+    print("recall", {k: round(sum(v) / len(v), 2) for k, v in recall.items()}, "false", len(found - set(range(len(made)))), "of", len(plain))
+    print("letters only", {low: round(sum(v) / len(v), 2) for low in range(12, 41, 4) if (v := [i in found for i in range(1, len(made), 2) if low <= len(made[i]) < low + 4])}, [plain[i - len(made)] for i in found if i >= len(made)][:12])
+    assert 0 in found and all(sum(v) >= 0.8 * len(v) for k, v in recall.items() if k >= 24)
+    assert any(len(made[i]) < 20 for i in found if i < len(made)) and any(made[i].isalpha() for i in found if i < len(made))
+    assert len(found - set(range(len(made)))) <= 0.02 * len(found)
