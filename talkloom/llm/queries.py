@@ -17,6 +17,7 @@ from talkloom.llm.mixing import mix, word_count
 from talkloom.llm.quality import quality_scores
 from talkloom.llm.rules import quality_rules
 from talkloom.llm.tokens import token_files
+from talkloom.llm.toxicity import toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,3 +89,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
