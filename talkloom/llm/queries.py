@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from talkloom.llm import chat, pii, secrets
 from talkloom.llm.chat_sql import CHAT_SQL
+from talkloom.llm.clusters import centroid_clusters
+from talkloom.llm.clusters_sql import CLUSTERS_SQL
+from talkloom.llm.collocations import collocations
+from talkloom.llm.collocations_sql import COLLOCATIONS_SQL
 from talkloom.llm.decontaminate import find_leaks
 from talkloom.llm.frames import table
 from talkloom.llm.jaccard import ngram_jaccard
@@ -94,3 +98,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op12_centroid_clusters"] = CLUSTERS_SQL
+
+
+@_query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_collocations"] = COLLOCATIONS_SQL

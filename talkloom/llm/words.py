@@ -107,8 +107,8 @@ class Words(NamedTuple):
     bounds: np.ndarray
 
 
-def words(chunk: Chunk) -> Words:
-    inside = ~SEPARATOR[chunk.data]
+def words(chunk: Chunk, separator: np.ndarray = SEPARATOR) -> Words:
+    inside = ~separator[chunk.data]
     before, after = np.zeros_like(inside), np.zeros_like(inside)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     cuts = chunk.bounds[1:-1]
