@@ -1,6 +1,6 @@
 """DuckDB SQL for the rows of op12_centroid_clusters."""
 
-_APART = "list_sum(list_transform(list_zip(a.v, c.v), p -> (p[1] - p[2]) * (p[1] - p[2])))"
+_APART = "list_sum(list_transform(list_zip(a.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
 
 
 def _round(i: int) -> str:
@@ -13,8 +13,8 @@ m{i} AS (SELECT c, j, (sum(x)::HUGEINT - ((sum(x)::HUGEINT % count(*)) + count(*
 c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(w.v, o.v) AS v FROM c{i} o LEFT JOIN (SELECT c, list(x::BIGINT ORDER BY j) AS v FROM m{i} GROUP BY c) w ON w.c = o.c)"""
 
 
-CLUSTERS_SQL = f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = 64),
+CLUSTERS_SQL = f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
 c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT v, sha256('2:' || vec_id) AS h FROM kept ORDER BY h, v LIMIT 40) f){"".join(_round(i) for i in range(6))}
 SELECT vec_id, c::INT AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTITION BY a5.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
   sha256(array_to_string(f.v, ',')) AS centroid_sha256 FROM a5 JOIN c5 f USING (c)"""

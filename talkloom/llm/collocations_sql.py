@@ -1,9 +1,9 @@
 """DuckDB SQL for the rows of op13_collocations."""
 
 _GRAMS = " UNION ALL ".join(
-    f"SELECT lang, unnest(list_transform(range(1, len(ws) - {k} + 2), i -> ws[i:i + {k} - 1])) AS p FROM pieces WHERE len(ws) >= {k}" for k in range(1, 6))
+    f"SELECT lang, unnest(list_transform(range(1, len(ws) - {k} + 2), lambda i: ws[i:i + {k} - 1])) AS p FROM pieces WHERE len(ws) >= {k}" for k in range(1, 6))
 _INNER = " UNION ALL ".join(
-    f"SELECT lang, unnest(list_transform(range(1, len(p) - {k} + 2), i -> p[i:i + {k} - 1])) AS p, a FROM grams WHERE len(p) > {k}" for k in range(2, 5))
+    f"SELECT lang, unnest(list_transform(range(1, len(p) - {k} + 2), lambda i: p[i:i + {k} - 1])) AS p, a FROM grams WHERE len(p) > {k}" for k in range(2, 5))
 
 COLLOCATIONS_SQL = f"""WITH pieces AS (
   SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS ws FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
