@@ -1,7 +1,8 @@
 """Incremental discovery, classification, tag dictionary and run metrics as streaming jobs.
 
-Every job writes one folder per micro-batch (or per dictionary version), overwritten if the batch is
-repeated, so a restart after a lost driver or executor gives the same tables.
+What a job knows from earlier batches is Spark's own streaming state, kept by key in the checkpoint folder: a batch
+touches the keys it holds and reads nothing that was written before. Results go to one folder per micro-batch, overwritten if the batch
+is repeated, so a restart after a lost driver or executor gives the same tables.
 """
 
 from __future__ import annotations
@@ -14,20 +15,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 from talkloom.functions import replies
 from talkloom.operators import catalog, tags
+from talkloom.scratch import file_system
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+# State on the executors' disks instead of their heaps, with change logs as checkpoints; a session that names a store of its own keeps it.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
-def _earlier(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame:
-    """What batches before this one wrote; a repeated batch does not see its own output."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), "/batch=(\\d+)/", 1).cast("long")
-    rows = spark.read.schema(schema).parquet(f"{path}/batch=*")
-    return rows.filter(folder < batch_id).select(*[f.name for f in schema])
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, of = file_system(spark, path)
+    return fs.exists(of(path))
 
 
 def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -39,31 +38,48 @@ def _run(writer, checkpoint: str) -> StreamingQuery:
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _run_by_batch(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Write what a batch changed to `out`/batch=N; keyed state continues from the checkpoint.
+
+    A batch that does not find the one before it raises: state that goes on while its results are lost would go unnoticed.
+    """
+    spark = rows.sparkSession
+    for name, value in STATE_STORE.items():
+        if name not in spark.conf.getAll:
+            spark.conf.set(name, value)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if batch_id > 0 and not _exists(batch.sparkSession, f"{out}/batch={batch_id - 1}/_SUCCESS"):
+            raise RuntimeError(f"batch {batch_id} found no results of the batch before it in {out}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return _run(rows.writeStream.outputMode("update").foreachBatch(write), checkpoint)
+
+
 def discover(items: DataFrame, known: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Admit each `video_id` once, in its earliest form, and advance a high-water mark per channel.
+    """Admit each `video_id` once, however late it comes again, into `out`.
 
-    Repeats are folded inside the batch and removed by anti-joins with the known videos and with what
-    earlier batches admitted, however late they come; no streaming state is kept. Marks move with
-    everything seen, also with known videos.
+    Its form is the earliest one of the batch it first came in. Known videos are left out by a join with the catalog. The state of an
+    id is the span of batch times it was seen at, and its form: an id is new while both ends are the running batch's time.
     """
-    mark_schema = items.select("channel_id", F.col("published_at").alias("mark")).schema
+    now = F.current_timestamp()  # one value per micro-batch, the same if the batch is repeated
+    rest = [c for c in items.columns if c != "video_id"]
+    seen = catalog.unknown(items, known).withColumn("_now", now).groupBy("video_id").agg(
+        F.min("_now").alias("_first"), F.max("_now").alias("_last"),
+        F.min_by(F.struct(*rest), F.struct("published_at", "channel_id")).alias("_form"),
+    )
+    fresh = seen.filter((F.col("_first") == now) & (F.col("_last") == now))
+    return _run_by_batch(fresh.select("video_id", "_form.*").select(*items.columns), out, checkpoint)
 
-    def admit(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rest = [c for c in batch.columns if c != "video_id"]
-        first = batch.groupBy("video_id").agg(F.min_by(F.struct(*rest), F.struct("published_at", "channel_id")).alias("r"))
-        earliest = first.select("video_id", "r.*").select(*batch.columns)
-        earlier = _earlier(spark, f"{out}/videos", batch_id, batch.schema).select("video_id")
-        fresh = catalog.unknown(catalog.unknown(earliest, known), earlier)
-        fresh.write.mode("overwrite").parquet(f"{out}/videos/batch={batch_id}")
-        marks = batch.groupBy("channel_id").agg(F.max("published_at").alias("mark"))
-        marks.select(*[f.name for f in mark_schema]).write.mode("overwrite").parquet(f"{out}/marks/batch={batch_id}")
 
-    return _run(items.writeStream.foreachBatch(admit), checkpoint)
+def advance_marks(items: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """High-water mark per channel over everything seen, known videos too; a batch writes the marks it moved or met."""
+    marks = items.groupBy("channel_id").agg(F.max("published_at").alias("mark"))
+    return _run_by_batch(marks, out, checkpoint)
 
 
 def high_water_marks(spark: SparkSession, out: str, schema) -> DataFrame:
-    return read_batches(spark, f"{out}/marks", schema).groupBy("channel_id").agg(F.max("mark").alias("mark"))
+    return read_batches(spark, out, schema).groupBy("channel_id").agg(F.max("mark").alias("mark"))
 
 
 def classify_columns(items: DataFrame) -> DataFrame:
@@ -84,45 +100,22 @@ def classify(items: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return _run(writer, checkpoint)
 
 
-def _versions(spark: SparkSession, out: str) -> list[int]:
-    """Numbers of the complete batch folders below `out`, in order."""
-    if not _exists(spark, out):
-        return []
-    folder = spark._jvm.org.apache.hadoop.fs.Path(out)
-    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
-    names = [status.getPath().getName() for status in found]
-    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch=") and _exists(spark, f"{out}/{n}/_SUCCESS"))
-
-
 def tag_dictionary(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Running counts per spelling: version N + 1 is version N merged with the batch's aggregate.
-
-    Only the aggregated dictionary is rewritten; it grows with distinct spellings, not with items. A batch
-    after the first that finds no earlier version raises, so counts never start anew unnoticed.
-    """
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = tags.spelling_counts(batch)
-        earlier = [v for v in _versions(spark, out) if v < batch_id]
-        if earlier:
-            fresh = fresh.unionByName(spark.read.schema(fresh.schema).parquet(f"{out}/batch={earlier[-1]}"))
-        elif batch_id > 0:
-            raise RuntimeError(f"batch {batch_id} found no earlier version of the dictionary in {out}")
-        merged = fresh.groupBy("tag", "spelling").agg(
-            F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last_seen").alias("last_seen")
-        )
-        merged.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    return _run(rows.writeStream.foreachBatch(merge), checkpoint)
+    """Running counts per (tag, spelling) as state; a batch writes the new totals of the spellings it holds."""
+    return _run_by_batch(tags.spelling_counts(rows), out, checkpoint)
 
 
 def latest_dictionary(spark: SparkSession, out: str) -> DataFrame:
-    """The newest version below `out`, one row per tag."""
-    versions = _versions(spark, out)
-    if not versions:
-        raise RuntimeError(f"no version of the dictionary in {out}")
-    return tags.fold_spellings(spark.read.parquet(f"{out}/batch={versions[-1]}"))
+    """One row per tag from what the batches below `out` wrote.
+
+    Totals only grow, first uses only fall and last uses only rise, so the newest row of a spelling is an aggregate.
+    """
+    if not _exists(spark, out):
+        raise RuntimeError(f"no dictionary in {out}")
+    totals = spark.read.parquet(f"{out}/batch=*").groupBy("tag", "spelling").agg(
+        F.max("n").alias("n"), F.min("first").alias("first"), F.max("last_seen").alias("last_seen")
+    )
+    return tags.fold_spellings(totals)
 
 
 METRICS = "batch_id long, videos_classified long, videos_approved long, videos_rejected long, n_errors long"

@@ -21,18 +21,56 @@ def test_discovery_admits_once_over_batches_and_restarts(spark, tmp_path):
     schema = as_rows(rows).schema
 
     def run():
-        stream = spark.readStream.schema(schema).parquet(src)
-        jobs.discover(stream, known, out, check).awaitTermination()
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        jobs.discover(stream, known, f"{out}/videos", f"{check}/videos").awaitTermination()
+        jobs.advance_marks(stream, f"{out}/marks", f"{check}/marks").awaitTermination()
         marks = stream.select("channel_id", F.col("published_at").alias("mark")).schema
-        return (sorted(r.video_id for r in jobs.read_batches(spark, f"{out}/videos", schema).collect()),
-                {r.channel_id: str(r.mark) for r in jobs.high_water_marks(spark, out, marks).collect()})
+        return (sorted((r.video_id, r.channel_id, str(r.published_at)[:13]) for r in jobs.read_batches(spark, f"{out}/videos", schema).collect()),
+                {r.channel_id: str(r.mark) for r in jobs.high_water_marks(spark, f"{out}/marks", marks).collect()})
 
     ids, marks = run()
-    assert ids == ["a", "b"] and marks[1].startswith("2024-01-03")
-    # A later file repeats an id much later; it must not come back.
+    first = [("a", 1, "2024-01-01 10"), ("b", 2, "2024-01-01 09")]
+    assert ids == first and marks[1].startswith("2024-01-03")
+    # Later files repeat ids, one much later and one in an earlier form; neither comes back.
     as_rows([("a", 1, "2024-02-01 10:00:00"), ("c", 2, "2024-02-02 10:00:00")]).coalesce(1).write.mode("append").parquet(src)
+    as_rows([("b", 2, "2023-01-01 10:00:00"), ("c", 1, "2024-02-02 11:00:00"), ("known", 9, "2024-02-02 10:00:00")]).coalesce(1).write.mode("append").parquet(src)
     ids, marks = run()
-    assert ids == ["a", "b", "c"] and marks[1].startswith("2024-02-01")
+    assert ids == [*first, ("c", 2, "2024-02-02 10")] and marks[1].startswith("2024-02-02") and marks[9].startswith("2024-02-02")
+    # Nothing new: nothing runs. Then one more batch over the same ids admits none, and reads no folder that was written before.
+    assert run() == (ids, marks)
+    as_rows([("a", 1, "2022-01-01 00:00:00")]).coalesce(1).write.mode("append").parquet(src)
+    assert run() == (ids, marks)
+    assert spark.read.parquet(f"{out}/videos/batch=3").count() == 0
+
+
+def test_a_batch_reads_no_earlier_results(spark, tmp_path):
+    src, out, check = str(tmp_path / "in"), tmp_path / "out", str(tmp_path / "check")
+    schema = "item_id long, seq int, kind string, tag string"
+    for i in range(4):
+        _write(spark, src, [(i, 0, "manual", "A"), (i, 1, "manual", f"own{i}")], schema)
+        jobs.tag_dictionary(spark.readStream.schema(schema).parquet(src), str(out), check).awaitTermination()
+        # Only the spellings of the batch are written, with their totals; earlier rows may be unreadable by then.
+        got = {r.tag: r.n for r in spark.read.parquet(f"{out}/batch={i}").collect()}
+        assert got == {"a": i + 1, f"own{i}": 1}
+        for f in out.glob(f"batch={i}/*.parquet"):
+            f.write_bytes(b"broken")
+
+
+def test_lost_state_is_noticed(spark, tmp_path):
+    src, out, check = str(tmp_path / "in"), str(tmp_path / "out"), tmp_path / "check"
+    schema = "item_id long, seq int, kind string, tag string"
+
+    def run():
+        _write(spark, src, [(1, 0, "manual", "A")], schema)
+        jobs.tag_dictionary(spark.readStream.schema(schema).parquet(src), out, str(check)).awaitTermination()
+
+    run()
+    for f in check.glob("state/**/*"):
+        if f.is_file() and f.suffix != ".crc" and "_metadata" not in f.parts:
+            f.write_bytes(b"")
+    spark._jvm.org.apache.spark.sql.execution.streaming.state.StateStore.stop()
+    with pytest.raises(Exception):  # noqa: B017
+        run()
 
 
 def test_dictionary_over_batches_equals_the_batch_result(spark, tmp_path):
@@ -59,7 +97,7 @@ def test_a_lost_dictionary_is_noticed(spark, tmp_path):
     run(out)
     run(out)
     assert jobs.latest_dictionary(spark, out).first().frequency == 2
-    with pytest.raises(Exception, match="no earlier version"):
+    with pytest.raises(Exception, match="no results of the batch before"):
         run(str(tmp_path / "other"))
 
 
