@@ -14,7 +14,8 @@ from talkloom.plans.registry import query
 from talkloom.plans.q_text import slug_sql
 from talkloom.scratch import scratch_path
 from talkloom.sinks import exports
-from talkloom.sinks.files import data_path, output_paths, write_named
+from talkloom.sinks.files import data_path, output_paths
+from talkloom.sinks.named import write_files
 from talkloom.sources import documents, providers
 
 
@@ -46,7 +47,7 @@ def source_defaults(spark, sf):
     lists = s.filter("page_id % 10 <> 9").groupBy(F.floor(page / 50).alias("n")).agg(F.collect_list("j").alias("js")).select(
         F.concat(F.lit("lists/"), F.col("n"), F.lit(".json")).alias("path"), F.concat(F.lit("["), F.array_join("js", ",\n"), F.lit("]")).alias("content"))
     base = scratch_path(spark, "lists")
-    write_named(single.unionByName(lists), base)
+    write_files(single.unionByName(lists), base)
     accepted, rejected = documents.read_source_list(spark, base)
 
     def shown(df, day, reason):
@@ -87,7 +88,7 @@ def rss_entries(spark, sf):
         F.concat(F.lit("feed"), F.col("n"), F.lit(".xml")).alias("path"),
         F.concat(F.lit(head), F.array_join("items", "\n"), F.lit("</channel></rss>")).alias("content"))
     base = scratch_path(spark, "feed")
-    write_named(feeds, base)
+    write_files(feeds, base)
     out = documents.read_feed_items(spark, base)
     return out.select("source_file", "title", "date", F.col("episode").cast("long").alias("episode"), "media")
 
@@ -160,7 +161,7 @@ def _saved_states(spark, sf):
     has = (F.col("v") == 0) | ((F.col("v") == 1) & (F.col("conv_id") % 2 == 0))
     doc = F.to_json(F.struct(F.when(has, _state_json(status)).alias("pipeline_state"), F.concat(F.lit("T"), F.col("conv_id")).alias("title")))
     base = scratch_path(spark, "states")
-    write_named(rows.select(F.concat(_place(), F.lit("/metadata_"), F.col("at"), F.lit(".json")).alias("path"), doc.alias("content")), base)
+    write_files(rows.select(F.concat(_place(), F.lit("/metadata_"), F.col("at"), F.lit(".json")).alias("path"), doc.alias("content")), base)
     return documents.read_saved_state(spark, base)
 
 
@@ -254,7 +255,7 @@ def resume_outputs(spark, sf):
     files = conv.filter("conv_id % 2 = 0").select("conv_id", F.explode(F.array(
         F.lit("deepgram_2024-01-01"), F.concat(F.lit("deepgram_2024-01-0"), 2 + n % 5), F.lit("whisper_2024-01-09"))).alias("name"))
     base = scratch_path(spark, "outputs")
-    write_named(files.select(F.concat_ws("/", _place(), F.concat("name", F.lit("T000000Z.json"))).alias("path"), F.lit("{}").alias("content")), base)
+    write_files(files.select(F.concat_ws("/", _place(), F.concat("name", F.lit("T000000Z.json"))).alias("path"), F.lit("{}").alias("content")), base)
     found = documents.list_outputs(spark, base).select(F.col("folder").alias("transcript_id"), "file_name")
     state = conv.select(_place().alias("transcript_id"), F.lit("transcription").alias("stage"), F.when(n % 3 > 0, "completed").otherwise("pending").alias("status"))
     return stages.resume_outputs(state, found, "deepgram")

@@ -1,10 +1,7 @@
-"""Files with given names, written by the tasks that hold their content."""
+"""Paths of documents, and documents in parts. Files of given names are written by `sinks.named`."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,39 +31,6 @@ def output_paths(base: str, loc: str, title: str, suffix: Column, extension: str
     return _folder(base, _place(loc), name)
 
 
-def write_named(df: DataFrame, base: str) -> None:
-    """Write `(path, content)` rows to `base/path` on any file system pyarrow knows.
-
-    A file is written under a name of its own attempt and moved, so attempts that run at once leave whole files.
-    Rows that share a path would replace each other: take them out with `split_shared_paths` first.
-    """
-
-    def write(rows: Iterator) -> None:
-        from pyarrow import fs
-
-        uri = base if "://" in base else f"file://{base.removeprefix('file:')}"
-        system, root = fs.FileSystem.from_uri(uri)
-        made = set()
-        for row in rows:
-            path = f"{root.rstrip('/')}/{row['path']}"
-            folder = path.rsplit("/", 1)[0]
-            if folder not in made:
-                system.create_dir(folder, recursive=True)
-                made.add(folder)
-            own = f"{path}.{uuid.uuid4().hex}.part"
-            with system.open_output_stream(own) as out:
-                out.write(row["content"].encode("utf-8"))
-            system.move(own, path)
-
-    df.select("path", "content").foreachPartition(write)
-
-
-def split_shared_paths(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose path no other row has, and the others, which would replace each other when written."""
-    shared = df.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1").select("path")
-    return df.join(shared, "path", "left_anti"), df.join(shared, "path", "left_semi")
-
-
 def write_parts(parts: DataFrame, keys: list[str], path: str) -> None:
     """Documents that come as `(…, part_no, text)`: one row per part, sorted within files.
 

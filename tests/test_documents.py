@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from talkloom.operators import catalog, model, stages, tags
 from talkloom.sinks import exports
-from talkloom.sinks.files import write_named, write_parts
+from talkloom.sinks.files import write_parts
+from talkloom.sinks.named import write_files
 from talkloom.sources import documents, providers
 from talkloom.sources.tables import conform
 
@@ -86,8 +87,8 @@ def test_export_registry():
 
 def test_named_files_and_parts(spark, tmp_path):
     rows = spark.createDataFrame([("a/b.txt", "é"), ("a/c.txt", "x\ny")], "path string, content string")
-    write_named(rows, str(tmp_path))
-    write_named(rows, str(tmp_path))  # a repeated task overwrites
+    write_files(rows, str(tmp_path))
+    write_files(rows, str(tmp_path))  # a repeated job overwrites
     assert (tmp_path / "a/b.txt").read_text() == "é" and (tmp_path / "a/c.txt").read_text() == "x\ny"
     assert sorted(p.name for p in (tmp_path / "a").iterdir()) == ["b.txt", "c.txt"]
     parts = spark.createDataFrame([(1, i, f"{i};") for i in range(9)], "transcript_id long, part_no long, text string")
