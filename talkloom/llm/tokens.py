@@ -10,9 +10,9 @@ Blocks are rows of Parquet, so Spark commits each task's output once, on any sto
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,24 +22,44 @@ from pyspark.sql import functions as F
 
 from talkloom.llm.frames import arrow_map, bounded_batches, stored
 from talkloom.llm.huffman import Decoder, canonical, code_lengths, pack
+from talkloom.llm.words import Chunk, chunks
 from talkloom.scratch import scratch_path
 
 END_ID = 0
 CODE_BITS = 18
 BLOCK_IDS = 1 << 19
-_KEEP_UNITS, _KEEP_IDS = 300_000, 3_000_000
-
-# Unicode White_Space, which is what \s means to the tokenizer's own splitter.
-_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_UNIT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+_KEEP_UNITS = 500_000  # distinct units a worker remembers; beyond it the older half goes
+_STOPS = np.isin(np.arange(256), list(b".,;:!?"))
+_ALNUM = np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123)])
+_JOINED = 1 << 16  # characters of new units encoded in one call
+
+# Unicode White_Space, which is what \s means to the tokenizer's own splitter: single bytes, and longer UTF-8 sequences.
+_SPACE_BYTES = np.isin(np.arange(256), [*range(9, 14), 32])
+_SPACE_RUNS = [s.encode() for s in ["\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]]
+
+
+def _spaces(data: np.ndarray) -> np.ndarray:
+    """True at every byte of a white-space character."""
+    out = _SPACE_BYTES[data]
+    lead = {byte: np.flatnonzero(data == byte) for byte in {run[0] for run in _SPACE_RUNS}}
+    for run in _SPACE_RUNS:
+        at = lead[run[0]]
+        at = at[at <= len(data) - len(run)]
+        for k in range(1, len(run)):
+            at = at[data[at + k] == run[k]]
+        for k in range(len(run)):
+            out[at + k] = True
+    return out
 
 
 class UnitEncoder:
     """Encodes texts by the tokenizers library, each distinct unit once.
 
-    A unit is white space and the run of other characters behind it. The byte-level splitter never
-    forms a piece from other characters followed by white space, so the ids of a text are those of its units in order.
-    Units and their ids are kept up to a bound, then forgotten.
+    A unit is white space and the run of other characters behind it, without the stop behind a letter or digit, which begins one of its
+    own. The byte-level splitter never forms a piece from other characters followed by white space, nor from a letter or digit and a
+    stop behind it, so the ids of a text are those of its units in order.
+    New units are encoded many in one call, joined, and the ids are cut where the bytes of the tokens reach a unit's end; where they
+    do not meet it, and for units that are white space alone or begin without it, every unit is a call of its own.
     """
 
     def __init__(self, path: str):
@@ -47,32 +67,62 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.ends = np.zeros(1, np.int64)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.place) > _KEEP_UNITS or len(self.flat) > _KEEP_IDS:
-            self._forget()
-        units = [_UNIT.findall(t) for t in texts]
-        new = list({u for us in units for u in us if u not in self.place})
-        if new:
-            got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            at = len(self.place)
-            self.place.update(zip(new, range(at, at + len(new)), strict=True))
-            self.flat = np.concatenate([self.flat, *got])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(g) for g in got])])
-        out = []
-        for us in units:
-            which = np.fromiter(map(self.place.__getitem__, us), np.int64, len(us))
-            starts = self.ends[which]
-            sizes = self.ends[which + 1] - starts
-            before = np.cumsum(sizes) - sizes
-            out.append(self.flat[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))])
-        return out
+        plain = self.tokenizer.get_vocab(with_added_tokens=False)
+        known = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes = np.zeros(max(known.values(), default=0) + 1, np.int64)
+        for token, number in known.items():  # a byte-level token has one character per byte
+            self.bytes[number] = len(token) if token in plain else len(token.encode())
+        self.known: dict[str, bytes] = {}
+
+    def _call(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, units: list[str]) -> list[bytes]:
+        """Ids of units that begin with white space and end without."""
+        raw = self._call(["".join(units)])[0]
+        reached = np.cumsum(self.bytes[np.frombuffer(raw, np.uint32)])
+        ends = np.cumsum([len(u.encode()) for u in units])
+        at = np.searchsorted(reached, ends)
+        if len(reached) and at[-1] == len(reached) - 1 and (reached[np.minimum(at, len(reached) - 1)] == ends).all():
+            cuts = [0, *(4 * (at + 1)).tolist()]
+            return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return self._call(units)
+
+    def _learn(self, units: list[str]) -> None:
+        alone = [u for u in units if not u[0].isspace() or u.isspace()]
+        rest = [u for u in units if u[0].isspace() and not u.isspace()]
+        self.known.update(zip(alone, self._call(alone), strict=True))
+        a = 0
+        for b, reached in enumerate(accumulate(map(len, rest)), 1):
+            if reached // _JOINED != (reached - len(rest[b - 1])) // _JOINED or b == len(rest):
+                self.known.update(zip(rest[a:b], self._joined(rest[a:b]), strict=True))
+                a = b
+
+    def encode(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts of a chunk, one after the other, and the bounds of each text's ids."""
+        if not len(chunk.data):
+            return np.zeros(0, np.uint32), np.zeros(chunk.texts + 1, np.int64)
+        space = _spaces(chunk.data)
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        begins[1:] |= _STOPS[chunk.data[1:]] & _ALNUM[chunk.data[:-1]]
+        begins[chunk.bounds[:-1][np.diff(chunk.bounds) > 0]] = True
+        starts = np.flatnonzero(begins)
+        offsets = np.append(starts, len(chunk.data)).astype(np.int64)
+        units = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(chunk.data.tobytes())).dictionary_encode()
+        names, which = units.dictionary.to_pylist(), units.indices.to_numpy()
+        self._learn([u for u in names if u not in self.known])
+        blobs = [self.known[u] for u in names]
+        if len(self.known) > _KEEP_UNITS:
+            for u in list(islice(self.known, len(self.known) // 2)):
+                del self.known[u]
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        first = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(blobs), np.uint32)
+        sizes = size[which]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = flat[np.repeat(first[which] - ends[:-1], sizes) + np.arange(int(ends[-1]))]
+        return ids, ends[np.searchsorted(starts, chunk.bounds)]
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
@@ -83,13 +133,12 @@ def _tokenised(path: str):
         encoder = _ENCODERS.setdefault(path, None) or UnitEncoder(path)
         _ENCODERS[path] = encoder
         squeeze = zstandard.ZstdCompressor(level=1)
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            texts = [t or "" for t in part.column(1).to_pylist()]
-            ids = [np.append(x, np.uint32(END_ID)) for x in encoder.encode(texts)]
-            blobs = [squeeze.compress(x.astype(np.uint16 if x.max() < 65536 else np.uint32).tobytes()) for x in ids]
-            wide = [bool(x.max() >= 65536) for x in ids]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(wide), pa.array(blobs, pa.binary())],
+        for chunk in chunks(batch.column(1), 1 << 22):
+            ids, bounds = encoder.encode(chunk)
+            parts = [np.append(ids[a:b], np.uint32(END_ID)) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            wide = [bool(x.max() >= 65536) for x in parts]
+            blobs = [squeeze.compress(x.astype(np.uint32 if w else np.uint16).tobytes()) for x, w in zip(parts, wide, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.texts), pa.array([len(x) for x in parts], pa.int64()), pa.array(wide), pa.array(blobs, pa.binary())],
                                              names=["doc_id", "n", "wide", "ids"])
 
     return run
