@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,50 +18,54 @@ CORRECTION_CHARS, SUMMARY_CHARS = 5000, 30000  # fixed values
 BREAK = "\n\n"
 
 
+def _cuts(lengths: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Ranges of paragraphs packed together, from the paragraphs' lengths.
+
+    A chunk begins to count at its first paragraph with text. With running sums, the paragraph that no longer fits is one binary search
+    away, so the work is one jump per chunk.
+    """
+    reach = np.concatenate([[0], np.cumsum(lengths + len(BREAK))])
+    filled = np.flatnonzero(lengths > 0)
+    cuts, at = [], 0
+    while True:
+        k = int(np.searchsorted(filled, at))
+        if k == len(filled):
+            return cuts
+        first = int(filled[k])
+        end = max(first + 1, int(np.searchsorted(reach, reach[first] + limit + len(BREAK), "right")) - 1)
+        cuts.append((first, end))
+        at = end
+
+
+def _packed(limit: int):
+    @F.pandas_udf("array<string>")
+    def pack(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[str] | None:
+            if text is None:
+                return None
+            paragraphs = text.split(BREAK)
+            lengths = np.fromiter(map(len, paragraphs), np.int64, len(paragraphs))
+            return [BREAK.join(paragraphs[a:b]) for a, b in _cuts(lengths, limit)]
+
+        return texts.map(one)
+
+    return pack
+
+
 def pack_paragraphs(df: DataFrame, text: str, max_chars: int = CORRECTION_CHARS) -> DataFrame:
     """One row per chunk: `chunk_no`, `n_chunks`, `chunk`, next to the other columns of `df`.
 
     Paragraphs are packed greedily: one that would take the chunk over the limit starts the next, and
-    an oversized one stays whole. A text within the limit is one chunk, unchanged. The fold walks the
-    paragraph lengths and keeps only cut positions, so its cost is linear in the paragraphs.
+    an oversized one stays whole. A text within the limit is one chunk, unchanged, and never leaves the JVM; a longer one without any text has none.
+    Longer ones are packed in time linear in their length, however short their paragraphs are.
     """
     others = [c for c in df.columns if c != text]
-    paras = df.withColumn("_paras", F.split(text, BREAK))
-    state = F.struct(
-        F.array().cast("array<struct<at:int,n:int>>").alias("cuts"), F.lit(0).alias("at"),
-        F.lit(0).alias("i"), F.lit(0).alias("size"),
-    )
-
-    def cut(s: Column) -> Column:
-        return F.array(F.struct(s["at"].alias("at"), (s["i"] - s["at"]).alias("n")))
-
-    def step(s: Column, size: Column) -> Column:
-        full = s["size"] + size + 2 > max_chars
-        return F.struct(
-            F.when(full & (s["size"] > 0), F.concat(s["cuts"], cut(s))).otherwise(s["cuts"]).alias("cuts"),
-            F.when(full, s["i"]).otherwise(s["at"]).alias("at"),
-            (s["i"] + 1).alias("i"),
-            F.when(full | (s["size"] == 0), size).otherwise(s["size"] + 2 + size).alias("size"),
-        )
-
-    def finish(s: Column) -> Column:
-        return F.when(s["size"] > 0, F.concat(s["cuts"], cut(s))).otherwise(s["cuts"])
-
-    cuts = paras.withColumn(
-        "_cuts",
-        F.when(
-            F.length(text) > max_chars, F.aggregate(F.transform("_paras", F.length), state, step, finish)
-        ).otherwise(F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("n")))),
-    )
-    kept = cuts.filter(F.col(text).isNotNull())
-    rows = explode_once(
-        kept, [*others, text, "_paras", F.size("_cuts").alias("n_chunks")], F.col("_cuts"), "chunk_no", "_cut"
-    )
-    packed = strip(F.array_join(F.slice("_paras", F.col("_cut.at") + 1, F.col("_cut.n")), BREAK))
-    return rows.select(
-        *others, F.col("chunk_no").cast("long").alias("chunk_no"), F.col("n_chunks").cast("long").alias("n_chunks"),
-        F.when(F.col("_cut.at") < 0, F.col(text)).otherwise(packed).alias("chunk"),
-    )
+    long = F.length(text) > max_chars
+    packed = _packed(max_chars)(F.when(long, F.col(text)))
+    rows = df.filter(F.col(text).isNotNull()).withColumn("_long", long).withColumn("_chunks", packed)
+    chunks = F.when(F.col("_long"), F.transform("_chunks", strip)).otherwise(F.array(text))
+    listed = explode_once(rows.withColumn("_listed", chunks), [*others, F.size("_listed").alias("n_chunks")], F.col("_listed"), "chunk_no", "chunk")
+    return listed.select(*others, F.col("chunk_no").cast("long").alias("chunk_no"), F.col("n_chunks").cast("long").alias("n_chunks"), "chunk")
 
 
 def reassemble(chunks: DataFrame, keys: Sequence[str], chunk: str = "chunk", separator: str = BREAK) -> DataFrame:

@@ -2,35 +2,42 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.operators.ordered import ordered_scan
-from talkloom.operators.rows import explode_once
 from talkloom.operators.timeline import KEY
 from talkloom.scratch import materialise
 
 
-def _leads_to(pos, start, end, begin, seconds, reach):
-    """The group left open at the end of a block when a fresh group starts at index `begin`.
+def closing_words(start: np.ndarray, end: np.ndarray, seconds: float) -> np.ndarray:
+    """Of every word the first one from it on that ends `seconds` or more after its start; the number of words where none does.
 
-    `reach` remembers the answer for every group start met on the way.
+    Maxima of ends over runs of doubling length; all words walk them together, longest runs first, so ends may step back.
     """
-    path, opened, k = [], None, begin
-    while k < len(pos):
-        if opened is None:
-            if k in reach:
-                opened = reach[k]
-                break
-            path.append(k)
-            opened = (pos[k], start[k])
-        if end[k] - opened[1] >= seconds:
-            opened = None
-        k += 1
-    for p in path:
-        reach[p] = opened
-    return opened
+    n = len(start)
+    runs = [end]
+    while 2 << (len(runs) - 1) <= n:
+        half, last = 1 << (len(runs) - 1), runs[-1]
+        runs.append(np.maximum(last[:len(last) - half], last[half:]))
+    at = np.arange(n)
+    for level in range(len(runs) - 1, -1, -1):
+        inside = at + (1 << level) <= n
+        skip = np.zeros(n, bool)
+        skip[inside] = runs[level][at[inside]] - start[inside] < seconds
+        at = np.where(skip, at + (1 << level), at)
+    return at
+
+
+def _left_open(closing: np.ndarray) -> np.ndarray:
+    """Of every word the start of the cue still open at the end of the block if a cue starts there; -1 where none is. Index n: nothing starts."""
+    n = len(closing)
+    to = np.append(np.where(closing < n, closing + 1, np.arange(n)), n)  # an open cue leads to itself
+    for _ in range(max(n, 1).bit_length()):
+        to = to[to]
+    return np.where(to < n, to, -1)
 
 
 def _entries(timed: DataFrame, seconds: float, id_type: str) -> DataFrame:
@@ -50,24 +57,19 @@ def _entries(timed: DataFrame, seconds: float, id_type: str) -> DataFrame:
 
     def summarise(table: pa.Table) -> pa.Table:
         table = table.sort_by("pos")
-        pos, start, end = (table[c].to_pylist() for c in ("pos", "start_s", "end_s"))
+        pos, start, end = (table[c].to_numpy() for c in ("pos", "start_s", "end_s"))
         latest = table["latest"][0].as_py()
         bound = start[0] if latest is None else max(start[0], latest)
-        # Entries: index 0 for "nothing open", then one per word that may close an incoming group.
-        entries, ends, top = [0], [], None
-        for k in range(len(pos)):
-            if top is None or end[k] > top:  # a later word with a smaller end never closes first
-                ends.append(end[k])
-                entries.append(k + 1)
-                top = end[k]
-            if end[k] - bound >= seconds:
-                break
-        reach: dict[int, tuple | None] = {}
-        outs = [_leads_to(pos, start, end, i, seconds, reach) for i in entries]
+        # Entries: index 0 for "nothing open", then one per word that may close an incoming group: a later word with a smaller end never closes first.
+        peak = np.maximum.accumulate(end)
+        rises = np.flatnonzero(np.append(True, peak[1:] > peak[:-1]))
+        rises = rises[:int(np.searchsorted(peak[rises] - bound, seconds)) + 1]
+        ends = end[rises].tolist()
+        outs = _left_open(closing_words(start, end, seconds))[np.append(0, rises + 1)]
         one = table.select(["transcript_id", "_b", "_next"]).slice(0, 1)
         one = one.append_column("ends", pa.array([ends], pa.list_(pa.float64())))
-        one = one.append_column("out_pos", pa.array([[-1 if o is None else o[0] for o in outs]], pa.list_(pa.int64())))
-        return one.append_column("out_start", pa.array([[0.0 if o is None else o[1] for o in outs]], pa.list_(pa.float64())))
+        one = one.append_column("out_pos", pa.array([[int(pos[o]) if o >= 0 else -1 for o in outs]], pa.list_(pa.int64())))
+        return one.append_column("out_start", pa.array([[float(start[o]) if o >= 0 else 0.0 for o in outs]], pa.list_(pa.float64())))
 
     blocks = timed.drop("punctuated_word").join(followed, [*KEY, "_b"]).groupBy(*KEY, "_b").applyInArrow(
         summarise,
@@ -93,52 +95,53 @@ def _entries(timed: DataFrame, seconds: float, id_type: str) -> DataFrame:
     return blocks.groupBy(*KEY).applyInArrow(chain, f"transcript_id {id_type}, _b long, in_pos long, in_start double")
 
 
+def _pieces(seconds: float):
+    """The cues of a block, given the group open at its start: one row per cue or piece of one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        pos, start, end = (table[c].to_numpy() for c in ("pos", "start_s", "end_s"))
+        closing = closing_words(start, end, seconds)
+        opened, n = table["in_pos"][0].as_py(), len(pos)
+        at, firsts, groups = 0, [], []
+        if opened is not None and opened >= 0:
+            firsts, groups = [0], [opened]
+            closes = np.flatnonzero(end - table["in_start"][0].as_py() >= seconds)
+            at = int(closes[0]) + 1 if len(closes) else n
+        while at < n:  # one jump per cue
+            firsts.append(at)
+            groups.append(int(pos[at]))
+            at = int(closing[at]) + 1
+        lasts = [*firsts[1:], n]
+        words = table["punctuated_word"].to_pylist()
+        k = len(firsts)
+        return pa.table({
+            "transcript_id": table["transcript_id"].combine_chunks().take(pa.array([0] * k)), "_b": table["_b"].combine_chunks().take(pa.array([0] * k)),
+            "group_pos": pa.array(groups, pa.int64()), "_s": pa.array(start[firsts]), "_e": pa.array(end[np.array(lasts) - 1]),
+            "text": pa.array([" ".join(w for w in words[a:b] if w is not None) for a, b in zip(firsts, lasts, strict=True)]),
+        })
+
+    return run
+
+
 def word_cues(words: DataFrame, seconds: float = 10.0, block_rows: int = 16384) -> DataFrame:
-    """Subtitle cues `(cue_no, start_s, end_s, text)` from words alone.
+    """Subtitle cues `(cue_no, part_no, start_s, end_s, text)` from words alone.
 
-    A cue closes with the first word that ends `seconds` or more after the cue's start, so each cue
-    depends on the one before. A fold over the words of a block finds its cues, given the group open
-    at its start; pieces of a cue on both sides of a block's edge are then joined.
+    A cue closes with the first word that ends `seconds` or more after the cue's start, so each cue depends on the one before. The word that
+    closes is looked up for all words of a block at once; a block's cues are then jumps, given the group open at its start. A cue that goes on
+    over the edges of blocks comes in parts, one per block, so that no row grows with the words of a cue that never closes; its times are those of the whole cue.
     """
     timed = words.select(
-        *KEY, "pos", "start_s", "end_s", "punctuated_word",
+        *KEY, "pos", F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s"), "punctuated_word",
         F.floor(F.col("pos") / block_rows).cast("long").alias("_b"),
     )
-    entry = _entries(timed, seconds, words.schema["transcript_id"].dataType.simpleString())
-    blocks = timed.groupBy(*KEY, "_b").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "start_s", "end_s", "punctuated_word"))).alias("ws")
-    )
-    opened = F.coalesce(F.col("in_pos") >= 0, F.lit(False))
-    cut = F.struct(F.lit(0).alias("at"), F.col("in_pos").cast("long").alias("group_pos"))
-    none = F.array().cast("array<struct<at:int,group_pos:bigint>>")
-    state = F.struct(
-        F.when(opened, F.array(cut)).otherwise(none).alias("cuts"), F.lit(0).alias("i"), opened.alias("open"),
-        F.coalesce("in_start", F.lit(0.0)).alias("start"),
-    )
-
-    def step(s, w):
-        start = F.when(s["open"], s["start"]).otherwise(w["start_s"])
-        new = F.array(F.struct(s["i"].alias("at"), w["pos"].cast("long").alias("group_pos")))
-        return F.struct(
-            F.when(s["open"], s["cuts"]).otherwise(F.concat(s["cuts"], new)).alias("cuts"), (s["i"] + 1).alias("i"),
-            (w["end_s"] - start < seconds).alias("open"), start.alias("start"),
-        )
-
-    cuts = blocks.join(entry, [*KEY, "_b"], "left").withColumn("cuts", F.aggregate("ws", state, step, lambda s: s["cuts"]))
-    sized = F.transform("cuts", lambda c, k: F.struct(
-        c["group_pos"].alias("group_pos"), (c["at"] + 1).alias("at"),
-        (F.coalesce(F.get(F.col("cuts"), k + 1)["at"], F.size("ws")) - c["at"]).alias("n"),
-    ))
-    pieces = explode_once(cuts, [*KEY, "_b", "ws"], sized, "_k", "c").select(
-        *KEY, "_b", "c.group_pos", F.slice("ws", F.col("c.at"), F.col("c.n")).alias("w")
-    )
-    text = F.array_join(F.transform("w", lambda w: w["punctuated_word"]), " ")
-    ordered = F.array_sort(F.collect_list(F.struct("_b", text.alias("t"))))
-    cues = pieces.groupBy(*KEY, "group_pos").agg(
-        F.min_by(F.get(F.col("w"), F.lit(0))["start_s"], "_b").alias("start_s"),
-        F.max_by(F.get(F.col("w"), F.size("w") - 1)["end_s"], "_b").alias("end_s"),
-        F.array_join(F.transform(ordered, lambda p: p["t"]), " ").alias("text"),
-    )
-    kept = materialise(cues, "cues")  # numbering reads the cues twice
-    numbered = ordered_scan(kept, KEY, ["group_pos"], F.floor(F.col("group_pos") / 65536), totals={"_n": F.lit(1)})
-    return numbered.select(*KEY, (F.col("_n") - 1).alias("cue_no"), "start_s", "end_s", "text")
+    id_type = words.schema["transcript_id"].dataType.simpleString()
+    entry = _entries(timed, seconds, id_type)
+    pieces = timed.join(entry, [*KEY, "_b"], "left").groupBy(*KEY, "_b").applyInArrow(
+        _pieces(seconds), f"transcript_id {id_type}, _b long, group_pos long, _s double, _e double, text string")
+    kept = materialise(pieces, "cues")  # numbering reads the cues twice
+    spans = kept.groupBy(*KEY, "group_pos").agg(
+        F.min("_b").alias("_first"), F.min_by("_s", "_b").alias("start_s"), F.max_by("_e", "_b").alias("end_s"))
+    numbered = ordered_scan(spans, KEY, ["group_pos"], F.floor(F.col("group_pos") / 65536), totals={"_n": F.lit(1)})
+    return kept.select(*KEY, "group_pos", "_b", "text").join(numbered, [*KEY, "group_pos"]).select(
+        *KEY, (F.col("_n") - 1).alias("cue_no"), (F.col("_b") - F.col("_first")).alias("part_no"), "start_s", "end_s", "text")

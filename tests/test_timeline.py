@@ -1,7 +1,10 @@
 import itertools
 import json
+import time
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from talkloom.operators import chunks, paper_edit, render, subtitles, timeline
 from talkloom.plans import flows
@@ -113,12 +116,49 @@ def test_owner_of_a_broken_sentence(spark, case, owner):
 def test_word_groups_over_blocks(spark, seconds):
     rows = walk.random_words(7, transcripts=10, n=120, steps_back=True)
     out = subtitles.word_cues(spark.createDataFrame(rows, walk.WORDS).drop("speaker"), seconds, block_rows=9)
-    got = {(r.transcript_id, r.cue_no): (r.start_s, r.end_s, r.text) for r in out.collect()}
+    got = {}
+    for r in out.orderBy("transcript_id", "cue_no", "part_no").collect():
+        key = (r.transcript_id, r.cue_no)
+        assert r.part_no == (got[key][3] + 1 if key in got else 0)
+        got[key] = (r.start_s, r.end_s, f"{got[key][2]} {r.text}" if key in got else r.text, r.part_no)
+    got = {key: cue[:3] for key, cue in got.items()}
     for t, ws in by_transcript(rows).items():
         want = [(g[0][3], g[-1][4], " ".join(w[6] for w in g)) for g in walk.cues(ws, seconds)]
         assert [got[(t, k)] for k in range(len(want))] == want and (t, len(want)) not in got
 
 
+def test_a_cue_that_never_closes_comes_in_parts(spark):
+    n, block = 100_000, 4096
+    words = spark.range(n).select(F.lit(1).alias("transcript_id"), F.col("id").alias("pos"), F.lit(5.0).alias("start_s"), F.lit(5.0).alias("end_s"), F.lit("w").alias("punctuated_word"))
+    out = subtitles.word_cues(words, 10.0, block_rows=block).select("cue_no", "part_no", F.length("text").alias("n")).orderBy("part_no").collect()
+    assert {r.cue_no for r in out} == {0} and [r.part_no for r in out] == list(range(-(-n // block))) and max(r.n for r in out) < 2 * block
+    every = words.withColumn("end_s", F.lit(50.0))  # every word closes its own cue
+    assert subtitles.word_cues(every, 10.0, block_rows=block).agg(F.countDistinct("cue_no"), F.max("part_no")).first() == (n, 0)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_closing_words_equal_a_search(seed):
+    rnd = np.random.default_rng(seed)
+    n = int(rnd.integers(1, 90))
+    start = np.round(np.cumsum(rnd.random(n)), 1)
+    end = start + np.round(rnd.normal(0.5, 3, n), 1)
+    want = [next((j for j in range(i, n) if end[j] - start[i] >= 2.0), n) for i in range(n)]
+    assert subtitles.closing_words(start, end, 2.0).tolist() == want
+
+
+def test_a_million_short_paragraphs_pack_in_linear_time(spark):
+    texts = {n: "\n\n".join(["ab"] * n) for n in (250_000, 1_000_000)}
+    took = {}
+    for n, text in texts.items():
+        begin = time.perf_counter()
+        cuts = chunks._cuts(np.full(n, 2), 1000)
+        took[n] = time.perf_counter() - begin
+        assert cuts[0] == (0, 250) and len(cuts) == n // 250
+    assert took[1_000_000] < 12 * took[250_000] + 0.5
+    out = chunks.pack_paragraphs(spark.createDataFrame([(1, texts[1_000_000])], "id long, text string"), "text", 5000)
+    assert out.agg(F.count("*"), F.max("n_chunks"), F.max(F.length("chunk"))).first() == (800, 800, 4998)
+
+
 def test_two_chapters_due_at_once_cascade_or_share(spark):
     rows = spark.createDataFrame([(1, i, 10.0 * i) for i in range(4)], "transcript_id long, n long, start_s double")
     chapters = spark.createDataFrame([(1, 0, 5.0, "a"), (1, 1, 6.0, "b"), (1, 2, 25.0, "c"), (1, 3, 99.0, "late")],
