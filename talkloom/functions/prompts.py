@@ -10,7 +10,6 @@ from talkloom.functions.text import strip
 # How much of a long field a prompt shows.
 CLASSIFY_CHARS, METADATA_CHARS, CORRECT_CHARS, TAGS_SHOWN = 1000, 800, 200, 20
 # How many entries of each section of the corpus context a correction prompt shows.
-SECTIONS_SHOWN = {"frequent_tags": 15, "technical_terms": 20, "project_names": 15, "common_speakers": 10, "common_categories": 8, "expertise_areas": 8, "tag_variations": 5}
 
 CLASSIFY_HEAD = """Decide whether a recording belongs in a technical archive.
 Accept talks, workshops, reviews and discussions with technical substance.
@@ -77,23 +76,20 @@ def shorten(description: Column) -> Column:
     return F.when(F.length(description) > CORRECT_CHARS, cut).otherwise(description)
 
 
-def context_lines(context: Column, shown: dict[str, int] | None = None) -> Column:
-    """The corpus context as lines of a prompt; `shown` sets the entries per section."""
-    shown = SECTIONS_SHOWN | (shown or {})
+def context_lines(context: Column) -> Column:
+    """The corpus context as lines of a prompt; how many entries a section has is up to `tags.prompt_context`."""
     labels = {"Common topics": "frequent_tags", "Terms": "technical_terms", "Projects": "project_names",
               "Frequent speakers": "common_speakers", "Categories": "common_categories", "Areas": "expertise_areas"}
-    variations = F.array_join(F.slice(context["tag_variations"], 1, shown["tag_variations"]), "\n")
+    variations = F.array_join(context["tag_variations"], "\n")
     return F.concat(
         _line("Transcripts known", F.array_join(context["video_count"], "")),
-        *[_line(label, _listed(context[name], shown[name])) for label, name in labels.items()],
+        *[_line(label, F.array_join(context[name], ", ")) for label, name in labels.items()],
         _line("Domain", F.array_join(context["domain_context"], "")),
         F.when(variations != "", F.concat(F.lit("Spellings:\n"), variations, F.lit("\n"))).otherwise(""),
     )
 
 
-def correct(
-    chunk: Column, about: dict[str, Column], context: Column, keywords: Column | None = None, shown: dict[str, int] | None = None
-) -> Column:
+def correct(chunk: Column, about: dict[str, Column], context: Column, keywords: Column | None = None) -> Column:
     """`about` holds title, speakers, tags, categories and the shortened description; `context` is one
     struct."""
     extra = F.lit("") if keywords is None else F.coalesce(
@@ -103,7 +99,7 @@ def correct(
         F.lit(CORRECT_HEAD), _line("Title", about["title"]), _line("Speakers", F.array_join(about["speakers"], ", ")),
         _line("Tags", F.array_join(about["tags"], ", ")), _line("Categories", F.array_join(about["categories"], ", ")),
         _line("Description", about["description"]),
-        context_lines(context, shown), extra, F.lit(TEXT_START), strip(chunk), F.lit(TEXT_END), F.lit(CORRECT_TAIL),
+        context_lines(context), extra, F.lit(TEXT_START), strip(chunk), F.lit(TEXT_END), F.lit(CORRECT_TAIL),
     )
 
 

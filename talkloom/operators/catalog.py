@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.functions.timing import iso_text
-from talkloom.operators.ordered import ordered_scan
+from talkloom.operators.ordered import RANGE_ROWS, even_blocks, ordered_scan
 
 
 # ---- reads ---------------------------------------------------------------------------------------
@@ -121,25 +121,28 @@ def after_high_water(items: DataFrame, channels: DataFrame) -> DataFrame:
     return items.join(marks, "channel_id").filter(fresh).drop("last_scanned_at")
 
 
+SALTS = 64
+
+
 def newest_per_channel(items: DataFrame, n: int = 50) -> DataFrame:
-    """At most `n` newest items per channel; the limit is applied before the shuffle as well."""
-    from pyspark.sql import Window
+    """At most `n` newest items per channel, ranked.
 
-    w = Window.partitionBy("channel_id").orderBy(F.desc("published_at"), "id")
-    return items.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    A channel is ranked in SALTS parts first, whatever `n` is; what may still be among its newest, SALTS * n rows at most, is ranked again.
+    """
+    from pyspark.sql import Window
 
+    order = [F.desc("published_at"), F.col("id")]
+    parts = items.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    within = Window.partitionBy("channel_id", "_salt").orderBy(*order)
+    kept = parts.withColumn("rank", F.row_number().over(within)).filter(F.col("rank") <= n).drop("_salt", "rank")
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("channel_id").orderBy(*order))).filter(F.col("rank") <= n)
 
-def id_batches(items: DataFrame, size: int = 50, block_seconds: int = 3600) -> DataFrame:
-    """Ids of a channel, newest first, in comma-separated batches of `size`.
 
-    After newest_per_channel a channel has few ids; without it, choose `block_seconds` so that a
-    channel's ids of that span fit a task.
-    """
+def id_batches(items: DataFrame, size: int = 50, block_rows: int = RANGE_ROWS) -> DataFrame:
+    """Ids of a channel, newest first, in comma-separated batches of `size`; a crowded hour is several blocks of the numbering."""
     aged = items.select("channel_id", "id", "video_id", (-F.unix_micros("published_at")).alias("_age"))
-    numbered = ordered_scan(
-        aged, ["channel_id"], ["_age", "id"], F.floor(F.col("_age") / (block_seconds * 1_000_000)),
-        totals={"_n": F.lit(1)},
-    )
+    rows, block = even_blocks(aged, ["channel_id"], ["_age", "id"], block_rows)
+    numbered = ordered_scan(rows, ["channel_id"], ["_age", "id"], block, totals={"_n": F.lit(1)})
     batch = F.floor((F.col("_n") - 1) / size).cast("long").alias("batch_no")
     ordered = F.array_sort(F.collect_list(F.struct("_n", "video_id")))
     return numbered.groupBy("channel_id", batch).agg(
@@ -305,7 +308,8 @@ def queue_duplicates(batch: DataFrame, queue: DataFrame, seq: str) -> DataFrame:
 
 
 def _nth(df: DataFrame, seq: str) -> DataFrame:
-    return ordered_scan(df, ["loc", "title"], [seq], F.floor(F.col(seq) / 4096), totals={"_nth": F.lit(1)})
+    rows, block = even_blocks(df, ["loc", "title"], [seq])
+    return ordered_scan(rows, ["loc", "title"], [seq], block, totals={"_nth": F.lit(1)})
 
 
 def queue_remove(queue: DataFrame, requests: DataFrame, seq: str) -> tuple[DataFrame, DataFrame]:

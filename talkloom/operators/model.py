@@ -58,9 +58,9 @@ def model_column(factory: Callable[[], Batch], prompt: Column) -> Column:
 
 
 def model_stage(df: DataFrame, factory: Callable[[], Batch], prompt: str, tasks: int | None = None) -> DataFrame:
-    """Add `reply` and `error`; `tasks` spreads costly calls over that many partitions."""
-    spread = df.repartition(tasks) if tasks else df
-    return spread.withColumn("_m", model_column(factory, F.col(prompt))).select(
+    """Add `reply` and `error`; the costly calls are spread over `tasks` partitions, those of a shuffle unless given, however the rows are stored."""
+    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks).withColumn("_m", model_column(factory, F.col(prompt))).select(
         *df.columns, F.col("_m.reply").alias("reply"), F.col("_m.error").alias("error")
     )
 
@@ -116,7 +116,7 @@ def summarise_documents(
 ) -> DataFrame:
     """Summaries `(key, summary)`: short texts directly, long ones by part and then once more.
 
-    First-round replies are written out before they are used again, so no call is repeated.
+    The replies of both rounds are written out before they are used, so no call is repeated, however often the result is read.
     """
     rows = docs.select(key, F.col(title).alias("_title"), F.coalesce(corrected, raw).alias("_text"))
     chunks = pack_paragraphs(rows, "_text", max_chars)
@@ -135,7 +135,7 @@ def summarise_documents(
     )
     joined = F.array_join("_parts", PART_BREAK)
     again = F.when(F.size("_parts") > 1, prompts.summarise_final(joined, F.col("_title")))
-    final = model_stage(merged.withColumn("_prompt", again), factory, "_prompt", tasks)
+    final = materialise(model_stage(merged.withColumn("_prompt", again), factory, "_prompt", tasks), "final-summaries")
     summary = F.when(F.size("_parts") > 1, F.col("reply")).otherwise(F.get("_parts", F.lit(0)))
     return final.select(key, F.coalesce(summary, F.lit("")).alias("summary"))
 

@@ -14,6 +14,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkloom.scratch import materialise
+
 _BLOCK = "_block"
 
 
@@ -25,6 +27,24 @@ def pair_number(high: Column, low: Column) -> Column:
     return high.cast("decimal(19,0)") * F.lit(10**15).cast("decimal(16,0)") + low.cast("decimal(15,0)")
 
 
+RANGE_ROWS = 1 << 20  # rows of a block, about; the engine's sampling keeps blocks below three times that
+
+
+def even_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = RANGE_ROWS) -> tuple[DataFrame, Column]:
+    """`df` and a block column of about equally many rows per block, wherever the rows lie along the order.
+
+    The engine sorts by (keys, order) into ranges whose edges it takes from a sample, so a hot key or a crowded hour becomes several blocks, and ties of the
+    first order column are split by the others. The ranges are written, because they must not change between two reads; a table of one block is neither
+    sorted nor written.
+    """
+    n = df.count()
+    if n <= rows:
+        return df, F.lit(0)
+    parts = -(-n // rows)
+    ranged = df.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id().cast("long"))
+    return materialise(ranged, "ranges"), F.col("_range")
+
+
 def _order_key(order: Sequence[str]) -> Column:
     return F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
 

@@ -335,10 +335,10 @@ PROMPT_LIMITS = {
 }
 
 
-def prompt_context(context: DataFrame) -> DataFrame:
-    """One row with the bounded lists a prompt shows, from correction_context rows."""
+def prompt_context(context: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """One row with the bounded lists a prompt shows, from correction_context rows; `limits` replaces PROMPT_LIMITS by section."""
     limited = None
-    for name, k in PROMPT_LIMITS.items():
+    for name, k in (PROMPT_LIMITS | (limits or {})).items():
         ranked = name in ("frequent_tags", "common_categories")
         order = [F.desc(F.col("detail").cast("long")), F.col("first"), F.col("item")] if ranked else [F.col("first"), F.col("item")]
         part = context.filter(F.col("section") == name).orderBy(*order).limit(k)

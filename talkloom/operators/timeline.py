@@ -217,10 +217,11 @@ def place_chapters(chapters: DataFrame, rows: DataFrame, no: str, cascade: bool
 def words_in_utterances(
     words: DataFrame, utterances: DataFrame, no: str, slack: float = 0.5, width: float = 8.0
 ) -> DataFrame:
-    """Words contained in [start, end + slack] of an utterance; the first such utterance wins."""
-    spans = utterances.select(
-        *KEY, F.col(no), F.col("start_s").alias("_us"), F.col("end_s").alias("_ue")
-    )
+    """Words contained in [start, end + slack] of an utterance; the first such utterance wins.
+
+    Of utterances with equal times only the first can win, so they meet the words as one row however many there are.
+    """
+    spans = utterances.groupBy(*KEY, F.col("start_s").alias("_us"), F.col("end_s").alias("_ue")).agg(F.min(no).alias(no))
     inside = points_in_intervals(
         words.select(*KEY, "pos", "start_s", "end_s"), spans, KEY, "start_s", "_us", "_ue", width, slack
     ).filter(F.col("end_s") <= F.col("_ue") + slack)

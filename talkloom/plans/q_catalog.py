@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 from talkloom.functions import text as tx
 from talkloom.functions.timing import iso_text
-from talkloom.operators import catalog
+from talkloom.operators import catalog, ingest
 from talkloom.plans import views
+from talkloom.plans.q_sources import DOCUMENT, _finished
 from talkloom.plans.registry import query
-from talkloom.sources.tables import conform
+from talkloom.scratch import scratch_path
+from talkloom.sinks import exports
+from talkloom.sinks.tables import append_table
+from talkloom.sources.tables import conform, scan_table
 
 _ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond({0}) % 1000000 = 0 THEN '' ELSE strftime({0}, '.%f') END || '+00:00'"
 
@@ -33,10 +37,12 @@ def _iso(*cols):
     ["channels", "videos", "runs", "transcripts"],
 )
 def scan_catalog(spark, sf):
+    """Each catalog table written in its schema and scanned back."""
     out = None
     for name in ("channels", "videos", "runs", "transcripts"):
-        rows = conform(getattr(views, name)(spark, sf), name)
-        counted = rows.agg(F.count("*").alias("n_rows"), F.count("id").alias("n_ids"))
+        path = scratch_path(spark, name)
+        append_table(getattr(views, name)(spark, sf), name, path)
+        counted = scan_table(spark, name, path).agg(F.count("*").alias("n_rows"), F.count("id").alias("n_ids"))
         counted = counted.select(F.lit(name).alias("table_name"), "n_rows", "n_ids")
         out = counted if out is None else out.unionByName(counted)
     return out
@@ -153,12 +159,11 @@ def summary_view(spark, sf):
     return catalog.with_text(_with_status(spark, sf), "summary")
 
 
-@query("transcripts_by_loc", """SELECT id, title, loc FROM transcripts
-WHERE loc = (SELECT min(loc) FROM transcripts) ORDER BY id LIMIT 100""", ["transcripts"])
+@query("transcripts_by_loc", """SELECT id, title, loc FROM transcripts WHERE loc = (SELECT min(loc) FROM transcripts)""", ["transcripts"])
 def transcripts_by_loc(spark, sf):
     t = views.transcripts(spark, sf)
     loc = t.agg(F.min("loc")).scalar()
-    return t.filter(F.col("loc") == loc).select("id", "title", "loc").orderBy("id").limit(100)
+    return catalog.where(t, loc=loc).select("id", "title", "loc")
 
 
 @query("active_channels", """SELECT id, channel_name, priority::BIGINT AS priority FROM channels WHERE is_active""", ["channels"])
@@ -559,14 +564,14 @@ def queue_remove_missing(spark, sf):
 
 
 _OUTCOMES = """SELECT day(published_at)::BIGINT AS run_id, is_technical,
-  CASE WHEN duration % 97 = 0 THEN concat('Error classifying ', title) END AS error FROM videos WHERE status <> 'pending'"""
+  CASE WHEN duration % 97 = 0 THEN concat('could not classify ', title) END AS error FROM videos WHERE status <> 'pending'"""
 
 
 def _outcomes(spark, sf):
     v = views.videos(spark, sf).filter("status <> 'pending'")
     return v.select(
         F.dayofmonth("published_at").cast("long").alias("run_id"), "is_technical",
-        F.when(F.col("duration") % 97 == 0, F.concat(F.lit("Error classifying "), F.col("title"))).alias("error"),
+        F.when(F.col("duration") % 97 == 0, F.concat(F.lit("could not classify "), F.col("title"))).alias("error"),
     )
 
 
@@ -599,17 +604,18 @@ def run_errors(spark, sf):
     ["videos"],
 )
 def ingest_rollup(spark, sf):
-    """Scan, classify and queue summaries of all runs as one row."""
-    v = views.videos(spark, sf)
-    counts = v.agg(F.count("*").alias("d"), F.count_if(F.col("status") == "queued").alias("q"))
-    total = counts.select(F.struct("d", "q")).scalar()
-    sums = catalog.run_summary(_outcomes(spark, sf)).agg(
-        *[F.sum(c).alias(c) for c in ("videos_classified", "videos_approved", "videos_rejected", "n_errors")]
-    )
-    return sums.select(
-        total["d"].alias("videos_discovered"), "videos_classified", "videos_approved", "videos_rejected",
-        total["q"].alias("videos_queued"), "n_errors",
-    )
+    """Scan, classification and submission of all runs as one row."""
+    return ingest.rollup(*_steps(spark, sf))
+
+
+def _steps(spark, sf):
+    v, none = views.videos(spark, sf), F.lit(None).cast("string").alias("error")
+    return v.select(none), _outcomes(spark, sf), catalog.where(v, status="queued").select(none)
+
+
+@query("ingest_errors", f"SELECT 'classify' AS step, error FROM ({_OUTCOMES}) o WHERE error IS NOT NULL", ["videos"])
+def ingest_errors(spark, sf):
+    return ingest.errors(*_steps(spark, sf))
 
 
 @query(
@@ -632,16 +638,14 @@ def batch_status(spark, sf):
 
 @query(
     "queue_view",
-    f"""SELECT id, '{{"title":"' || title || '","loc":"' || loc || '","status":"' || {_STATUS} || '"}}' AS entry,
-  '{{"title":"' || title || '","loc":"' || loc || '"}}' AS document FROM transcripts""",
+    f"""SELECT t.id, '{{"title":"' || t.title || '","loc":"' || t.loc || '","status":"' || {_STATUS.replace('id', 't.id')} || '"}}' AS entry, d.document
+FROM transcripts t JOIN ({DOCUMENT}) d ON d.id = t.id""",
     ["transcripts"],
 )
 def queue_view(spark, sf):
-    rows = _with_status(spark, sf)
-    return rows.select(
-        "id", F.to_json(F.struct("title", "loc", "status")).alias("entry"),
-        F.to_json(F.struct("title", "loc")).alias("document"),
-    )
+    """The queue's entries, and the whole document of each source."""
+    rows = _finished(spark, sf).withColumn("status", F.expr(_STATUS))
+    return rows.select("id", F.to_json(F.struct("title", "loc", "status")).alias("entry"), exports.source_document(youtube=False).alias("document"))
 
 
 @query(

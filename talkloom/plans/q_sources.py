@@ -320,10 +320,13 @@ def export_text(spark, sf):
     return exports.texts(_finished(spark, sf))
 
 
-@query("source_document", f"""SELECT id, '{{"title":' || to_json(title) || ',"speakers":["Ann Lee"]' || CASE WHEN id % 2 = 0 THEN ',"tags":["' || lang || '","a: b"]' ELSE ',"tags":[]' END
+DOCUMENT = f"""SELECT id, '{{"title":' || to_json(title) || ',"speakers":["Ann Lee"]' || CASE WHEN id % 2 = 0 THEN ',"tags":["' || lang || '","a: b"]' ELSE ',"tags":[]' END
   || ',"type":"audio","loc":' || to_json(loc) || ',"source_file":"https://example.com/' || id || '","media":"https://example.com/' || id || '","categories":[],"chapters":[]'
   || CASE WHEN id % 2 = 0 THEN ',"date":"2024-03-01"' ELSE '' END || CASE WHEN summary <> '' THEN ',"summary":' || to_json(summary) ELSE '' END
-  || CASE WHEN id % 5 = 0 THEN ',"episode":7' ELSE '' END || '}}' AS document FROM transcripts""", ["transcripts"])
+  || CASE WHEN id % 5 = 0 THEN ',"episode":7' ELSE '' END || '}}' AS document FROM transcripts"""
+
+
+@query("source_document", DOCUMENT, ["transcripts"])
 def source_document(spark, sf):
     return _finished(spark, sf).select("id", exports.source_document(youtube=False).alias("document"))
 

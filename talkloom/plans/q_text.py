@@ -95,12 +95,17 @@ def parse_date(spark, sf):
     return views.videos(spark, sf).select("id", day.alias("day"), day.isNull().alias("rejected"), compact.alias("compact_day"))
 
 
+def _spread(df):
+    """Rows dealt to the partitions of a shuffle: the given table may be one file, and the work on texts is costly."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 @query("sentence_split", f"""SELECT doc_id, n AS sent_no, s AS sentence FROM (
   SELECT doc_id, unnest(ss) AS s, unnest(range(len(ss))) AS n FROM (
     SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.?!]){WS}+', '\\1' || chr(1), 'g'), chr(1)),
       lambda x: {strip_sql('x')}), lambda x: x <> '') AS ss FROM documents) a) b""")
 def sentence_split(spark, sf):
-    d = views.table(spark, sf, "documents").select("doc_id", "text")
+    d = _spread(views.table(spark, sf, "documents").select("doc_id", "text"))
     rows = explode_once(d, ["doc_id"], tx.split_sentences(F.col("text")), "n", "sentence")
     return rows.select("doc_id", F.col("n").cast("long").alias("sent_no"), "sentence")
 
@@ -113,7 +118,7 @@ _GUARDED = f"""regexp_replace(regexp_replace({_CANDIDATES}, '([\\p{{L}}\\p{{N}}_
   SELECT doc_id, unnest(ss) AS s, unnest(range(len(ss))) AS n FROM (
     SELECT doc_id, string_split(regexp_replace({_GUARDED}, '\\x01{WS}', chr(1), 'g'), chr(1)) AS ss FROM documents) a) b""")
 def sentence_split_abbrev(spark, sf):
-    d = views.table(spark, sf, "documents").select("doc_id", "text")
+    d = _spread(views.table(spark, sf, "documents").select("doc_id", "text"))
     rows = explode_once(d, ["doc_id"], tx.split_sentences_abbrev(F.col("text")), "n", "sentence")
     return rows.select("doc_id", F.col("n").cast("long").alias("sent_no"), "sentence")
 
@@ -239,7 +244,7 @@ packed AS MATERIALIZED (SELECT doc_id, 0::BIGINT AS chunk_no, 1::BIGINT AS n_chu
 
 
 def _docs(spark, sf):
-    docs = views.table(spark, sf, "documents").select("doc_id", "text")
+    docs = _spread(views.table(spark, sf, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
 
 

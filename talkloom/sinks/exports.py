@@ -101,7 +101,7 @@ def markdown(docs: DataFrame, transcript_by: str | None = None, include_metadata
 
 
 def missing_text(docs: DataFrame) -> DataFrame:
-    return docs.filter("raw_text IS NULL").select("id", F.lit("No transcript content found").alias("error"))
+    return docs.filter("raw_text IS NULL").select("id", F.lit("this transcript has no raw text").alias("error"))
 
 
 def _filled_list(name: str) -> Column:

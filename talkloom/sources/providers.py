@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkloom import schemas
 from talkloom.functions.text import speaker_id
 from talkloom.operators.rows import explode_once
 from talkloom.operators.timeline import speaker_segments
+from talkloom.scratch import materialise
 
 KEY = ["transcript_id"]
 
@@ -31,17 +33,22 @@ def summaries_of(df: DataFrame, column: str = "output") -> DataFrame:
     return explode_once(df, KEY, found, "n", "s").select(*KEY, "n", F.col("s.summary").alias("summary"))
 
 
-def utterances_of(df: DataFrame, column: str = "output", diarize: bool = True) -> DataFrame:
-    """Utterance-style output; without utterances the whole transcription is one, without a speaker."""
-    doc = F.from_json(F.col(column), schemas.UTTERANCE_OUTPUT)
+def _utterances(doc: Column) -> tuple[Column, Column]:
+    """The utterances of a document, or its whole text as one, and how many it has itself."""
     ws = F.coalesce(doc["words"], F.array().cast("array<struct<word:string,text:string,start:double,`end`:double,confidence:double>>"))
     zero = F.lit(0.0)
     whole = F.array(F.struct(
         F.lit(None).cast("string").alias("speaker"), F.coalesce(F.get(ws, F.lit(0))["start"], zero).alias("start"),
         F.coalesce(F.get(ws, F.size(ws) - 1)["end"], zero).alias("end"), F.coalesce(doc["transcription"], F.lit("")).alias("text"),
     ))
-    listed = F.when(F.size(doc["utterances"]) > 0, doc["utterances"]).otherwise(whole)
-    rows = explode_once(df, [*KEY, F.size(doc["utterances"]).alias("n")], listed, "utt_no", "u")
+    n = F.size(doc["utterances"])
+    return F.when(n > 0, doc["utterances"]).otherwise(whole), n
+
+
+def utterances_of(df: DataFrame, column: str = "output", diarize: bool = True) -> DataFrame:
+    """Utterance-style output; without utterances the whole transcription is one, without a speaker."""
+    listed, n = _utterances(F.from_json(F.col(column), schemas.UTTERANCE_OUTPUT))
+    rows = explode_once(df, [*KEY, n.alias("n")], listed, "utt_no", "u")
     return rows.select(
         *KEY, F.col("utt_no").cast("long").alias("utt_no"),
         F.when((F.col("n") > 0) & F.lit(diarize), speaker_id(F.coalesce("u.speaker", F.lit("speaker_0")))).alias("speaker"),
@@ -70,39 +77,73 @@ def segments_of(df: DataFrame, column: str = "output") -> DataFrame:
 _COMMON = [*KEY, "seg_no", "part_no", "speaker", "start_s", "end_s", "text"]
 
 
-def _from_words(df: DataFrame) -> DataFrame:
-    return speaker_segments(words_of(df)).select(*_COMMON)
+def _element(speaker: Column, start: Column, end: Column, speaker_confidence: Column, text: Column) -> Column:
+    return F.struct(speaker.cast("int").alias("speaker"), start.cast("double").alias("start_s"), end.cast("double").alias("end_s"),
+                    speaker_confidence.cast("double").alias("speaker_confidence"), text.cast("string").alias("text"))
+
 
+def _word_elements(output: Column) -> Column:
+    words = F.from_json(output, schemas.WORD_OUTPUT)["results"]["channels"][0]["alternatives"][0]["words"]
+    return F.transform(words, lambda w: _element(w["speaker"], w["start"], w["end"], w["speaker_confidence"], w["punctuated_word"]))
 
-def _from_utterances(df: DataFrame) -> DataFrame:
-    return utterances_of(df).withColumnRenamed("utt_no", "seg_no").withColumn("part_no", F.lit(0).cast("long")).select(*_COMMON)
 
+def _utterance_elements(output: Column) -> Column:
+    listed, n = _utterances(F.from_json(output, schemas.UTTERANCE_OUTPUT))
+    none = F.lit(None)
+    return F.transform(listed, lambda u: _element(
+        F.when(n > 0, speaker_id(F.coalesce(u["speaker"], F.lit("speaker_0")))), u["start"], u["end"], none, F.coalesce(u["text"], F.lit(""))))
 
-def _from_segments(df: DataFrame) -> DataFrame:
-    return segments_of(df).withColumn("part_no", F.lit(0).cast("long")).select(*_COMMON)
 
+def _segment_elements(output: Column) -> Column:
+    none = F.lit(None)
+    return F.transform(F.from_json(output, schemas.SEGMENT_OUTPUT)["segments"], lambda s: _element(none, s["start"], s["end"], none, s["text"]))
 
-NORMALISERS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "deepgram": _from_words,
-    "smallestai": _from_utterances,
-    "whisper": _from_segments,
+
+@dataclass(frozen=True)
+class Provider:
+    """How a provider's document becomes elements, and whether these are words, to be grouped into segments."""
+
+    elements: Callable[[Column], Column]
+    words: bool = False
+
+
+PROVIDERS: dict[str, Provider] = {
+    "deepgram": Provider(_word_elements, words=True),
+    "smallestai": Provider(_utterance_elements),
+    "whisper": Provider(_segment_elements),
 }
 
 
 def available_providers() -> list[str]:
-    return list(NORMALISERS)
+    return list(PROVIDERS)
+
+
+def elements_of(outputs: DataFrame) -> DataFrame:
+    """`(transcript_id, provider, pos, speaker, start_s, end_s, speaker_confidence, text)` of mixed outputs, in one pass.
+
+    A row's document is parsed once, in its own provider's shape; rows of unknown providers are left out.
+    """
+    listed = None
+    for name, provider in PROVIDERS.items():
+        mine = F.col("provider") == name
+        listed = F.when(mine, provider.elements(F.col("output"))) if listed is None else listed.when(mine, provider.elements(F.col("output")))
+    return explode_once(outputs, [*KEY, "provider"], listed, "pos", "e").select(*KEY, "provider", F.col("pos").cast("long").alias("pos"), "e.*")
 
 
 def normaliser(provider: str) -> Callable[[DataFrame], DataFrame]:
-    if provider not in NORMALISERS:
-        raise ValueError(f"Unknown provider: '{provider}'. Choose from {available_providers()}")
-    return NORMALISERS[provider]
+    """The segments of outputs that are all of one provider."""
+    if provider not in PROVIDERS:
+        raise ValueError(f"no provider is named {provider!r}; known are {', '.join(available_providers())}")
+    return lambda outputs: normalise(outputs.withColumn("provider", F.lit(provider))).drop("provider")
 
 
 def normalise(outputs: DataFrame) -> DataFrame:
-    """`(transcript_id, provider, output)` of any known provider to one segment schema."""
-    out = None
-    for name, fn in NORMALISERS.items():
-        part = fn(outputs.filter(F.col("provider") == name)).withColumn("provider", F.lit(name))
-        out = part if out is None else out.unionByName(part)
+    """`(transcript_id, provider, output)` of any known provider to one segment schema; the outputs are read once."""
+    parsed = materialise(elements_of(outputs), "elements")
+    spoken = [name for name, provider in PROVIDERS.items() if provider.words]
+    ready = parsed.filter(~F.col("provider").isin(spoken)).withColumnRenamed("pos", "seg_no").withColumn("part_no", F.lit(0).cast("long"))
+    out = ready.select(*_COMMON, "provider")
+    for name in spoken:
+        words = parsed.filter(F.col("provider") == name).drop("provider").withColumnRenamed("text", "punctuated_word")
+        out = speaker_segments(words).select(*_COMMON).withColumn("provider", F.lit(name)).unionByName(out)
     return out
