@@ -2,6 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from talkloom.llm import mixing
 from talkloom.llm.mixing import mix, mixed_documents, targets, word_count
 from tests.llm import edge
 
@@ -62,3 +63,33 @@ def test_sizes_counted_before(spark):
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     of = lambda rows: sorted(map(repr, rows.select("_row.doc_id", "_size", "_target", "_taken").collect()))
     assert of(mix(sized, size_col="size")) == of(mix(docs))
+
+
+def test_ranges_stay_even_for_all_weights(spark):
+    for weight in (0.0, 0.05, 1.0, 20.0, None):
+        n = 40_000
+        rows = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(3).alias("size"), (F.col("id") % 3 == 0).cast("int").cast("string").alias("source"),
+                                     (F.pow(F.lit(10.0), F.col("id") % 9 - 4) if weight is None else F.lit(weight)).alias("weight"))
+        keyed = []
+        held = mixing.key_ranges
+        mixing.key_ranges = lambda narrow: keyed.append(narrow) or held(narrow)  # noqa: B023
+        try:
+            out = mix(rows, weight_col="weight", size_col="size")
+        finally:
+            mixing.key_ranges = held
+        got = held(keyed[0]).agg(F.max("docs"), F.sum("docs"), F.count("*")).first()
+        assert got[0] < 3 * mixing.RANGE_ROWS and got[1] == n
+        taken = {r.source: (r.n, r.t) for r in out.groupBy("_row.source").agg(F.sum("_taken").alias("n"), F.max("_target").alias("t")).collect()}
+        assert all(abs(k - t) <= 1 for k, t in taken.values())
+
+
+def test_the_cut_is_where_a_sort_puts_it(spark):
+    docs = edge.documents(spark, [(i, " ".join(["w"] * (i % 37))) for i in range(9000)] + edge.ROWS)
+    whole = mixing.RANGE_ROWS
+    of = lambda: sorted(map(repr, mix(docs).select("_row.doc_id", "_size", "_taken").collect()))
+    many = of()
+    mixing.RANGE_ROWS = 10**9
+    try:
+        assert of() == many
+    finally:
+        mixing.RANGE_ROWS = whole
