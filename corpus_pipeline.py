@@ -15,10 +15,15 @@ from talkloom.llm.jaccard import ngram_jaccard
 from talkloom.llm.mixing import mixed_documents, word_count
 from talkloom.llm.quality import keep_quality
 from talkloom.llm.tokens import token_files
+from talkloom.scratch import file_system, scratch_path, scratch_scope
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents the classifier scores below its threshold."""
+    """Drop the documents the classifier scores below its threshold.
+
+    Null and empty texts are judged as texts without words; rows without an id are judged too. Every column is kept as it is. No labels of
+    both kinds: every score is the same share, so all or none stay. An empty table stays empty.
+    """
     return keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
@@ -36,7 +41,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold an item of the benchmark."""
+    """Drop the documents that hold an item of the benchmark.
+
+    Null and empty texts hold none; rows without an id are judged by their text; repeated rows go together. Every column is kept as it is. An empty
+    benchmark drops nothing, an empty table stays empty.
+    """
     return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -56,7 +65,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write the documents as token ids and read the files back."""
+    """Write the documents as token ids and read the files back: (doc_id, start, n_tokens, ids_crc32).
+
+    Null and empty texts are the end id alone; null ids come first; repeated rows are documents of their own. Other columns are ignored. An empty
+    table gives no rows.
+    """
     import public_tokenizers
 
     return token_files(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -75,7 +88,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The result of the last stage; what the stages before it wrote, and all their intermediate tables, are deleted on the way.
+
+    Null and empty texts, null ids, repeated rows and extra columns pass as each stage states; an empty table stays empty.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.split()[0].lower())
+        path = scratch_path(spark, name.split()[0].lower())
+        with scratch_scope(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            fs, of = file_system(spark, before)
+            fs.delete(of(before), True)
+        before = path
     return docs
