@@ -31,6 +31,7 @@ BLOCK_IDS = 1 << 19
 _KEEP_UNITS = 500_000  # distinct units a worker remembers; beyond it the older half goes
 _STOPS = np.isin(np.arange(256), list(b".,;:!?"))
 _ALNUM = np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123)])
+_COUNTED = 1 << 20  # ids counted in one go
 _JOINED = 1 << 16  # characters of new units encoded in one call
 
 # Unicode White_Space, which is what \s means to the tokenizer's own splitter: single bytes, and longer UTF-8 sequences.
@@ -133,7 +134,7 @@ def _tokenised(path: str):
         encoder = _ENCODERS.setdefault(path, None) or UnitEncoder(path)
         _ENCODERS[path] = encoder
         squeeze = zstandard.ZstdCompressor(level=1)
-        for chunk in chunks(batch.column(1), 1 << 22):
+        for chunk in chunks(batch.column(1), 1 << 23):
             ids, bounds = encoder.encode(chunk)
             parts = [np.append(ids[a:b], np.uint32(END_ID)) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             wide = [bool(x.max() >= 65536) for x in parts]
@@ -153,10 +154,15 @@ def _ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for ids in _ids(batch):
-            got = np.bincount(ids, minlength=len(total))
-            got[: len(total)] += total
-            total = got
+        waiting, n = [], 0
+        for ids in [*_ids(batch), None]:
+            if ids is not None:
+                waiting.append(ids)
+                n += len(ids)
+            if waiting and (ids is None or n >= _COUNTED):
+                got = np.bincount(np.concatenate(waiting), minlength=len(total))
+                got[: len(total)] += total
+                total, waiting, n = got, [], 0
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], names=["id", "n"])
 
