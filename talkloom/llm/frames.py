@@ -17,11 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, limit: int = _BATCH_BYTES) -> None:
     """Keep the Arrow batches of Python tasks small in bytes, however long the texts are."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, str(_BATCH_BYTES)).rstrip("b") or _BATCH_BYTES) > _BATCH_BYTES:
-        spark.conf.set(key, str(_BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

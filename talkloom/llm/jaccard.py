@@ -37,6 +37,7 @@ _U = np.uint64
 SKETCH_WORDS = 16  # parity sketch: 1024 bits
 SIGN_BITS = 48  # of a block digest; equal digests only propose, so fewer bits cost pairs to discard and lose no link
 BLOCKS = 4  # ranges of the verifying product
+BATCH_BYTES = 2 << 20  # of texts handed to Python at once; the JVM's heap is full of digests meanwhile
 TILE = 1024  # documents on one side of a tile
 BROADCAST_IDS = 1_000_000  # up to so many candidate ids (16 MB) are sent to every executor
 
@@ -247,7 +248,7 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     in links. Other columns are ignored. An empty table gives an empty result. Ids are integers.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH_BYTES)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = arrow_map(docs, _rows(num, den, words), "doc_id long, n long, d1 long, d2 long, sketch array<long>, signs array<long>")
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "incidence")

@@ -164,3 +164,28 @@ def test_pipeline_mixes_by_quality(spark, tmp_path):
     rows = out.filter("source = 'c'").collect()
     good = sum(r.doc_id // 3 % 2 for r in rows)
     assert good > 2 * (len(rows) - good) and {r.weight for r in rows} == {3.0}
+
+
+def test_pipeline_leaves_only_its_result(spark, tmp_path):
+    import os
+
+    from talkloom.scratch import scratch_root
+
+    root = f"{scratch_root(spark).removeprefix('file:')}/talkloom"
+    edge.documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    edge.labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, edge.text(100, 180))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert len(set(os.listdir(root)) - before) == 1 and out.count() > 0
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    edge.labels(spark, []).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    none = edge.documents(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, str(tmp_path))
+        assert out.count() == 0
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == none.columns
