@@ -145,3 +145,13 @@ def word_cues(words: DataFrame, seconds: float = 10.0, block_rows: int = 16384)
     numbered = ordered_scan(spans, KEY, ["group_pos"], F.floor(F.col("group_pos") / 65536), totals={"_n": F.lit(1)})
     return kept.select(*KEY, "group_pos", "_b", "text").join(numbered, [*KEY, "group_pos"]).select(
         *KEY, (F.col("_n") - 1).alias("cue_no"), (F.col("_b") - F.col("_first")).alias("part_no"), "start_s", "end_s", "text")
+
+
+def whole_cues(parts: DataFrame) -> DataFrame:
+    """The cues of `word_cues` with their whole texts: `(cue_no, start_s, end_s, text)`, one row per cue; a part without words adds nothing.
+
+    Only the parts of one cue meet in a row, so a row is as long as its cue.
+    """
+    ordered = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("part_no", "text"))))
+    return parts.groupBy(*KEY, "cue_no").agg(
+        F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.array_join(F.transform(ordered, lambda p: p["text"]), " ").alias("text"))

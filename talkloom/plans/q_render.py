@@ -31,12 +31,10 @@ def export_srt(spark, sf):
   UNION ALL SELECT g.transcript_id, g.cue_no + 1, g.hi + 1, coalesce((SELECT min(y.pos) FROM words y WHERE y.transcript_id = g.transcript_id AND y.pos > g.hi AND y.end_s - s.start_s >= 10),
       (SELECT max(y.pos) FROM words y WHERE y.transcript_id = g.transcript_id))
   FROM g JOIN words s ON s.transcript_id = g.transcript_id AND s.pos = g.hi + 1)
-SELECT g.transcript_id, g.cue_no, w.pos // 16384 - min(g.lo) // 16384 AS part_no, min(min(w.start_s)) OVER c AS start_s, max(max(w.end_s)) OVER c AS end_s,
-  string_agg(w.punctuated_word, ' ' ORDER BY w.pos) AS text
-FROM g JOIN words w ON w.transcript_id = g.transcript_id AND w.pos BETWEEN g.lo AND g.hi GROUP BY g.transcript_id, g.cue_no, w.pos // 16384
-WINDOW c AS (PARTITION BY g.transcript_id, g.cue_no)""", ["words"])
+SELECT g.transcript_id, g.cue_no, min(w.start_s) AS start_s, max(w.end_s) AS end_s, string_agg(w.punctuated_word, ' ' ORDER BY w.pos) AS text
+FROM g JOIN words w ON w.transcript_id = g.transcript_id AND w.pos BETWEEN g.lo AND g.hi GROUP BY 1, 2""", ["words"])
 def srt_word_groups(spark, sf):
-    return subtitles.word_cues(materialise(views.words(spark, sf), "words"))
+    return subtitles.whole_cues(subtitles.word_cues(materialise(views.words(spark, sf), "words")))
 
 
 _PLACED_TURN = """placed_turn AS (SELECT p.transcript_id, p.title, p.turn FROM (

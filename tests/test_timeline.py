@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talkloom.operators import chunks, paper_edit, render, subtitles, timeline
-from talkloom.plans import flows
+from talkloom.plans import flows, q_render
 from tests import walk
 
 
@@ -136,6 +136,27 @@ def test_a_cue_that_never_closes_comes_in_parts(spark):
     assert subtitles.word_cues(every, 10.0, block_rows=block).agg(F.countDistinct("cue_no"), F.max("part_no")).first() == (n, 0)
 
 
+def test_cues_over_blocks_are_whole_in_the_query(spark, tmp_path):
+    n = 40_000  # of 16384 words a block
+    turns = spark.range(40).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.expr("array_join(transform(sequence(id * 1000, id * 1000 + 999), x -> 'w' || x), ' ')").alias("text"))
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
+    times = [(0.375 * k, 0.375 * k + 0.25) for k in range(n)]
+    want, first = [], 0
+    for k, (_, end) in enumerate(times):
+        if end - times[first][0] >= 10 or k == n - 1:
+            want.append((1, len(want), times[first][0], end, " ".join(f"w{i}" for i in range(first, k + 1))))
+            first = k + 1
+    out = q_render.srt_word_groups(spark, str(tmp_path))
+    assert out.columns == ["transcript_id", "cue_no", "start_s", "end_s", "text"]
+    assert sorted(map(tuple, out.collect())) == want
+
+
+def test_parts_of_a_cue_are_joined_in_order(spark):
+    rows = [(1, 0, 2, 0.0, 9.0, "c"), (1, 0, 10, 0.0, 9.0, "d"), (1, 0, 1, 0.0, 9.0, ""), (1, 0, 0, 0.0, 9.0, "a b"), (1, 1, 0, 9.0, 9.5, "")]
+    out = subtitles.whole_cues(spark.createDataFrame(rows, "transcript_id long, cue_no long, part_no long, start_s double, end_s double, text string"))
+    assert sorted(map(tuple, out.collect())) == [(1, 0, 0.0, 9.0, "a b c d"), (1, 1, 9.0, 9.5, "")]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_closing_words_equal_a_search(seed):
     rnd = np.random.default_rng(seed)
