@@ -15,9 +15,8 @@ from talkloom.plans.registry import query
 from talkloom.plans.sql_views import VIEWS
 from talkloom.scratch import materialise, scratch_path
 from talkloom.sinks import exports
-from talkloom.sinks.named import write_files
+from talkloom.sinks.named import list_files, read_files, write_files
 from talkloom.sinks.tables import read_buckets, rewrite_buckets, write_buckets
-from talkloom.sources.documents import _folder_below
 from talkloom.sources.providers import words_of
 from talkloom.sources.saved import resume_transcripts
 
@@ -39,9 +38,8 @@ def export_written(spark, sf):
         rows = part if rows is None else rows.unionByName(part)
     base = scratch_path(spark, "exports")
     rejected = write_files(rows, base)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    found = files.select(F.concat_ws("/", _folder_below(base, F.col("path")), F.regexp_extract("path", "([^/]+)$", 1)).alias("path"),
-                         F.md5("content").alias("content_md5"), F.lit(None).cast("string").alias("reason"))
+    path = F.when(F.contains("path", F.lit("/")), F.col("path")).otherwise(F.concat(F.lit("/"), "path"))  # a file at the top is one of the empty folder
+    found = read_files(list_files(spark, base), base).select(path.alias("path"), F.md5("content").alias("content_md5"), F.lit(None).cast("string").alias("reason"))
     return found.unionByName(rejected.select("path", F.md5("content").alias("content_md5"), "reason"))
 
 

@@ -3,23 +3,31 @@
 Every task stages its files in a folder of its own attempt. The commit, which runs once on the driver after all tasks, only writes
 down which attempts count; so what the driver handles is one name per task, not one per file. `publish` then moves the
 staged files of committed jobs to their places, in tasks again. It may be repeated: a job whose driver is lost before or while it
-publishes is finished by the next one, and files of attempts that failed are never seen.
+publishes is finished by the next one, and files of attempts that failed are never seen. `list_files` and `read_files` read them back
+in tasks too: Spark's own file sources hold every name on the driver.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from talkloom.scratch import materialise
+
 STAGING = "_staging"
 COMMITTED = "_committed"
+LIST_ROWS = 4096  # names in one batch of a listing, and files read by one task
+READ_BYTES = 8 << 20  # of files handed on at once
 
 
 def open_folder(base: str) -> tuple:
@@ -157,3 +165,77 @@ def write_files(df: DataFrame, base: str) -> DataFrame:
     rows.write.format("named_files").option("base", base).option("job", uuid.uuid4().hex).mode("append").save()
     publish(spark, base)
     return rejected
+
+
+def _listed(base: str):
+    """Of folders below `base`, named as `path`, what they hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = open_folder(base)
+
+        def entries(folder: str) -> Iterator[tuple[str, bool]]:
+            if isinstance(system, fs.LocalFileSystem):  # one by one; other stores give the list of a folder at once
+                with os.scandir(folder) as found:
+                    yield from ((e.name, e.is_dir()) for e in found)
+            else:
+                yield from ((e.base_name, e.type == fs.FileType.Directory) for e in system.get_file_info(fs.FileSelector(folder)))
+
+        for batch in batches:
+            for below in batch.column(0).to_pylist():
+                found = entries(f"{root}/{below}" if below else root)
+                while some := list(islice(found, LIST_ROWS)):
+                    names = [f"{below}/{name}" if below else name for name, _ in some]
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([folder for _, folder in some], pa.bool_())], names=["path", "is_folder"])
+
+    return run
+
+
+def list_files(spark: SparkSession, base: str) -> DataFrame:
+    """`(path)` below `base` of every file there but staged ones.
+
+    The folders of a level are listed in tasks and the names written to the scratch folder, so the driver holds none of them.
+    """
+    folders, files = spark.createDataFrame([("",)], "path string"), []
+    while n := folders.count():
+        found = materialise(folders.repartition(min(n, LIST_ROWS)).mapInArrow(_listed(base), "path string, is_folder boolean"), "listing")
+        files.append(found.filter("not is_folder").select("path"))
+        folders = found.filter(F.col("is_folder") & (F.col("path") != STAGING)).select("path")
+    return reduce(DataFrame.unionByName, files)
+
+
+def read_files(paths: DataFrame, base: str) -> DataFrame:
+    """`(path, content)` of the files at `base`/path, with the bytes as content; a file that is not there is an error.
+
+    `paths` are dealt to tasks by number, a few thousand each, and every file is read in the task of its row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = open_folder(base)
+        names: list[str] = []
+        contents: list[bytes] = []
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+            names.clear()
+            contents.clear()
+            return out
+
+        held = 0
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with system.open_input_stream(f"{root}/{path}") as file:
+                    contents.append(file.read())
+                names.append(path)
+                held += len(contents[-1])
+                if held >= READ_BYTES:
+                    yield flush()
+                    held = 0
+            if names:
+                yield flush()
+                held = 0
+
+    spark = paths.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-paths.count() // LIST_ROWS))
+    return paths.select("path").repartition(tasks).mapInArrow(run, "path string, content binary")

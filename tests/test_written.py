@@ -52,6 +52,26 @@ def test_a_committed_job_is_published_by_the_next_one(spark, tmp_path):
     assert named.publish(spark, str(tmp_path)) == 0
 
 
+def test_files_are_listed_and_read_in_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(named, "LIST_ROWS", 7)
+    monkeypatch.setattr(named, "READ_BYTES", 20)
+    rows = {f"{folder}{k} ü%20.txt": f"{folder}{k}é" * (k % 3) for folder in ("", "a/", "a/b c/", "_d/") for k in range(20)}
+    base = str(tmp_path / "out")
+    named.write_files(spark.createDataFrame(list(rows.items()), "path string, content string"), base)
+    (tmp_path / "out" / "_staging" / "lost").mkdir(parents=True)
+    (tmp_path / "out" / "_staging" / "lost" / "half.txt").write_text("of a job that failed")
+    listed = named.list_files(spark, base)
+    out = named.read_files(listed, base)
+    assert out.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-len(rows) // 7))
+    assert sorted((r.path, bytes(r.content).decode()) for r in out.collect()) == sorted(rows.items())
+    (tmp_path / "out" / "a" / "other.bin").write_bytes(b"\xff\x00")  # what is there, not what was to be written
+    assert named.read_files(named.list_files(spark, base), base).filter("path = 'a/other.bin'").first().content == b"\xff\x00"
+    os.makedirs(tmp_path / "none")
+    assert named.read_files(named.list_files(spark, str(tmp_path / "none")), str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="No such file|FileNotFound"):
+        named.read_files(spark.createDataFrame([("gone",)], "path string"), base).collect()
+
+
 def test_an_edit_rewrites_its_buckets_only(spark, tmp_path):
     path = str(tmp_path / "videos")
     rows = spark.range(500).select(F.concat(F.lit("v"), "id").alias("video_id"), F.lit("pending").alias("status"), (F.col("id") % 7).alias("n"))
