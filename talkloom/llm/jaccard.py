@@ -13,7 +13,9 @@ The product A * A^T counts the n-grams two documents share. It is never formed w
    The rest are multiplied block by block: the overlap accumulates over ranges of n-gram hashes,
    and a pair goes as soon as what is left cannot reach the bound.
 3. *The rest.* Lists whose documents are still in several components are taken again, in tiles of
-   bounded size: pairs across components that pass the sketch bound are verified the same way.
+   bounded size: pairs across components that pass the sketch bound are verified the same way. A tile
+   with more such pairs than documents first gives the pairs of a forest over its components; where
+   these do not join them all, it gives every pair still across components.
 
 So a group of thousands of near copies costs one pair per copy, not all pairs.
 """
@@ -35,6 +37,7 @@ from talkloom.llm.words import chunks, distinct_shingles, mix
 
 _U = np.uint64
 SKETCH_WORDS = 16  # parity sketch: 1024 bits
+WIDE_FROM = 512  # sets from this size on have a second sketch of two to four bits per n-gram; the short one tells long sets apart no more
 SIGN_BITS = 48  # of a block digest; equal digests only propose, so fewer bits cost pairs to discard and lose no link
 BLOCKS = 4  # ranges of the verifying product
 BATCH_BYTES = 2 << 20  # of texts handed to Python at once; the JVM's heap is full of digests meanwhile
@@ -110,21 +113,31 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), _int64(flat))
 
 
+def _parity(grams: np.ndarray, bits: int) -> np.ndarray:
+    """Per value of the lowest bits of the n-grams whether their count is odd; halves of a sketch xored are the one of half the bits."""
+    odd = np.bincount((grams & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(_U)
+
+
+def _wide(grams: np.ndarray) -> np.ndarray:
+    return _parity(grams, 2 << len(grams).bit_length()) if len(grams) >= WIDE_FROM else np.zeros(0, _U)
+
+
 def _rows(num: int, den: int, size: int):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batch.column(1)):
-            n, d1, d2, sketches, signs = [], [], [], [], []
+            n, d1, d2, sketches, wide, signs = [], [], [], [], [], []
             for grams in distinct_shingles(chunk, size):
                 n.append(len(grams))
                 d1.append(mix(grams).sum(dtype=_U))
                 d2.append(mix(grams + _U(0x5851F42D4C957F2D)).sum(dtype=_U))
-                odd = np.bincount((grams & _U(SKETCH_WORDS * 64 - 1)).astype(np.int64), minlength=SKETCH_WORDS * 64) & 1
-                sketches.append(np.packbits(odd.astype(np.uint8)).view(_U))
+                sketches.append(_parity(grams, SKETCH_WORDS * 64))
+                wide.append(_wide(grams))
                 signs.append(signatures(grams, num, den))
             ids = batch.column(0).slice(chunk.first, chunk.texts)
             yield pa.RecordBatch.from_arrays(
-                [ids, _int64(np.array(n)), _int64(np.array(d1, _U)), _int64(np.array(d2, _U)), _lists(sketches), _lists(signs)],
-                names=["doc_id", "n", "d1", "d2", "sketch", "signs"])
+                [ids, _int64(np.array(n)), _int64(np.array(d1, _U)), _int64(np.array(d2, _U)), _lists(sketches), _lists(wide), _lists(signs)],
+                names=["doc_id", "n", "d1", "d2", "sketch", "wide", "signs"])
 
     return run
 
@@ -156,11 +169,23 @@ def _need(num: int, den: int) -> Column:
     return F.ceil((F.col("n") + F.col("m")) * F.lit(num) / F.lit(num + den)).cast("long")
 
 
+def _folded(sketch: str, other: str) -> Column:
+    """A wide sketch in the bits of another one, which has as many, or half or twice as many where the two may link."""
+    half = F.floor(F.size(sketch) / 2).cast("int")
+    xored = F.zip_with(F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(sketch) > F.size(other), xored).otherwise(F.col(sketch))
+
+
 def _may_link(num: int, den: int) -> Column:
-    """The size bound and the sketch bound: differing parity bits never exceed differing n-grams."""
-    differ = F.aggregate(F.zip_with("sketch", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    """The size bound and the sketch bounds: differing parity bits never exceed differing n-grams."""
+
+    def within(a: Column | str, b: Column | str) -> Column:
+        differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        return differ * F.lit(num + den) <= (F.col("n") + F.col("m")) * F.lit(den - num)
+
     close = F.least("n", "m") * F.lit(den) >= F.greatest("n", "m") * F.lit(num)
-    return close & (differ * F.lit(num + den) <= (F.col("n") + F.col("m")) * F.lit(den - num))
+    fits = F.greatest(F.size("wide"), F.size("wide_b")) <= 2 * F.least(F.size("wide"), F.size("wide_b"))  # else one has none
+    return close & within("sketch", "sketch_b") & (~fits | within(_folded("wide", "wide_b"), _folded("wide_b", "wide")))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -184,8 +209,33 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int)
     return rows.select("id_a", "id_b").distinct()
 
 
-def _tiles(num: int, den: int):
-    """Pairs across components in runs of equal (sign, i, j); rows arrive sorted by these."""
+def _forest(comps: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Of pairs of components, places of those that join what they reach without a circle, pairs that differ least first."""
+    names, ends = np.unique(comps, return_inverse=True)
+    parent, taken = list(range(len(names))), []
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    ends = ends.reshape(comps.shape)
+    order = np.argsort(differ, kind="stable")
+    keys = np.minimum(ends[0], ends[1])[order] * len(names) + np.maximum(ends[0], ends[1])[order]
+    first = np.sort(np.unique(keys, return_index=True)[1])  # one pair for each two components
+    for k in order[first].tolist():
+        a, b = find(int(ends[0][k])), find(int(ends[1][k]))
+        if a != b:
+            parent[a] = b
+            taken.append(k)
+    return np.array(taken, np.int64)
+
+
+def _tiles(num: int, den: int, every: bool):
+    """Pairs across components in runs of equal (sign, i, j); rows arrive sorted by these.
+
+    Unless `every` is set, a tile with more pairs than rows gives a forest of them and a row with its `sign`.
+    """
 
     def pairs(cols: list[np.ndarray], sketches: np.ndarray) -> Iterator[np.ndarray]:
         row, comp, hub, n, d1, d2, side, same = cols
@@ -200,9 +250,10 @@ def _tiles(num: int, den: int):
             if not len(other):
                 continue
             differ = np.bitwise_count(sketches[other] ^ sketches[a]).sum(1, dtype=np.int64)
-            other = other[differ * (num + den) <= (n[other] + n[a]) * (den - num)]
+            near = differ * (num + den) <= (n[other] + n[a]) * (den - num)
+            other, differ = other[near], differ[near]
             if len(other):
-                yield np.stack([np.minimum(row[other], row[a]), np.maximum(row[other], row[a])])
+                yield np.stack([np.minimum(row[other], row[a]), np.maximum(row[other], row[a]), comp[other], np.full(len(other), comp[a]), differ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -214,8 +265,13 @@ def _tiles(num: int, den: int):
                 got = list(pairs(list(block), np.concatenate([h[1] for h in held])))
                 held.clear()
                 if got:
-                    both = np.concatenate(got, 1)
-                    yield pa.RecordBatch.from_arrays([_int64(both[0]), _int64(both[1])], names=["row_a", "row_b"])
+                    found = np.concatenate(got, 1)
+                    part = not every and found.shape[1] > block.shape[1]
+                    both = found[:2, _forest(found[2:4], found[4])] if part else found[:2]
+                    none = [None] * both.shape[1]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.concat_arrays([_int64(both[0]), pa.nulls(int(part), pa.int64())]), pa.concat_arrays([_int64(both[1]), pa.nulls(int(part), pa.int64())]),
+                        pa.array(none + [key[0]] * part, pa.int64())], names=["row_a", "row_b", "sign"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -250,7 +306,7 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     bounded_batches(spark, BATCH_BYTES)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = arrow_map(docs, _rows(num, den, words), "doc_id long, n long, d1 long, d2 long, sketch array<long>, signs array<long>")
+    rows = arrow_map(docs, _rows(num, den, words), "doc_id long, n long, d1 long, d2 long, sketch array<long>, wide array<long>, signs array<long>")
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "incidence")
     named = rows.filter("doc_id is not null and n > 0")
 
@@ -264,8 +320,8 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     lists = signed.groupBy("sign").agg(F.min("row").alias("hub"), F.count("*").alias("size")).filter("size > 1")
     members = stored(signed.join(lists, "sign"), "lists")
 
-    meta = named.select("row", "doc_id", "n", "d1", "d2", "sketch")
-    other = meta.select(F.col("row").alias("row_b"), F.col("doc_id").alias("id_b"), F.col("n").alias("m"), F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("sketch").alias("sketch_b"))
+    meta = named.select("row", "doc_id", "n", "d1", "d2", "sketch", "wide")
+    other = meta.select(F.col("row").alias("row_b"), F.col("doc_id").alias("id_b"), F.col("n").alias("m"), F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("sketch").alias("sketch_b"), F.col("wide").alias("wide_b"))
 
     def candidates(pairs: DataFrame, name: str) -> DataFrame:
         both = pairs.join(meta.withColumnsRenamed({"row": "row_a", "doc_id": "id_a"}), "row_a").join(other, "row_b")
@@ -278,18 +334,28 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     found = stored(components(links), "components")
 
     # Lists with documents of several components.
-    place = meta.join(found, meta.doc_id == found.node, "left").select("row", "n", "d1", "d2", "sketch", F.coalesce("component", "doc_id").alias("comp"))
-    placed = stored(members.join(place.select("row", "comp"), "row"), "placed")
-    split = placed.groupBy("sign").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("sign")
-    open_ = placed.join(split, "sign").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
-    open_ = open_.withColumn("own", F.pmod(F.hash("row"), "tiles"))
-    tiled = open_.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.select("sign", "row", "hub", "comp", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).cast("long").alias("side"))
-    tiled = tiled.join(place.drop("comp"), "row").repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j")
-    rest = tiled.mapInArrow(_tiles(num, den), "row_a long, row_b long").distinct()
-    more = _verified(candidates(rest, "rest-pairs"), docs, words, num, den)
-    more = stored(more.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), "more-links")
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
+    def across(lists: DataFrame, found: DataFrame, every: bool) -> DataFrame:
+        place = meta.join(found, meta.doc_id == found.node, "left").select("row", "n", "d1", "d2", "sketch", F.coalesce("component", "doc_id").alias("comp"))
+        placed = stored(lists.join(place.select("row", "comp"), "row"), "placed")
+        split = placed.groupBy("sign").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("sign")
+        open_ = placed.join(split, "sign").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
+        open_ = open_.withColumn("own", F.pmod(F.hash("row"), "tiles"))
+        tiled = open_.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        tiled = tiled.select("sign", "row", "hub", "comp", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).cast("long").alias("side"))
+        tiled = tiled.join(place.drop("comp"), "row").repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j")
+        return stored(tiled.mapInArrow(_tiles(num, den, every), "row_a long, row_b long, sign long"), "rest")
+
+    left = members
+    for every in (False, True):
+        rest = across(left, found, every)
+        more = _verified(candidates(rest.filter("sign is null").select("row_a", "row_b").distinct(), "rest-pairs"), docs, words, num, den)
+        more = stored(more.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), "more-links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = stored(components(links), "components")
+        again = rest.filter("sign is not null").select("sign").distinct()
+        if again.isEmpty():
+            break
+        left = members.join(again, "sign")  # lists whose forest may have left a link out
     return rows.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -1,8 +1,11 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from talkloom.llm import jaccard
 from talkloom.llm.components import components
 from talkloom.llm.jaccard import ngram_jaccard
 from tests.llm import edge
@@ -64,6 +67,58 @@ def test_edges_and_empty(spark):
     assert ngram_jaccard(edge.documents(spark, [])).count() == 0
 
 
+def swarm(seed):
+    """Copies of one text with a change each, which link with each other; before them forty texts with seven changes, which link with none."""
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(100):
+        words = [f"b{k}" for k in range(200)]
+        for at in rnd.sample(range(200), 7 if i < 40 else 1):
+            words[at] = f"e{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_a_group_without_links_to_its_hubs(spark, monkeypatch, seed):
+    seen, tiles = [], jaccard._tiles
+    monkeypatch.setattr(jaccard, "_tiles", lambda num, den, every: seen.append(every) or tiles(num, den, every))
+    rows = swarm(seed)
+    out = ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string"), words=5, num=8, den=10).collect()
+    assert sorted(map(tuple, out), key=repr) == brute(rows, 5, 8, 10)
+    assert seen == [False, True]  # a forest, then every pair still across components
+
+
+def test_a_tile_gives_a_forest_and_its_sign():
+    n = 40
+    zeros = np.zeros(n, np.int64)
+    columns = {"row": np.arange(n) + 100, "sign": zeros + 7, "hub": zeros, "comp": np.arange(n) // 2, "i": zeros, "j": zeros, "side": zeros, "n": zeros + 500,
+               "d1": np.arange(n), "d2": np.arange(n)}
+    sketch = pa.array([[0] * jaccard.SKETCH_WORDS] * n, pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, columns.values()), sketch], names=[*columns, "sketch"])
+    part, = jaccard._tiles(8, 10, False)(iter([batch]))
+    assert part.num_rows == n // 2 and part.column("sign").to_pylist() == [None] * (n // 2 - 1) + [7]
+    links = {(a - 100) // 2 * 100 + (b - 100) // 2 for a, b in zip(part.column(0).to_pylist()[:-1], part.column(1).to_pylist()[:-1], strict=True)}
+    assert len(links) == n // 2 - 1
+    whole, = jaccard._tiles(8, 10, True)(iter([batch]))
+    assert whole.num_rows == n * (n - 1) // 2 - n // 2 and whole.column("sign").null_count == whole.num_rows
+
+
+def test_wide_sketches_fold_and_keep_linked_sets(spark):
+    rnd = np.random.default_rng(5)
+    rows, want = [], []
+    for n in (600, 1000, 1050, 3000, 5000):
+        grams = np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64))
+        for cut, fits in ((n // 10, True), (n // 3, False)):
+            other = np.unique(np.concatenate([grams[cut:], rnd.integers(0, 1 << 63, cut // 2, dtype=np.uint64)]))
+            differ = len(np.setxor1d(grams, other))
+            rows.append((len(grams), len(other), *([int(x) for x in f(g).view(np.int64)] for f in (lambda g: jaccard._parity(g, 1024), jaccard._wide) for g in (grams, other))))
+            want.append(fits)
+            assert (differ * 18 <= (len(grams) + len(other)) * 2) is fits
+    frame = spark.createDataFrame(rows, "n long, m long, sketch array<long>, sketch_b array<long>, wide array<long>, wide_b array<long>")
+    assert [r.ok for r in frame.select(jaccard._may_link(8, 10).alias("ok")).collect()] == want
+
+
 def test_components_of_a_chain(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101), (7, 7), (None, 3)]
     out = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
