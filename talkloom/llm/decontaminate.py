@@ -65,8 +65,11 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """Broadcast `df` if it is counted to be small, else leave the join to the engine."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Broadcast `df` if it is counted to be small, else join it by a shuffle.
+
+    The engine would go by the size of the compressed files, a small part of what their rows take on the driver.
+    """
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
 
 
 def _alignments() -> Column:
@@ -110,7 +113,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, least_share: float = LE
         same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
         near = docs.alias("d").join(_small(some).alias("s"), same({c: F.col(f"d.{c}") for c in key[:2]}, {c: F.col(f"s.{c}") for c in key[:2]}), "leftsemi")
         near = near.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), tokens(F.col("text"), _ANY_NAME).alias("tokens")).dropDuplicates(["id", "hash"])
-        slots = slotted.join(near, slotted.doc_id.eqNullSafe(near.id) & (slotted.text_hash == near.hash))
+        slots = slotted.join(near.hint("merge"), slotted.doc_id.eqNullSafe(near.id) & (slotted.text_hash == near.hash))
         values = F.transform("slots", lambda s: F.struct(s["value"].alias("item_value"), F.get(F.col("tokens"), F.col("pos") + s["place"]).alias("doc_value")))
         slots = stored(slots.select(*key, F.explode(_alignments()).alias("alignment"), "at", values.alias("values")), "values")
         # An item's value stands for the document's value it meets most often in the alignment; windows that say otherwise do not count.
@@ -118,7 +121,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, least_share: float = LE
         chosen = votes.groupBy(*key, "alignment", F.col("v.item_value").alias("item_value")).agg(F.max(F.struct("k", "v.doc_value")).alias("best"))
         right = F.map_from_entries(F.collect_list(F.struct("item_value", "best.doc_value"))).alias("right")
         chosen = chosen.groupBy(*[F.col(c).alias(f"c_{c}") for c in [*key, "alignment"]]).agg(right)
-        joined = slots.join(chosen, [slots[c].eqNullSafe(chosen[f"c_{c}"]) for c in [*key, "alignment"]])
+        joined = slots.join(chosen.hint("merge"), [slots[c].eqNullSafe(chosen[f"c_{c}"]) for c in [*key, "alignment"]])
         fits = joined.filter(F.forall("values", lambda v: F.element_at("right", v["item_value"]) == v["doc_value"]))
         plain = plain.unionByName(fits.select(*key, "alignment", "at", F.exists("values", lambda v: v["doc_value"] != v["item_value"]).alias("changed")))
     nth = bench.select(F.col("item_id").alias("item"), "at").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("item").orderBy("at")))

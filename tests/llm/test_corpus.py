@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from talkloom.llm import decontaminate
 from talkloom.llm.decontaminate import drop_leaks, find_leaks
 from talkloom.llm.lines import line_dedup
 from tests.llm import edge
@@ -189,3 +190,35 @@ def test_stages_of_empty_tables(spark, tmp_path):
         assert out.count() == 0
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == none.columns
+
+
+def joins_planned(monkeypatch, run):
+    """Broadcast joins and merge joins in the plans of the tables `run` stores and of the frame it returns, with nothing counted small; and the frame."""
+    plans, stored = {}, decontaminate.stored
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+
+    def seen(df, name):
+        plans[name] = plan(df)
+        return stored(df, name)
+
+    monkeypatch.setattr(decontaminate, "stored", seen)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    out = run()
+    plans["out"] = plan(out)
+    return {name: (p.count("BroadcastHashJoin"), p.count("SortMergeJoin")) for name, p in plans.items()}, out
+
+
+def with_hits(spark):
+    other = TOM.replace("Tom", "Bob").replace("Ann", "Sue").replace("5", "9").replace("3", "6").replace("2", "8")
+    docs = edge.documents(spark, [*edge.ROWS, (20, TOM), (21, f"Before it. {other}"), (21, f"Before it. {other}"), (21, TOM), (None, other)])
+    return docs, bench(spark, [(1, edge.text(100, 180)), (2, TOM), (None, edge.text(0, 30)), (3, None)])
+
+
+def test_hits_are_not_broadcast_for_small_files(spark, monkeypatch):
+    """Files of a few MB hold more rows than the driver can: the engine must not broadcast a side because of its files' size."""
+    docs, items = with_hits(spark)
+    found = sorted(map(str, find_leaks(docs, items).collect()))
+    joins, out = joins_planned(monkeypatch, lambda: find_leaks(docs, items))
+    assert joins["hits"] == (0, 1) and joins["values"] == (0, 2)
+    assert joins["out"] == (1, 2)  # the broadcast one is with the number of windows, a row per item
+    assert sorted(map(str, out.collect())) == found and len(found) > 10
