@@ -222,3 +222,11 @@ def test_hits_are_not_broadcast_for_small_files(spark, monkeypatch):
     assert joins["hits"] == (0, 1) and joins["values"] == (0, 2)
     assert joins["out"] == (1, 2)  # the broadcast one is with the number of windows, a row per item
     assert sorted(map(str, out.collect())) == found and len(found) > 10
+
+
+def test_leaks_are_not_broadcast_for_small_files(spark, monkeypatch):
+    docs, items = with_hits(spark)
+    left = sorted(map(str, drop_leaks(docs, items).collect()))
+    joins, out = joins_planned(monkeypatch, lambda: drop_leaks(docs, items))
+    assert joins["out"] == (0, 1) and joins["values"] == (0, 2)
+    assert sorted(map(str, out.collect())) == left and 0 < len(left) < docs.count()
